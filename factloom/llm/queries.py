@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import mixing, quality, sharding, urls
+from factloom.llm import mixing, neardup, quality, sharding, substrings, urls
 from factloom.llm.common import durable, words
 
 SHARDS = 24
@@ -43,6 +43,12 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
 """
 
 
+def op2_minhash_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents over 2-word shingles at a similarity of 0.8."""
+    found = neardup.near_duplicates(documents(spark, sf_dir, "doc_id", "text"), k=2, percent=80)
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "class_id")
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document on a ring of 24 shards with loads bounded at an equal share of the rows, so that counts are at most one apart."""
     d = documents(spark, sf_dir, "doc_id", "text")
@@ -66,6 +72,11 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(pages(spark, sf_dir)).select("page_id", "host", "path", "rule", "verdict", "via")
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that a 13-word passage of an earlier document covers, and the digest of the rest."""
+    return substrings.removal_report(documents(spark, sf_dir, "doc_id", "text"), 13)
+
+
 def _op8_sql() -> str:
     host = lambda u: f"lower(regexp_extract(CASE WHEN strpos({u}, '://') > 0 THEN substr({u}, strpos({u}, '://') + 3) ELSE '' END, '^([^/?#]*)', 1))"
     rest = lambda u, to: f"regexp_extract(CASE WHEN strpos({u}, '://') > 0 THEN substr({u}, strpos({u}, '://') + 3) ELSE '' END, '^[^/?#]*([^{to}]*)', 1)"
@@ -92,8 +103,10 @@ SELECT page_id, host, path, rule, coalesce(own, passed, 'allow') AS verdict, CAS
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_minhash_odd_sketch": op2_minhash_odd_sketch,
     "op5_sharding": op5_sharding,
     "op7_mixing": op7_mixing,
     "op8_url_filters": op8_url_filters,
+    "op9_substring_dedup": op9_substring_dedup,
 }
 ORACLE_SQL = {"op1_quality_rules": OP1_SQL, "op8_url_filters": _op8_sql()}
