@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import mixing, neardup, quality, sharding, substrings, urls
+from factloom.llm import language, media, mixing, neardup, packing, quality, sharding, substrings, urls, warc
 from factloom.llm.common import durable, words
 
-SHARDS = 24
+SHARDS, ROOM = 24, 2048
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -49,6 +50,20 @@ def op2_minhash_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "class_id")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page archived as a WARC record and read back."""
+    return warc.round_trip(pages(spark, sf_dir), 0)
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from documents that are not held out."""
+    d = documents(spark, sf_dir, "doc_id", "text", "lang")
+    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 == 1
+    model = language.train(d.withColumn("_held", held), ~F.col("_held"), F.col("doc_id"))
+    found = language.identify(d.select("doc_id", "text", held.alias("held_out")), model, ["doc_id", "held_out"])
+    return found.select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document on a ring of 24 shards with loads bounded at an equal share of the rows, so that counts are at most one apart."""
     d = documents(spark, sf_dir, "doc_id", "text")
@@ -58,6 +73,12 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids in pieces, packed into sequences of at most 2048."""
+    tokenise = packing.word_ids(public_tokenizers.path("word_bpe_49k.json"), end=1)
+    return packing.pack_documents(documents(spark, sf_dir, "doc_id", "text"), tokenise, ROOM)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document, by the weights 5, 2, 1 of its sources."""
     d = documents(spark, sf_dir, "doc_id", "text", "source")
@@ -77,6 +98,11 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.removal_report(documents(spark, sf_dir, "doc_id", "text"), 13)
 
 
+def op10_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's bytes stored as GIF samples and read back."""
+    return media.digests(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def _op8_sql() -> str:
     host = lambda u: f"lower(regexp_extract(CASE WHEN strpos({u}, '://') > 0 THEN substr({u}, strpos({u}, '://') + 3) ELSE '' END, '^([^/?#]*)', 1))"
     rest = lambda u, to: f"regexp_extract(CASE WHEN strpos({u}, '://') > 0 THEN substr({u}, strpos({u}, '://') + 3) ELSE '' END, '^[^/?#]*([^{to}]*)', 1)"
@@ -104,9 +130,13 @@ SELECT page_id, host, path, rule, coalesce(own, passed, 'allow') AS verdict, CAS
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_minhash_odd_sketch": op2_minhash_odd_sketch,
+    "op3_warc": op3_warc,
+    "op4_language_id": op4_language_id,
     "op5_sharding": op5_sharding,
+    "op6_packing": op6_packing,
     "op7_mixing": op7_mixing,
     "op8_url_filters": op8_url_filters,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_gif_media": op10_gif_media,
 }
 ORACLE_SQL = {"op1_quality_rules": OP1_SQL, "op8_url_filters": _op8_sql()}
