@@ -158,3 +158,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     out = made.select("doc_id", "n_shingles", "d0", "d1").join(classes, ["n_shingles", "d0", "d1"], "left")
     out = out.withColumn("class_id", F.coalesce("class_id", "doc_id")).join(final.withColumnRenamed("node", "class_id"), "class_id", "left")
     return out.select("doc_id", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs whose doc_id is the least of its component, each distinct row once; null ids are all kept.
+
+    Only ids are joined and compared, so texts are shuffled only if a table of ids is too large to send, and for ids that repeat."""
+    found = near_duplicates(docs, k, percent)
+    gone = durable(found.filter("doc_id != component_id").select("doc_id").distinct())
+    left = docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
+    twice = durable(docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"))
+    if twice.isEmpty():
+        return left
+    again = left.join(twice, "doc_id", "left_semi").select(*docs.columns).distinct()
+    return left.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(again)

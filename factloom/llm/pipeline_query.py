@@ -1,2 +1,8 @@
-QUERIES = {}
-ORACLE_SQL = {}
+"""The pipeline at the top of the repository as a query."""
+
+from __future__ import annotations
+
+import corpus_pipeline
+
+QUERIES = {"pipeline": corpus_pipeline.run}
+ORACLE_SQL = {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}

@@ -98,8 +98,9 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
         ratio("n_stop", "n_words").alias("stop_ratio"),
         ratio("n_dup_lines", "n_lines").alias("dup_line_ratio"),
         ratio("n_short_lines", "n_lines").alias("short_line_ratio"),
-    ).alias("q")
-    return df.select("_row.*", q).drop("_")
+    )
+    # a generator of one row: a filter on a verdict stays above it, and the optimiser doesn't copy the measures into the filter
+    return df.select("_row", F.explode(F.array(q)).alias("q")).select("_row.*", "q").drop("_")
 
 
 def verdicts(q: str = "q", rules: Sequence[Rule] = RULES, min_words: int = 50, max_repeat_percent: int = 50) -> tuple[Column, Column, Column]:
