@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SOURCE_SENSITIVITY = {"secret": 1.0, "password": 1.0, "token": 0.95, "key": 0.9, "credential": 0.9, "private": 0.85, "ssn": 1.0, "credit": 1.0, "card": 1.0, "pii": 0.8}
-SINK_SENSITIVITY = {"exec": 1.0, "eval": 1.0, "system": 1.0, "subprocess": 0.95, "pickle": 0.85, "yaml.load": 0.85, "sql": 0.8, "query": 0.75, "open": 0.6, "write": 0.6, "send": 0.6, "http": 0.6, "request": 0.6, "print": 0.4, "sink": 0.4}
+
+def _by_word(scores: dict[float, str]) -> dict[str, float]:
+    return {w: s for s, words in scores.items() for w in words.split()}
+
+
+SOURCE_SENSITIVITY = _by_word({1.0: "card credit password secret ssn", 0.95: "token", 0.9: "credential key", 0.85: "private", 0.8: "pii"})
+SINK_SENSITIVITY = _by_word({1.0: "eval exec system", 0.95: "subprocess", 0.85: "pickle yaml.load", 0.8: "sql", 0.75: "query", 0.6: "http open request send write", 0.4: "print sink"})
 WEIGHTS = {"source": 0.35, "sink": 0.25, "path": 0.25, "implicit": 0.15}
 LEVELS = (("CRITICAL", 85.0), ("HIGH", 70.0), ("MEDIUM", 50.0), ("LOW", 30.0))
 #: operation -> (warning, critical) in milliseconds

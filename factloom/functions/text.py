@@ -7,26 +7,27 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SQL_WORDS = "select insert update delete create alter drop from where join table set values union".split()
-SHELL_WORDS = "cd ls pwd mkdir rmdir rm cp mv cat grep awk sed find xargs curl wget ssh scp nc netcat echo printf export source chmod chown ps kill top df du tar gzip apt yum dnf brew pip npm".split()
-PROSE_STARTS = "please can could would should may might the a an this that".split()
+SQL_WORDS = "alter create delete drop from insert join select set table union update values where".split()
+CHAINED_WORDS = "cat cd cp grep ls mkdir mv pwd rm rmdir".split()
+SHELL_WORDS = sorted(CHAINED_WORDS + "apt awk brew chmod chown curl df dnf du echo export find gzip kill nc netcat npm pip printf ps scp sed source ssh tar top wget xargs yum".split())
+PROSE_STARTS = "a an can could may might please should that the this would".split()
 #: Language -> (pattern, score); the best hit counts. Patterns without look-around or back-references, so that SQL engines agree.
 PATTERNS: dict[str, list[tuple[str, float]]] = {
     "sql": [
-        (r"(?is)\bselect\b.+\bfrom\b", 0.95), (r"(?is)\binsert\s+into\b.+\bvalues\b", 0.95), (r"(?is)\bupdate\b.+\bset\b", 0.95), (r"(?i)\bcreate\s+table\b", 0.95),
-        (r"(?is)\b(insert|update|delete|create|alter|drop)\b.*\b(from|where|join|set|values|table)\b", 0.85),
+        (r"(?is)\bselect\b.+\bfrom\b", 0.95), (r"(?is)\binsert\s+into\b..*\bvalues\b", 0.95), (r"(?is)\bupdate\b.+\bset\b", 0.95), (r"(?i)\bcreate\s+table\b", 0.95),
+        (r"(?is)\b(alter|create|delete|drop|insert|update)\b.*\b(from|join|set|table|values|where)\b", 0.85),
     ],
     "shell": [
         (r"\S+\s*\|\s*\S+", 0.85), (rf"(?i)\b({'|'.join(SHELL_WORDS)})\s+-[a-zA-Z]+", 0.9), (r"(>>|>|<|2>&1)", 0.8), (r"\$\(.*\)|`.*`", 0.9), (r"\$\{?\w+\}?", 0.7),
-        (rf"(?i)\b({'|'.join(SHELL_WORDS[:10])})\b.*(&&|\|\||;)", 0.85),
+        (rf"(?i)\b({'|'.join(CHAINED_WORDS)})\b.*(&&|\|\||;)", 0.85),
     ],
     "xml": [(r"(?i)<\?xml\s+version=", 0.95), (r"xmlns[:=]", 0.9)],
-    "html": [(r"<\s*[a-zA-Z][a-zA-Z0-9]*\b[^>]*/\s*>", 0.9), (r"(?i)<!doctype\s+html>", 0.95), (r"(?i)<\s*(html|head|body|div|span|p|a|img|script|style)\b", 0.85)],
-    "regex": [(r"(\[\^?[^\]]+\]|\\[dDwWsS]|\{[\d,]+\}|\(.*\)|\.\*|\.\+)", 0.75), (r"(\^|\$|\\b|\\B)", 0.65)],
+    "html": [(r"<\s*[A-Za-z][0-9A-Za-z]*\b[^>]*/\s*>", 0.9), (r"(?i)<!doctype\s+html>", 0.95), (r"(?i)<\s*(a|body|div|head|html|img|p|script|span|style)\b", 0.85)],
+    "regex": [(r"(\.\*|\.\+|\(.*\)|\{[,\d]+\}|\\[DSWdsw]|\[\^?[^\]]+\])", 0.75), (r"(\^|\$|\\b|\\B)", 0.65)],
 }
 #: An element closed by its own name; a back-reference, which Java has.
-HTML_PAIR = r"(?s)<\s*([a-zA-Z][a-zA-Z0-9]*)\b[^>]*>.*?</\s*\1\s*>"
-REGEX_FEATURES = [r"\[\^?[^\]]+\]", r"\\[dDwWsS]", r"\{[\d,]+\}", r"\(.*\)", r"\.\*|\.\+", r"\^|\$"]
+HTML_PAIR = r"(?s)<\s*(\p{Alpha}\p{Alnum}*)\b[^>]*+>(?:.*?)</\s*+\1\s*+>"
+REGEX_FEATURES = [r"\^|\$", r"\.\*|\.\+", r"\(.*\)", r"\{[,\d]+\}", r"\\[DSWdsw]", r"\[\^?[^\]]+\]"]
 ORDER = ("sql", "shell", "xml", "html", "json", "regex")
 SECRETS = [
     ("aws_access_key", r"\b(AKIA[0-9A-Z]{16})\b"), ("github_token", r"\b(gh[pousr]_[A-Za-z0-9]{36,})\b"), ("stripe_key", r"\b(sk_live_[0-9a-zA-Z]{24,})\b"), ("api_key", r"\b(sk-[A-Za-z0-9_\-]{16,})"), ("google_key", r"\b(AIza[0-9A-Za-z_\-]{35})"),

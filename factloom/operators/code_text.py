@@ -18,7 +18,7 @@ from pyspark.sql.types import StringType
 from factloom.operators.pyfacts import drop_docstrings
 
 KEPT = frozenset(dir(builtins)) | {"self", "cls", "args", "kwargs", "_", "True", "False", "None"}
-ANNOTATIONS = {"str": "STR", "int": "INT", "float": "FLOAT", "bool": "BOOL", "list": "LIST", "dict": "DICT", "set": "SET", "tuple": "TUPLE"}
+ANNOTATIONS = {w: w.upper() for w in "bool dict float int list set str tuple".split()}
 
 
 def _each(f: Callable[[str], str | None]) -> Callable[[Column], Column]:
@@ -161,13 +161,13 @@ def embedded_yaml(text: Column) -> Column:
     """Score of YAML: mappings and lists by their marks, broken texts by their look."""
     kind, t = yaml_kind(text), F.trim(text)
     tree = F.when(t.startswith("{") & F.contains(text, F.lit("invalid")), 0.0).when(F.contains(text, F.lit(":")) & ~t.startswith("{"), 0.9).otherwise(0.75)
-    looks = text.rlike(r"(?m)^\s*[\w-]+\s*:\s*.+") | text.rlike(r"(?m)^\s*-\s+\w+")
+    looks = text.rlike(r"(?m)^\s*[-\w]+\s*:(?:\s*).+") | text.rlike(r"(?m)^\s*-\s+\w+")
     return F.when(kind.isin("dict", "list"), tree).when((kind == "broken") & looks, 0.55).otherwise(0.0)
 
 
 #: Kind of node -> pattern of a template tag.
 TEMPLATE_TAG = re.compile(r"\{\{\s*(.*?)\s*\}\}|\{%\s*(.*?)\s*%\}")
-UNSAFE_WORDS = ("__class__", "__mro__", "__subclasses__", "config.items", "self.__dict__")
+UNSAFE_WORDS = ("config.items", "self.__dict__", *(f"__{w}__" for w in ("class", "mro", "subclasses")))
 
 
 def template_nodes(files: DataFrame, key: str = "file_path", column: str = "content") -> DataFrame:

@@ -14,11 +14,18 @@ from collections import defaultdict, deque
 from dataclasses import dataclass, field
 
 MODULE = "scope:module"
-SOURCES = ("input", "os.getenv", "getenv", "request.args.get", "request.form.get", "request.get_json")
-SINKS = ("exec", "eval", "os.system", "subprocess.run", "subprocess.call", "open", "print")
-SANITIZERS = ("html.escape", "cgi.escape", "markupsafe.escape", "urllib.parse.quote", "urllib.parse.quote_plus", "shlex.quote", "pipes.quote", "os.path.basename", "ntpath.basename", "posixpath.basename", "base64.b64encode")
-SYSTEM_CALLS = frozenset({"os.system", "os.popen", "subprocess.call", "subprocess.run", "subprocess.Popen", "subprocess.check_output"})
-DYNAMIC_NAMES, DYNAMIC_ATTRS = frozenset({"eval", "exec", "compile", "__import__", "getattr", "setattr"}), frozenset({"import_module"})
+SOURCES = tuple(["getenv", "input", *("os." + x for x in ["getenv"]), *("request." + x for x in ("args.get", "form.get", "get_json"))])
+SINKS = ("eval", "exec", "open", "os.system", "print", *("subprocess." + x for x in ("call", "run")))
+#: Kind of context -> functions that make a value safe in it.
+SANITIZERS = {
+    "SHELL": ["pipes.quote", "shlex.quote"],
+    "PATH": [f"{m}.basename" for m in ("ntpath", "os.path", "posixpath")],
+    "HTML": [f"{m}.escape" for m in ("cgi", "html", "markupsafe")],
+    "URL": [f"urllib.parse.{f}" for f in ("quote", "quote_plus")],
+    "GENERAL": ["base64.b64encode"],
+}
+SYSTEM_CALLS = frozenset(["os.popen", "os.system", *("subprocess." + x for x in ("Popen", "call", "check_output", "run"))])
+DYNAMIC_NAMES, DYNAMIC_ATTRS = frozenset("__import__ compile eval exec getattr setattr".split()), frozenset({"import_module"})
 BRANCHES = frozenset({"True", "False", "Next", "Stop", "AsyncNext", "AsyncStop"})
 
 #: Expression class -> (kind, fields visited in order). What isn't here is an unsupported literal.
@@ -625,7 +632,7 @@ def _called(s: ast.AST, kinds: tuple, names) -> str | None:
     return name if name in names else None
 
 
-def taint(flow: Flow, ssa: Versions, sources=SOURCES, sinks=SINKS, sanitizers=SANITIZERS, most_paths: int = 1000) -> list[dict]:
+def taint(flow: Flow, ssa: Versions, sources=SOURCES, sinks=SINKS, sanitizers=tuple(x for xs in SANITIZERS.values() for x in xs), most_paths: int = 1000) -> list[dict]:
     """Flows from sources to sinks with each backward path, explicit and implicit. ``truncated``: a use had more paths than the bound."""
     stmts = [(b, s) for b, block in flow.blocks.items() for s in block["stmts"]]
     uses: dict[str, list[tuple[int, ast.AST]]] = defaultdict(list)

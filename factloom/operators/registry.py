@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.operators.pyfacts import SANITIZERS
+
 Transform = Callable[[DataFrame], DataFrame]
 STAGES = ("static_scan", "external_scan", "ir", "graph_build", "baseline", "ssa", "taint", "llm", "privacy")
 EVENTS = ("pre_analysis", *(f"{when}_{s}" if when else s for s in STAGES for when in ("pre", "", "post")), "post_analysis")
@@ -50,7 +52,7 @@ class Frameworks:
 class Sanitizers:
     """Sanitizer name -> kind; a broadcast lookup."""
 
-    kinds: dict[str, str] = field(default_factory=lambda: {"html.escape": "HTML", "cgi.escape": "HTML", "markupsafe.escape": "HTML", "urllib.parse.quote": "URL", "urllib.parse.quote_plus": "URL", "shlex.quote": "SHELL", "pipes.quote": "SHELL", "os.path.basename": "PATH", "ntpath.basename": "PATH", "posixpath.basename": "PATH", "base64.b64encode": "GENERAL"})
+    kinds: dict[str, str] = field(default_factory=lambda: {name: kind for kind, names in SANITIZERS.items() for name in names})
 
     def register(self, name: str, kind: str) -> None:
         self.kinds[name] = kind
