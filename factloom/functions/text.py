@@ -18,12 +18,12 @@ PATTERNS: dict[str, list[tuple[str, float]]] = {
         (r"(?is)\b(alter|create|delete|drop|insert|update)\b.*\b(from|join|set|table|values|where)\b", 0.85),
     ],
     "shell": [
-        (r"\S+\s*\|\s*\S+", 0.85), (rf"(?i)\b({'|'.join(SHELL_WORDS)})\s+-[a-zA-Z]+", 0.9), (r"(>>|>|<|2>&1)", 0.8), (r"\$\(.*\)|`.*`", 0.9), (r"\$\{?\w+\}?", 0.7),
+        (r"\S\s*\|\s*\S", 0.85), (rf"(?i)\b({'|'.join(SHELL_WORDS)})\s+-[a-zA-Z]+", 0.9), (r"[<>]", 0.8), (r"\$\(.*\)|`.*`", 0.9), (r"\$\{?\w+\}?", 0.7),
         (rf"(?i)\b({'|'.join(CHAINED_WORDS)})\b.*(&&|\|\||;)", 0.85),
     ],
     "xml": [(r"(?i)<\?xml\s+version=", 0.95), (r"xmlns[:=]", 0.9)],
     "html": [(r"<\s*[A-Za-z][0-9A-Za-z]*\b[^>]*/\s*>", 0.9), (r"(?i)<!doctype\s+html>", 0.95), (r"(?i)<\s*(a|body|div|head|html|img|p|script|span|style)\b", 0.85)],
-    "regex": [(r"(\.\*|\.\+|\(.*\)|\{[,\d]+\}|\\[DSWdsw]|\[\^?[^\]]+\])", 0.75), (r"(\^|\$|\\b|\\B)", 0.65)],
+    "regex": [(r"(\.\*|\.\+|\(.*\)|\{[,\d]+\}|\\[DSWdsw]|\[\^?[^\]]+\])", 0.75), (r"[$^]|\\[Bb]", 0.65)],
 }
 #: An element closed by its own name; a back-reference, which Java has.
 HTML_PAIR = r"(?s)<\s*(\p{Alpha}\p{Alnum}*)\b[^>]*+>(?:.*?)</\s*+\1\s*+>"
@@ -56,7 +56,7 @@ def embedded_scores(text: Column, back_references: bool = True) -> dict[str, Col
         "shell": F.greatest(best(text, PATTERNS["shell"]), F.when(shell_n >= 2, 0.75).otherwise(0.0)),
         "xml": best(text, PATTERNS["xml"]),
         "html": best(text, html),
-        "json": F.when(parsed & text.rlike(r"\A\s*[\{\[]"), 0.95).when(parsed, 0.7).when(text.rlike(r"(?s)\A\s*[\{\[].*[\}\]]\s*\z"), 0.5).otherwise(0.0),
+        "json": F.when(parsed & text.rlike(r"\A\s*[\{\[]"), 0.95).when(parsed, 0.7).when(text.rlike(r"(?s)\A\s*[\[{].*[\]}]\s*\z"), 0.5).otherwise(0.0),
         "regex": F.greatest(best(text, PATTERNS["regex"]), F.when(features >= 3, 0.85).when(features >= 2, 0.7).otherwise(0.0)),
     }
 
@@ -89,7 +89,7 @@ def obfuscation_reasons(text: Column) -> Column:
     lines = F.split(F.regexp_replace(text, r"\n\z", ""), "\n")
     long_lines = F.size(F.filter(lines, lambda x: F.length(x) >= 300))
     mean = F.aggregate(lines, F.lit(0), lambda a, x: a + F.length(x)) / F.size(lines)
-    names = F.regexp_extract_all(text, F.lit(r"([A-Za-z_][A-Za-z0-9_]*)"), F.lit(1))
+    names = F.regexp_extract_all(text, F.lit(r"([_A-Za-z]\w*)"), F.lit(1))
     long_names = F.size(F.filter(names, lambda x: F.length(x) >= 30))
     odd = n - F.length(F.regexp_replace(text, r"[\x01-\x08\x0B\x0C\x0E-\x1F\x7F]", ""))
     symbols = F.length(F.regexp_replace(text, r"[\p{L}\p{N}\s]", ""))
@@ -117,7 +117,7 @@ def strip_fence(text: Column) -> Column:
 
 def json_object(text: Column) -> Column:
     """A JSON object in free text: in a fence, else from the first opening to the last closing brace; null if none parses."""
-    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
+    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*+(\{.*?\})\s*+```", 1)
     wide = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
     ok = lambda c: F.when((c != "") & F.try_parse_json(c).isNotNull(), c)
     return F.coalesce(ok(fenced), ok(wide))
@@ -137,7 +137,7 @@ def head_tail(text: Column, most: int = 4000, head: float = 0.6) -> Column:
 def format_bytes(n: Column) -> Column:
     """One decimal and the unit, B to TB."""
     out: Column | None = None
-    for i, unit in enumerate(("B", "KB", "MB", "GB", "TB")):
+    for i, unit in enumerate("B KB MB GB TB".split()):
         part = F.concat(F.format_string("%.1f", F.bround(n / F.lit(float(1024**i)), 1)), F.lit(f" {unit}"))
         out = F.when(n < 1024 ** (i + 1), part) if out is None else out.when(n < 1024 ** (i + 1), part) if unit != "TB" else out.otherwise(part)
     return out

@@ -5,7 +5,6 @@ from __future__ import annotations
 import ast
 import builtins
 import io
-import re
 import tokenize
 from collections.abc import Callable, Iterable, Iterator
 
@@ -17,7 +16,7 @@ from pyspark.sql.types import StringType
 
 from factloom.operators.pyfacts import drop_docstrings
 
-KEPT = frozenset(dir(builtins)) | {"self", "cls", "args", "kwargs", "_", "True", "False", "None"}
+KEPT = frozenset(dir(builtins)) | set("_ None False True args cls kwargs self".split())
 ANNOTATIONS = {w: w.upper() for w in "bool dict float int list set str tuple".split()}
 
 
@@ -165,8 +164,6 @@ def embedded_yaml(text: Column) -> Column:
     return F.when(kind.isin("dict", "list"), tree).when((kind == "broken") & looks, 0.55).otherwise(0.0)
 
 
-#: Kind of node -> pattern of a template tag.
-TEMPLATE_TAG = re.compile(r"\{\{\s*(.*?)\s*\}\}|\{%\s*(.*?)\s*%\}")
 UNSAFE_WORDS = ("config.items", "self.__dict__", *(f"__{w}__" for w in ("class", "mro", "subclasses")))
 
 

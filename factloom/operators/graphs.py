@@ -87,6 +87,36 @@ def summaries(calls: DataFrame, facts: DataFrame, rounds: int = 100) -> DataFram
     raise RuntimeError(f"a chain of calls is longer than {rounds} steps")
 
 
+def levels(calls: DataFrame, rounds: int = 1000) -> DataFrame:
+    """node and level: 0 for functions that call none, else one above the highest callee, so callees come first in order.
+
+    Functions on a cycle, and those that call them, have a null level: no order fits them. calls: src, dst."""
+    edges = durable(calls.select("src", "dst").distinct())
+    left = durable(edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct())
+    out = None
+    for level in range(rounds):
+        ready = durable(left.join(edges.select(F.col("src").alias("node")), "node", "left_anti"))
+        if ready.isEmpty():
+            rest = left.select("node", F.lit(None).cast("int").alias("level"))
+            return rest if out is None else out.unionByName(rest)
+        found = ready.select("node", F.lit(level).alias("level"))
+        out = found if out is None else out.unionByName(found)
+        edges = durable(edges.join(ready.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"))
+        left = durable(left.join(ready, "node", "left_anti"))
+    raise RuntimeError(f"a chain of calls is longer than {rounds} steps")
+
+
+def match_paths(findings: DataFrame, files: DataFrame) -> DataFrame:
+    """Findings with file_path: the file of the same path, else the least one that ends with it as whole components; null: none.
+
+    Both sides are cut to the last component first, so that ends are compared only among files of one name."""
+    last = lambda c: F.element_at(F.split(F.col(c), "/"), -1)
+    f = files.select("file_path", last("file_path").alias("_last")).distinct()
+    ends = (F.col("file_path") == F.col("path")) | F.col("file_path").endswith(F.concat(F.lit("/"), F.col("path")))
+    j = findings.withColumn("_name", last("path")).join(f, (F.col("_name") == F.col("_last")) & ends, "left")
+    return j.groupBy(*findings.columns).agg(F.min_by("file_path", F.struct(F.col("file_path") != F.col("path"), "file_path")).alias("file_path"))
+
+
 def block_of(findings: DataFrame, stmts: DataFrame, key: str = "file_path") -> DataFrame:
     """The first block with a statement whose lines cover each finding's; null: unmapped. A range join within the file."""
     s = stmts.select(F.col(key).alias("_k"), "block_id", F.col("start_line").alias("_a"), F.col("end_line").alias("_b"))

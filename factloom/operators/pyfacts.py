@@ -26,7 +26,7 @@ SANITIZERS = {
 }
 SYSTEM_CALLS = frozenset(["os.popen", "os.system", *("subprocess." + x for x in ("Popen", "call", "check_output", "run"))])
 DYNAMIC_NAMES, DYNAMIC_ATTRS = frozenset("__import__ compile eval exec getattr setattr".split()), frozenset({"import_module"})
-BRANCHES = frozenset({"True", "False", "Next", "Stop", "AsyncNext", "AsyncStop"})
+BRANCHES = frozenset(["False", "True", *(a + b for a in ("", "Async") for b in ("Next", "Stop"))])
 
 #: Expression class -> (kind, fields visited in order). What isn't here is an unsupported literal.
 EXPRESSIONS = {
@@ -146,8 +146,9 @@ class Syntax:
         return out
 
     def literal(self, value) -> dict:
+        value_text = isinstance(value, str)
         attrs = {"value_type": type(value).__name__, "value": value if isinstance(value, (str, int, float, bool)) or value is None else repr(value)}
-        if isinstance(value, str) and len(value) > self.most_literal:
+        if value_text and len(value) > self.most_literal:
             attrs |= {"value": value[: self.most_literal], "value_hash": hashlib.sha256(value.encode("utf-8", "surrogatepass")).hexdigest(), "value_truncated": True}
         return attrs
 
@@ -533,7 +534,7 @@ def dominators(entry: int, successors: dict[int, list[int]]) -> tuple[dict[int,
 def _names(t: ast.AST):
     if isinstance(t, ast.Name):
         yield t
-    elif isinstance(t, (ast.Tuple, ast.List)):
+    elif isinstance(t, (ast.List, ast.Tuple)):
         for x in t.elts:
             yield from _names(x)
 
@@ -819,7 +820,7 @@ def routes_of(tree: ast.AST) -> list[dict]:
                 listed = [text(x) for x in getattr(key.get("methods"), "elts", [])]
                 if verb in ("route", "api_route"):
                     out += [{"seq": len(out) + i, "framework": "flask" if verb == "route" else "fastapi", "path": text(d.args[0]), "method": m, "handler": n.name} for i, m in enumerate(listed or ["GET"])]
-                elif verb in ("get", "post", "put", "delete", "patch", "options", "head"):
+                elif verb in "delete get head options patch post put".split():
                     out.append({"seq": len(out), "framework": "fastapi", "path": text(d.args[0]), "method": verb.upper(), "handler": n.name})
         if isinstance(n, ast.Assign) and any(isinstance(t, ast.Name) and t.id == "urlpatterns" for t in n.targets) and isinstance(n.value, (ast.List, ast.Tuple)):
             for c in n.value.elts:

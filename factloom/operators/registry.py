@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from factloom.operators.pyfacts import SANITIZERS
 
 Transform = Callable[[DataFrame], DataFrame]
-STAGES = ("static_scan", "external_scan", "ir", "graph_build", "baseline", "ssa", "taint", "llm", "privacy")
+STAGES = tuple("static_scan external_scan ir graph_build baseline ssa taint llm privacy".split())
 EVENTS = ("pre_analysis", *(f"{when}_{s}" if when else s for s in STAGES for when in ("pre", "", "post")), "post_analysis")
 BANNED = ("as an ai", "i cannot verify", "hypothetical file", "imaginary")
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LEVELS = {"ERROR": "error", "WARNING": "warning", "INFO": "note"}
+SCHEMA = "https://json.schemastore.org/sarif-2.1.0.json"
 #: Findings of one document; more are an error: write the rows instead.
 MOST_FINDINGS = 100_000
 
@@ -46,7 +47,9 @@ def sarif(findings: DataFrame, tool: str = "factloom") -> str:
         raise ValueError("too many findings for one document; write sarif_rows as a table")
     results = [json.loads(r["result"]) for r in rows]
     rules = list(dict.fromkeys(r["ruleId"] for r in results))
-    return json.dumps({"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json", "runs": [{"tool": {"driver": {"name": tool, "rules": [{"id": x} for x in rules]}}, "results": results}]}, indent=2)
+    driver = {"rules": [{"id": x} for x in rules], "name": tool}
+    one = {"results": results, "tool": {"driver": driver}}
+    return json.dumps({"$schema": SCHEMA, "runs": [one], "version": "2.1.0"}, indent=2)
 
 
 def markdown_rows(findings: DataFrame) -> DataFrame:

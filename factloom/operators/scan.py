@@ -85,7 +85,7 @@ def config_issues(settings: DataFrame, key: str) -> DataFrame:
     pick = lambda c: F.coalesce(F.col(f"env_{c}"), F.col(c))
     secret = pick("secret_key")
     rows = F.array_compact(F.array(
-        F.when(F.lower(pick("debug")).isin("true", "1", "yes", "on"), F.struct(F.lit("debug_enabled").alias("issue"), F.lit("HIGH").alias("severity"))),
+        F.when(F.lower(pick("debug")).isin(*"1 on true yes".split()), F.struct(F.lit("debug_enabled").alias("issue"), F.lit("HIGH").alias("severity"))),
         F.when(secret.isNull() | (secret == ""), F.struct(F.lit("secret_key_missing").alias("issue"), F.lit("HIGH").alias("severity")))
         .when(F.lower(secret).isin(*WEAK_KEYS), F.struct(F.lit("secret_key_weak").alias("issue"), F.lit("HIGH").alias("severity")))
         .when(F.length(secret) < 32, F.struct(F.lit("secret_key_short").alias("issue"), F.lit("MEDIUM").alias("severity"))),

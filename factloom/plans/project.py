@@ -30,7 +30,13 @@ DEPENDENCY_SQL = """WITH s AS (SELECT s_suppkey::VARCHAR AS project, s_suppkey A
 SELECT project, 'flask' AS name, '2.' || n AS version, '==2.' || n AS specifier, '' AS extras, 'requirements.txt' AS origin FROM s UNION ALL SELECT project, 'numpy', '1.' || (k % 5), '', '', 'poetry.lock' FROM s UNION ALL SELECT project, 'requests', '', '', 'socks', 'requirements.txt' FROM s
 UNION ALL SELECT project, 'pandas', '', '~=2.0', '', 'pyproject.toml' FROM s UNION ALL SELECT project, 'click', '', '>=' || (n % 3) || '.4,<' || CASE WHEN n % 3 = 0 THEN '0.5' ELSE (n % 3 + 1)::VARCHAR END, '', 'pyproject.toml' FROM s"""
 
-_SPEC = """concat('{"openapi": "3.0", "paths": {"/', lower(n_name), '/{id}": {"get": {"responses": {"200": {"content": {"application/json": {"schema": {"type": "string"}}}}}}', CASE WHEN n_nationkey % 2 = 0 THEN ', "post": {"requestBody": {"content": {"application/json": {"schema": {"type": "object"}}}}}' ELSE '' END, ', "parameters": []}}}')"""
+def _body(kind: str) -> str:
+    """Content of a request or response whose JSON is of a kind."""
+    inner = f'"schema": {{"type": "{kind}"}}'
+    return f'{{"content": {{"application/json": {{{inner}}}}}}}'
+
+
+_SPEC = f"""concat('{{"openapi": "3.0", "paths": {{"/', lower(n_name), '/{{id}}": {{"get": {{"responses": {{"200": {_body("string")}}}}}', CASE WHEN n_nationkey % 2 = 0 THEN ', "post": {{"requestBody": {_body("object")}}}' ELSE '' END, ', "parameters": []}}}}}}')"""
 
 
 def openapi_operations(spark: SparkSession, sf_dir: str) -> DataFrame:

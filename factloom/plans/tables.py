@@ -419,6 +419,30 @@ SUMMARY_SQL = """WITH e AS (SELECT 's' || s_suppkey AS node, s_suppkey % 4 AS e,
 SELECT node, string_agg('io:' || e, ',' ORDER BY e) AS effects FROM a GROUP BY 1"""
 
 
+def call_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Callees before callers over regions, nations and suppliers; a cycle between two regions has no level."""
+    n, s = _read(spark, sf_dir, "nation"), _read(spark, sf_dir, "supplier")
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    calls = n.select(name("r", "n_regionkey").alias("src"), name("n", "n_nationkey").alias("dst")).unionByName(s.select(name("n", "s_nationkey").alias("src"), name("s", "s_suppkey").alias("dst")))
+    return graphs.levels(calls.unionByName(spark.createDataFrame([("r0", "r1"), ("r1", "r0")], "src string, dst string")))
+
+
+LEVELS_SQL = """SELECT 's' || s_suppkey AS node, 0 AS level FROM supplier UNION ALL SELECT 'n' || n_nationkey, (n_nationkey IN (SELECT s_nationkey FROM supplier))::INT FROM nation
+UNION ALL SELECT 'r' || n_regionkey, CASE WHEN n_regionkey > 1 THEN 1 + max((n_nationkey IN (SELECT s_nationkey FROM supplier))::INT) END FROM nation GROUP BY n_regionkey"""
+
+
+def path_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reported paths matched to files: equal, by their end, or not at all."""
+    s = _read(spark, sf_dir, "supplier")
+    files = s.select(F.concat(F.lit("srv/d"), (F.col("s_suppkey") % 3).cast("string"), F.lit("/m"), F.col("s_suppkey").cast("string"), F.lit(".py")).alias("file_path"))
+    found = s.select("s_suppkey", F.expr("CASE s_suppkey % 4 WHEN 0 THEN concat('m', s_suppkey, '.py') WHEN 1 THEN concat('srv/d', s_suppkey % 3, '/m', s_suppkey, '.py') WHEN 2 THEN concat('d', s_suppkey % 3, '/m', s_suppkey, '.py') ELSE concat('x/m', s_suppkey, '.py') END").alias("path"))
+    return graphs.match_paths(found, files)
+
+
+MATCH_SQL = """SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN concat('m', s_suppkey, '.py') WHEN 1 THEN concat('srv/d', s_suppkey % 3, '/m', s_suppkey, '.py') WHEN 2 THEN concat('d', s_suppkey % 3, '/m', s_suppkey, '.py') ELSE concat('x/m', s_suppkey, '.py') END AS path,
+CASE WHEN s_suppkey % 4 < 3 THEN concat('srv/d', s_suppkey % 3, '/m', s_suppkey, '.py') END AS file_path FROM supplier"""
+
+
 def speculative_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Methods called on unknown objects: at most five suppliers that define each part's kind, in order."""
     li, p = _read(spark, sf_dir, "lineitem"), _read(spark, sf_dir, "part")
@@ -434,7 +458,7 @@ _NAMED = {
     risk_scores: RISK_SQL, feedback_override: FEEDBACK_SQL, baseline_counts: BASELINE_SQL, baseline_new: BASELINE_NEW_SQL, typosquat_candidates: TYPO_SQL, config_issues: CONFIG_SQL, framework_detect: FRAMEWORK_SQL, latency_summary: LATENCY_SQL, threshold_alerts: ALERT_SQL,
     token_usage: TOKEN_SQL, eval_metrics: EVAL_SQL, budget_admission: BUDGET_SQL, rate_limit_cooldown: COOLDOWN_SQL, circuit_breaker: BREAKER_SQL, ttl_cache: TTL_SQL, stream_event_windows: STREAM_SQL, upsert_last_wins: UPSERT_SQL, latest_decisions: LATEST_SQL,
     decision_cache_lookup: DECISION_SQL, profile_match: PROFILE_SQL, latest_version: LATEST_VERSION_SQL, specifier_match: SPECIFIER_SQL, graph_merge_dedupe: MERGE_SQL, manifest_freshness: MANIFEST_SQL, split_by_file: SPLIT_SQL, few_shot_latest: FEW_SHOT_SQL,
-    sarif_levels: SARIF_SQL, dataflow_reach: REACH_SQL, backward_paths: PATHS_SQL, control_region: REGION_SQL, impact_closure: IMPACT_SQL, module_resolution: MODULE_SQL, function_summary_rollup: SUMMARY_SQL, speculative_topk: TOPK_SQL,
+    sarif_levels: SARIF_SQL, dataflow_reach: REACH_SQL, backward_paths: PATHS_SQL, control_region: REGION_SQL, impact_closure: IMPACT_SQL, module_resolution: MODULE_SQL, function_summary_rollup: SUMMARY_SQL, speculative_topk: TOPK_SQL, call_levels: LEVELS_SQL, path_matches: MATCH_SQL,
 }
 QUERIES = {f.__name__: f for f in _NAMED}
 ORACLE_SQL = {f.__name__: sql for f, sql in _NAMED.items()}

@@ -44,7 +44,7 @@ def obfuscation_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 OBFUSCATION_SQL = r"""WITH b AS (SELECT 'documents' AS origin, doc_id AS id, text AS t FROM documents UNION ALL SELECT 'pages', page_id, html FROM pages),
 c AS (SELECT origin, id, unnest(string_split(substr(t, 1, 2000), '')) AS c FROM b), n AS (SELECT origin, id, c, count(*) AS k FROM c WHERE c <> '' GROUP BY ALL), h AS (SELECT origin, id, sum(k) AS n FROM n GROUP BY ALL),
 e AS (SELECT origin, id, -sum(k / n * log2(k / n)) AS bits FROM n JOIN h USING (origin, id) GROUP BY ALL),
-m AS (SELECT *, length(t) AS n, string_split(regexp_replace(t, '\n$', ''), chr(10)) AS ls, regexp_extract_all(t, '[A-Za-z_][A-Za-z0-9_]*') AS ids FROM b),
+m AS (SELECT *, length(t) AS n, string_split(regexp_replace(t, '\n$', ''), chr(10)) AS ls, regexp_extract_all(t, '[_A-Za-z]\w*') AS ids FROM b),
 r AS (SELECT origin, id, CASE WHEN n < 200 THEN [] ELSE list_filter([
  CASE WHEN (n - length(regexp_replace(t, '[\x01-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'))) / n > 0.02 THEN 'non_printable_ratio' END,
  CASE WHEN len(list_filter(ls, lambda x: length(x) >= 300)) / len(ls) > 0.2 AND list_sum(list_transform(ls, lambda x: length(x))) / len(ls) > 120 THEN 'long_lines' END,
@@ -74,7 +74,7 @@ SELECT origin, id,
 CASE WHEN lower(regexp_extract(text, '(\\S+)', 1)) IN ({", ".join(_q(w) for w in T.PROSE_STARTS)}) THEN 0.0 ELSE greatest({_best_sql("text", T.PATTERNS["sql"])}, CASE WHEN {_hits_sql("text", [rf"(?i)\b{w}\b" for w in T.SQL_WORDS])} >= 3 THEN 0.8 WHEN {_hits_sql("text", [rf"(?i)\b{w}\b" for w in T.SQL_WORDS])} >= 2 THEN 0.65 ELSE 0.0 END) END::DOUBLE AS sql,
 greatest({_best_sql("text", T.PATTERNS["shell"])}, CASE WHEN {_hits_sql("text", [rf"(?i)\b{w}\b" for w in T.SHELL_WORDS])} >= 2 THEN 0.75 ELSE 0.0 END)::DOUBLE AS shell,
 {_best_sql("text", T.PATTERNS["xml"])}::DOUBLE AS xml, {_best_sql("text", T.PATTERNS["html"])}::DOUBLE AS html,
-CASE WHEN {_PARSED} AND regexp_matches(text, '^\\s*[\\{{\\[]') THEN 0.95 WHEN {_PARSED} THEN 0.7 WHEN regexp_matches(text, '(?s)^\\s*[\\{{\\[].*[\\}}\\]]\\s*$') THEN 0.5 ELSE 0.0 END::DOUBLE AS json,
+CASE WHEN {_PARSED} AND regexp_matches(text, '^\\s*[\\{{\\[]') THEN 0.95 WHEN {_PARSED} THEN 0.7 WHEN regexp_matches(text, '(?s)^\\s*[\\[{{].*[\\]}}]\\s*$') THEN 0.5 ELSE 0.0 END::DOUBLE AS json,
 greatest({_best_sql("text", T.PATTERNS["regex"])}, CASE WHEN {_hits_sql("text", T.REGEX_FEATURES)} >= 3 THEN 0.85 WHEN {_hits_sql("text", T.REGEX_FEATURES)} >= 2 THEN 0.7 ELSE 0.0 END)::DOUBLE AS regex FROM t"""
 
 

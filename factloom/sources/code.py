@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from factloom.operators import pyfacts
 
-BINARY = (".so", ".pyd", ".dll", ".dylib", ".pyc")
+BINARY = tuple("." + x for x in "dll dylib pyc pyd so".split())
 
 _NODE = "seq int, id string, kind string, start_line int, start_col int, end_line int, end_col int, parent_id string, scope_id string, name string, resolved string, tags array<string>, attrs string"
 #: Table -> row of the facts of a file. Every table has file_path first.

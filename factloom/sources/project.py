@@ -28,7 +28,8 @@ def _from_toml(origin: str, text: str) -> Iterator[dict]:
         return
     for line in data.get("project", {}).get("dependencies", []):
         yield {"line": line}
-    for name, spec in data.get("tool", {}).get("poetry", {}).get("dependencies", {}).items():
+    poetry = data.get("tool", {}).get("poetry", {})
+    for name, spec in poetry.get("dependencies", {}).items():
         if name.lower() != "python":
             text = spec if isinstance(spec, str) else spec.get("version", "") if isinstance(spec, dict) else ""
             yield {"name": name, "specifier": text, "extras": ",".join(spec.get("extras", [])) if isinstance(spec, dict) else ""}
@@ -136,7 +137,7 @@ def vulnerability_types(rules: DataFrame) -> DataFrame:
 
 def changed_files(root: str, base: str = "origin/main") -> list[str]:
     """Names of Python files that differ from a git reference; empty where git can't say."""
-    done = subprocess.run(["git", "-C", root, "diff", "--name-only", f"{base}...HEAD"], capture_output=True, text=True, timeout=60)
+    done = subprocess.run(["git", "-C", root, "diff", f"{base}...HEAD", "--name-only"], capture_output=True, text=True, timeout=60)
     return [x for x in done.stdout.splitlines() if x.endswith(".py")] if done.returncode == 0 else []
 
 

@@ -64,7 +64,7 @@ def test_risk(spark):
     rows = spark.createDataFrame([("password", "eval", 1, True), ("x", "socket", 9, False), ("x", "eval", 4, False)], "a string, b string, n int, i boolean")
     got = [r["s"] for r in rows.select(risk.risk_score(F.col("a"), F.col("b"), F.col("n"), F.col("i")).alias("s")).collect()]
     assert got == pytest.approx([100.0, 20.5, 50.5])
-    assert column(spark, [85.0, 84.9, 50.0, 30.0, 1.0], risk.risk_level, "double") == ["CRITICAL", "HIGH", "MEDIUM", "LOW", "SAFE"]
+    assert column(spark, [85.0, 84.9, 50.0, 30.0, 1.0], risk.risk_level, "double") == "CRITICAL HIGH MEDIUM LOW SAFE".split()
 
 
 def test_secrets(spark):
@@ -124,7 +124,7 @@ def test_profiles_and_scanner(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps({"name": "lib", "version": "1", "functions": [{"name": "f", "label": "sink", "parameters": []}]}))
     (tmp_path / "b.json").write_text("{broken")
     assert [(r["library"], r["function"], r["label"]) for r in project.profile_functions(project.profiles(spark, str(tmp_path))).collect()] == [("lib", "f", "sink")]
-    out = spark.createDataFrame([(json.dumps({"results": [{"check_id": "c", "path": "p", "start": {"line": 3, "col": 1}, "extra": {"message": "m"}}]}),), ("oops",)], "content string")
+    out = spark.createDataFrame([(json.dumps({"results": [{"check_id": "c", "path": "p", "extra": {"message": "m"}, "start": {"col": 1, "line": 3}}]}),), ("oops",)], "content string")
     assert {(r["check_id"], r["line"], r["severity"], r["error"]) for r in project.scanner_results(out).collect()} == {("c", 3, "INFO", None), (None, None, None, "unreadable output")}
 
 
