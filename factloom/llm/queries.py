@@ -127,6 +127,37 @@ SELECT page_id, host, path, rule, coalesce(own, passed, 'allow') AS verdict, CAS
 """
 
 
+_WORDS = r"list_filter(string_split_regex({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+OP2_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS ws FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d), x AS (SELECT doc_id, w || ' ' || lead(w) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM w),
+s0 AS (SELECT DISTINCT doc_id, g FROM x WHERE g IS NOT NULL UNION ALL SELECT doc_id, ws[1] FROM d WHERE len(ws) = 1), n AS (SELECT doc_id, count(*) AS n, sha256(string_agg(g, chr(10) ORDER BY g)) AS same FROM s0 GROUP BY 1),
+s AS (SELECT s0.*, n FROM s0 JOIN n USING (doc_id)), p AS (SELECT a.doc_id AS u, b.doc_id AS v FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+e AS (SELECT u, v FROM p UNION ALL SELECT v, u FROM p), r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, e.v FROM r JOIN e ON r.b = e.u), c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept, CASE WHEN same IS NULL THEN doc_id ELSE min(doc_id) OVER (PARTITION BY same) END AS class_id FROM c LEFT JOIN n USING (doc_id)
+"""
+
+
+def _base32(hex_: str) -> str:
+    """Base32 of a SHA-1 given as hex: four letters for each five digits."""
+    five = [f"('0x' || substr({hex_}, {5 * i + 1}, 5))::BIGINT" for i in range(8)]
+    return " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (({x} >> {shift}) & 31)::INT + 1, 1)" for x in five for shift in (15, 10, 5, 0))
+
+
+OP3_SQL = f"""
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages), l AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS last FROM p)
+SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, {_base32("h")} AS payload_digest, CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < last THEN last END AS refers_to, url, NULL::VARCHAR AS error FROM l
+"""
+
+OP9_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents), w AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d),
+x AS (SELECT doc_id, i, w || {" || ".join(f"' ' || lead(w, {k}) OVER o" for k in range(1, 13))} AS g FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+f AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS first FROM x WHERE g IS NOT NULL) WHERE first < doc_id), gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM f),
+k AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS kept, count(*) AS n FROM w ANTI JOIN gone USING (doc_id, i) GROUP BY 1)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_minhash_odd_sketch": op2_minhash_odd_sketch,
@@ -139,4 +170,4 @@ QUERIES = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_gif_media": op10_gif_media,
 }
-ORACLE_SQL = {"op1_quality_rules": OP1_SQL, "op8_url_filters": _op8_sql()}
+ORACLE_SQL = {"op1_quality_rules": OP1_SQL, "op2_minhash_odd_sketch": OP2_SQL, "op3_warc": OP3_SQL, "op8_url_filters": _op8_sql(), "op9_substring_dedup": OP9_SQL}
