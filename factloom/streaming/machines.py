@@ -1,13 +1,13 @@
 """State machines over ordered events: budgets, cooldowns, breakers, caches; windows over streams.
 
-A machine whose next state depends on its own decisions is a fold over the ordered events of its key, in one expression
-(``aggregate`` over a sorted array of the key's events: a scan's requests, not a corpus) or, on a stream, in
-``applyInPandasWithState`` with the same step. Both use the plain step functions below, so that they can't differ.
+A machine whose next state depends on its own decisions reads the events of a key in order. In a batch the rows are
+partitioned by key and sorted, and a task steps through them with one state at a time, so that no key's rows are ever held;
+on a stream the state is kept between batches. Both use the plain step functions below, so that they can't differ.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -19,18 +19,37 @@ def _micros(at: Column) -> Column:
     return F.unix_micros(at.cast("timestamp"))
 
 
+def fold(rows: DataFrame, key: str, order: list[str], start: Callable[[], object], step: Callable, added: str) -> DataFrame:
+    """All rows with the columns that ``step(state, row) -> (state, values)`` gives, each key from its own start, in order.
+
+    ``added`` names and types these columns. A hot key takes one task, as its machine is sequential, but bounded memory."""
+    names = [c.split()[0] for c in added.split(", ")]
+    at = rows.columns.index(key)
+
+    def kernel(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state, last = None, object()
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False):
+                if state is None or row[at] != last:
+                    state, last = start(), row[at]
+                state, values = step(state, row)
+                out.append(values)
+            yield pdf.assign(**{n: [v[i] for v in out] for i, n in enumerate(names)})
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes) + ", " + added
+    return rows.repartition(key).sortWithinPartitions(key, *order).mapInPandas(kernel, schema)
+
+
 def budget_admission(requests: DataFrame, key: str, order: list[str], cost: str, most: int) -> DataFrame:
     """Adds admitted and spent_before: a request is admitted if it fits in what is left; a rejected one spends nothing."""
-    rows = requests.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(cost).cast("long").alias("_cost")))).alias("r"))
-    start = F.struct(F.lit(0).cast("long").alias("spent"), F.array().cast("array<struct<admitted:boolean,spent_before:bigint>>").alias("out"))
+    at = requests.columns.index(cost)
 
-    def step(acc: Column, x: Column) -> Column:
-        ok = acc["spent"] + x["_cost"] <= most
-        return F.struct(F.when(ok, acc["spent"] + x["_cost"]).otherwise(acc["spent"]).alias("spent"), F.concat(acc["out"], F.array(F.struct(ok.alias("admitted"), acc["spent"].alias("spent_before")))).alias("out"))
+    def step(spent: int, row: tuple) -> tuple[int, tuple[bool, int]]:
+        ok = spent + row[at] <= most
+        return (spent + row[at] if ok else spent), (ok, spent)
 
-    folded = rows.select(key, "r", F.aggregate("r", start, step)["out"].alias("o"))
-    each = folded.select(key, F.inline(F.zip_with("r", "o", lambda a, b: F.struct(*[a[c].alias(c) for c in order], a["_cost"].alias(cost), b["admitted"].alias("admitted"), b["spent_before"].alias("spent_before")))))
-    return each
+    return fold(requests, key, order, int, step, "admitted boolean, spent_before long")
 
 
 def cooldown(events: DataFrame, key: str, at: str, limited: Column, seconds: int = 60) -> DataFrame:
@@ -60,14 +79,12 @@ BREAKER = "key string, event_id long, allowed boolean, tried_in string, state st
 def circuit_breaker(events: DataFrame) -> DataFrame:
     """Runs a breaker per key over columns key, event_id, now (seconds) and failed; batch form."""
 
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, out = ("CLOSED", 0, 0.0), []
-        for r in pdf.sort_values(["now", "event_id"]).itertuples(index=False):
-            state, allowed, tried = breaker_step(state, r.now, r.failed)
-            out.append((r.key, r.event_id, allowed, tried, state[0]))
-        return pd.DataFrame(out, columns=["key", "event_id", "allowed", "tried_in", "state"])
+    def step(state: tuple, row: tuple) -> tuple[tuple, tuple[bool, str, str]]:
+        state, allowed, tried = breaker_step(state, row.now, row.failed)
+        return state, (allowed, tried, state[0])
 
-    return events.select("key", "event_id", "now", "failed").groupBy("key").applyInPandas(kernel, BREAKER)
+    rows = events.select("key", "event_id", "now", "failed")
+    return fold(rows, "key", ["now", "event_id"], lambda: ("CLOSED", 0, 0.0), step, "allowed boolean, tried_in string, state string").drop("now", "failed")
 
 
 def circuit_breaker_stream(events: DataFrame) -> DataFrame:
