@@ -159,3 +159,33 @@ def version_key(version: Column) -> Column:
     numbers = F.transform(F.split(F.regexp_extract(version, r"\A[vV]?(\d+(?:\.\d+)*)", 1), r"\."), lambda x: F.coalesce(x.try_cast("long"), F.lit(0).cast("long")))
     final = F.when(version.rlike(r"(?i)\d(a|b|rc|alpha|beta|\.?dev)\d*"), 0).otherwise(1)
     return F.concat(F.slice(F.concat(numbers, F.array_repeat(F.lit(0).cast("long"), 4)), 1, 4), F.array(final.cast("long")))
+
+
+def span_text(source: Column, start_line: Column, start_col: Column, end_line: Column, end_col: Column) -> Column:
+    """Text of a span of lines (from 1) and byte columns (from 0); empty where the span doesn't lie in the source."""
+    lines = F.split(source, "\n")
+    piece = lambda line, a, n: F.decode(F.substring(F.encode(line, "UTF-8"), a + 1, n), "UTF-8")
+    first, last = F.get(lines, start_line - 1), F.get(lines, end_line - 1)
+    one = piece(first, start_col, end_col - start_col)
+    many = F.array_join(F.concat(F.array(piece(first, start_col, F.lit(1 << 30))), F.slice(lines, start_line + 1, F.greatest(end_line - start_line - 1, F.lit(0))), F.array(piece(last, F.lit(0), end_col))), "\n")
+    fits = (start_line >= 1) & (end_line >= start_line) & (end_line <= F.size(lines)) & (start_col >= 0) & ((end_line > start_line) | (end_col >= start_col))
+    return F.when(fits & (start_line == end_line), one).when(fits, many).otherwise("")
+
+
+def whole_number(text: Column, fallback: int) -> Column:
+    """An integer from text, with a fallback for what is none."""
+    return F.coalesce(F.trim(text).try_cast("int"), F.lit(fallback))
+
+
+def named(text: Column, fallback: str) -> Column:
+    """Trimmed text, with a fallback for null and blank."""
+    return F.coalesce(F.when(F.trim(text) != "", F.trim(text)), F.lit(fallback))
+
+
+def iso_utc(at: Column) -> Column:
+    return F.date_format(at.cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def stamp(at: Column) -> Column:
+    """Sortable digits, as snapshot folders are named."""
+    return F.date_format(at.cast("timestamp"), "yyyyMMddHHmmss")

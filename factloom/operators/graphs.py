@@ -124,6 +124,25 @@ def block_of(findings: DataFrame, stmts: DataFrame, key: str = "file_path") -> D
     return hit.groupBy(*findings.columns).agg(F.min("block_id").alias("block_id"))
 
 
+def node_of(flows: DataFrame, nodes: DataFrame, key: str = "file_path") -> DataFrame:
+    """The first syntax node of each flow's sink: equal in all four places of the span; null: none."""
+    on = [key, "start_line", "start_col", "end_line", "end_col"]
+    return flows.join(nodes.groupBy(*on).agg(F.min_by("id", "seq").alias("node_id")), on, "left")
+
+
+def block_sources(files: DataFrame, blocks: DataFrame, key: str = "file_path") -> DataFrame:
+    """The lines of each block from its first to its last statement; empty blocks have none."""
+    b = blocks.filter("start_line > 0").select(key, "block_id", "start_line", "end_line")
+    text = F.array_join(F.slice(F.split("source", "\n"), F.col("start_line"), F.col("end_line") - F.col("start_line") + 1), "\n")
+    return b.join(files.select(key, "source"), key).select(key, "block_id", text.alias("text"))
+
+
+def block_versions(stmts: DataFrame, phis: DataFrame, key: str = "file_path") -> DataFrame:
+    """Per block the sorted phi results with their inputs, for blocks that have statements."""
+    p = phis.select(key, "block_id", F.struct("result", F.array_sort(F.map_values("operands")).alias("inputs")).alias("phi"))
+    return stmts.select(key, "block_id").distinct().join(p, [key, "block_id"], "left").groupBy(key, "block_id").agg(F.array_sort(F.collect_set("phi")).alias("phis"))
+
+
 def trace(flows: DataFrame, key: str = "file_path") -> DataFrame:
     """Nodes n1 to nk of each flow's path with their kinds, and the node before."""
     at = flows.select(key, "seq", F.size("path").alias("n"), F.posexplode("path").alias("i", "version"))

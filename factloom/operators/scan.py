@@ -7,16 +7,22 @@ from pyspark.sql import functions as F
 
 from factloom.functions import text as T
 
-#: check_id, severity, CWE, how it matches: resolved call, or a name assigned a literal
+#: check_id, severity, CWE, how it matches, and the pattern of the resolved call or of the assigned name.
+#: call: any call; open: with a first argument that isn't a literal; built: with one that is built from parts, there or in an
+#: assignment before; assign: a name that is given a string; debug: with a keyword of that name; setup: in install scripts.
 RULES = [
     ("python.command-injection", "ERROR", "CWE-78", "call", r"^(os\.system|os\.popen|subprocess\.(call|run|Popen|check_output))$"),
     ("python.code-execution", "ERROR", "CWE-94", "call", r"^(eval|exec|compile)$"),
     ("python.insecure-deserialization", "ERROR", "CWE-502", "call", r"^(pickle\.loads?|yaml\.load|marshal\.loads?)$"),
     ("python.weak-crypto", "WARNING", "CWE-327", "call", r"^hashlib\.(md5|sha1)$"),
     ("python.hardcoded-secret", "WARNING", "CWE-798", "assign", r"(?i)(password|passwd|secret|api_key|token)"),
-    ("python.path-traversal", "ERROR", "CWE-22", "call", r"^open$"),
+    ("python.path-traversal", "ERROR", "CWE-22", "open", r"^open$"),
     ("python.debug-enabled", "ERROR", "CWE-489", "debug", r"\.run$"),
-]
+    ("python.sql-injection", "ERROR", "CWE-89", "built", r"\.execute(many|script)?$"),
+    ("python.ssti", "ERROR", "CWE-1336", "open", r"(^|\.)(render_template_string|Template)$"),
+    ("python.supply-chain-code-execution", "ERROR", "CWE-94", "setup", r"^(eval|exec|os\.system|os\.popen|subprocess\.\w+)$"),
+    ("python.supply-chain-network-access", "ERROR", "CWE-200", "setup", r"^(requests|urllib|socket|http)\."),
+]
 WEAK_KEYS = ("secret", "changeme", "password", "django-insecure", "default")
 
 
@@ -38,24 +44,27 @@ def high_entropy_tokens(docs: DataFrame, key: str, text: str = "text", least: in
 
 
 def rule_findings(nodes: DataFrame) -> DataFrame:
-    """Findings of the rule pack over syntax nodes: a small table of rules against resolved calls and assignments."""
-    calls = nodes.filter("kind = 'Call'")
+    """Findings of the rule pack over syntax nodes: resolved calls, their first arguments and assignments, by equi joins within a file."""
     attrs = F.parse_json("attrs")
-    parts = []
-    for check, severity, cwe, how, pattern in RULES:
-        if how == "assign":
-            target = F.variant_get(attrs, "$.targets[0]", "string")
-            value = nodes.select("file_path", F.col("id").alias("value_id"), F.try_variant_get(F.parse_json("attrs"), "$.value_type", "string").alias("value_type"))
-            hit = nodes.filter("kind = 'Assign'").withColumn("value_id", F.variant_get(attrs, "$.value_id", "string")).filter(target.rlike(pattern)).join(value, ["file_path", "value_id"]).filter("value_type = 'str'")
-        elif how == "debug":
-            hit = calls.filter(F.col("resolved").rlike(pattern) & F.contains("attrs", F.lit('"debug"')))
-        else:
-            hit = calls.filter(F.col("resolved").rlike(pattern))
-        parts.append(hit.select("file_path", F.lit(check).alias("check_id"), F.lit(severity).alias("severity"), F.lit(cwe).alias("cwe"), F.col("start_line").alias("line"), F.col("start_col").alias("column")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    at = lambda path: F.try_variant_get(attrs, path, "string")
+    value = nodes.select("file_path", F.col("id").alias("_id"), F.col("kind").alias("_kind"), F.col("name").alias("_name"), F.col("scope_id").alias("_scope"), at("$.value_type").alias("_type"), (at("$.op").isin("Add", "Mod") & (F.col("kind") == "BinOp") | F.contains("attrs", F.lit('"unsupported": true'))).alias("_built"), F.col("seq").alias("_seq"))
+    assigned = nodes.filter("kind = 'Assign'").select("file_path", "scope_id", "start_line", "start_col", "seq", at("$.targets[0]").alias("target"), at("$.value_id").alias("_id")).join(value.drop("_name"), ["file_path", "_id"])
+    earlier = assigned.filter("_built").select("file_path", F.col("scope_id").alias("_scope"), F.col("target").alias("_name"), F.col("seq").alias("_before")).groupBy("file_path", "_scope", "_name").agg(F.min("_before").alias("_before"))
+    calls = nodes.filter("kind = 'Call'").withColumn("_id", at("$.args[0]")).join(value, ["file_path", "_id"], "left").join(earlier, ["file_path", "_scope", "_name"], "left")
+    installer = F.element_at(F.split("file_path", "/"), -1).isin("install.py", "setup.py")
+    when = {
+        "call": F.lit(True),
+        "open": F.col("_kind").isNotNull() & ((F.col("_kind") != "Literal") | F.coalesce("_built", F.lit(False))),
+        "built": F.coalesce("_built", F.lit(False)) | F.coalesce((F.col("_kind") == "Name") & (F.col("_before") < F.col("seq")), F.lit(False)),
+        "debug": F.contains("attrs", F.lit('"debug"')),
+        "setup": installer,
+    }
+    hit = lambda c, s, w: F.struct(F.lit(c).alias("check_id"), F.lit(s).alias("severity"), F.lit(w).alias("cwe"))
+    found = F.array_compact(F.array(*[F.when(F.col("resolved").rlike(p) & when[how], hit(c, s, w)) for c, s, w, how, p in RULES if how != "assign"]))
+    names = F.array_compact(F.array(*[F.when(F.col("target").rlike(p) & (F.col("_type") == "str"), hit(c, s, w)) for c, s, w, how, p in RULES if how == "assign"]))
+    place = [F.col("start_line").alias("line"), F.col("start_col").alias("column")]
+    out = calls.select("file_path", F.inline(found), *place).unionByName(assigned.select("file_path", F.inline(names), *place))
+    return out.select("file_path", "check_id", "severity", "cwe", "line", "column")
 
 
 def fingerprint(rule: Column, path: Column, line: Column, column: Column, sink: Column, source: Column, code_hash: Column) -> Column:

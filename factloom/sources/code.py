@@ -77,3 +77,8 @@ def parse(files: DataFrame, every_scope: bool = False) -> DataFrame:
 def table(parsed: DataFrame, name: str) -> DataFrame:
     """One table of facts, a row per fact; the columns of the other tables are pruned after the parse."""
     return parsed.select("file_path", F.inline(name))
+
+
+def no_facts(spark: SparkSession) -> dict[str, DataFrame]:
+    """Empty tables of facts: what a parser of another language starts from, and fills by the same schemas."""
+    return {name: spark.createDataFrame([], "file_path string, " + re.sub(r"(^|, )(\w+) (?=[a-z])", r"\1`\2` ", row)) for name, row in TABLES.items()}

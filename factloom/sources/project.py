@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import subprocess
 import tomllib
 from collections.abc import Iterable, Iterator
@@ -141,6 +142,46 @@ def changed_files(root: str, base: str = "origin/main") -> list[str]:
     return [x for x in done.stdout.splitlines() if x.endswith(".py")] if done.returncode == 0 else []
 
 
+def head_commit(root: str) -> str | None:
+    """The commit that a checkout is at; null where git can't say."""
+    done = subprocess.run(["git", "-C", root, "rev-parse", "HEAD"], capture_output=True, text=True, timeout=60)
+    return done.stdout.strip() if done.returncode == 0 else None
+
+
+def run_scanner(targets: DataFrame, command: list[str], timeout: int = 120) -> DataFrame:
+    """Runs an external scanner on each row's target (column target) and gives its output as column content.
+
+    What goes wrong is a document with an error instead: not installed, timed out, failed without output, or no JSON."""
+
+    def one(target: str) -> str:
+        try:
+            done = subprocess.run([*command, target], capture_output=True, text=True, timeout=timeout)
+        except FileNotFoundError:
+            return json.dumps({"error": "not installed", "results": []})
+        except subprocess.TimeoutExpired:
+            return json.dumps({"error": f"no answer within {timeout} s", "results": []})
+        if not done.stdout.strip():
+            return json.dumps({"error": done.stderr.strip()[-500:] or f"exit code {done.returncode}", "results": []})
+        return done.stdout
+
+    def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([one(t) for t in b.column(0).to_pylist()], pa.string())], ["target", "content"])
+
+    return targets.select("target").mapInArrow(kernel, "target string, content string")
+
+
+def read_rules(text: str) -> list[dict]:
+    """Rules of a pack in YAML: id, severity, message, CWE; a bounded configuration file, read by the driver."""
+    import yaml
+
+    out = []
+    for r in (yaml.safe_load(text) or {}).get("rules", []):
+        cwe = (r.get("metadata") or {}).get("cwe")
+        out.append({"check_id": r.get("id"), "severity": r.get("severity", "INFO"), "message": (r.get("message") or "").strip(), "cwe": cwe[0] if isinstance(cwe, list) and cwe else cwe})
+    return out
+
+
 def training_corpus(rows: DataFrame, groups: list[tuple[str, str]], text: str = "text", low: int = 100, high: int = 4096) -> DataFrame:
     """Rows of a bounded length with the first group whose pattern fits; others go."""
     kind: Column | None = None

@@ -128,6 +128,40 @@ def test_profiles_and_scanner(spark, tmp_path):
     assert {(r["check_id"], r["line"], r["severity"], r["error"]) for r in project.scanner_results(out).collect()} == {("c", 3, "INFO", None), (None, None, None, "unreadable output")}
 
 
+def test_rules(spark):
+    source = "q = 'a' + x\ncur.execute(q)\ncur.execute('a %s' % x)\ncur.execute(f'a {x}')\ncur.execute('a', x)\nopen('a')\nopen(p)\nrender_template_string(t)\nrequests.get(u)\npickle.loads(b)\n"
+    parsed = code.parse(spark.createDataFrame([("pkg/a.py", source), ("pkg/setup.py", "import os\nos.system('x')\nrequests.get('u')\n")], "file_path string, source string"))
+    got = {(os.path.basename(r["file_path"]), r["check_id"].removeprefix("python."), r["line"]) for r in scan.rule_findings(code.table(parsed, "nodes")).collect()}
+    assert got == {("a.py", "sql-injection", 2), ("a.py", "sql-injection", 3), ("a.py", "sql-injection", 4), ("a.py", "path-traversal", 7), ("a.py", "ssti", 8), ("a.py", "insecure-deserialization", 10), ("setup.py", "command-injection", 2), ("setup.py", "supply-chain-code-execution", 2), ("setup.py", "supply-chain-network-access", 3)}
+
+
+def test_spans_blocks_and_nodes(spark):
+    source = "é = 'ab'\nb = (é +\n 'c')\nif b:\n    eval(b)\n"
+    rows = spark.createDataFrame([(source, *x) for x in ((1, 0, 1, 2), (1, 5, 1, 9), (2, 4, 3, 4), (9, 0, 9, 1), (2, 5, 2, 1))], "s string, a int, b int, c int, d int")
+    assert [r["y"] for r in rows.select(T.span_text(*[F.col(c) for c in "sabcd"]).alias("y")).collect()] == ["é", "'ab'", "(é +\n 'c'", "", ""]
+    files = spark.createDataFrame([("a.py", "a = input()\nif a:\n    b = 1\neval(a)\n")], "file_path string, source string")
+    parsed = code.parse(files)
+    assert {(r["block_id"], r["text"]) for r in graphs.block_sources(files, code.table(parsed, "blocks")).collect()} == {(1, "a = input()\nif a:"), (2, "    b = 1"), (3, "eval(a)")}
+    assert graphs.node_of(code.table(parsed, "flows"), code.table(parsed, "nodes")).first()["node_id"].startswith("Call:a.py:4:0")
+    assert {r["block_id"]: len(r["phis"]) for r in graphs.block_versions(code.table(parsed, "stmts"), code.table(parsed, "phis")).collect()} == {1: 0, 2: 0, 3: 1}
+    assert all(t.isEmpty() for t in code.no_facts(spark).values())
+
+
+def test_coercions(spark):
+    assert column(spark, ["7", " 8 ", "x", None], lambda c: T.whole_number(c, -1)) == [7, 8, -1, -1]
+    assert column(spark, [" a ", " ", None], lambda c: T.named(c, "none")) == ["a", "none", "none"]
+    assert column(spark, ["2024-01-02 03:04:05"], T.iso_utc) == ["2024-01-02T03:04:05Z"] and column(spark, ["2024-01-02 03:04:05"], T.stamp) == ["20240102030405"]
+
+
+def test_scanner_errors(spark):
+    t = spark.createDataFrame([("x",)], "target string")
+    say = lambda cmd: json.loads(project.run_scanner(t, cmd, 5).first()["content"])
+    assert say(["/no/such/tool"])["error"] == "not installed"
+    assert say([sys.executable, "-c", "import sys; sys.exit('bad')"])["error"] == "bad"
+    assert say([sys.executable, "-c", "print('{\"results\": []}')"]) == {"results": []}
+    assert project.read_rules("rules:\n- id: a.b\n  severity: ERROR\n  message: m\n  metadata: {cwe: [CWE-1]}\n") == [{"check_id": "a.b", "severity": "ERROR", "message": "m", "cwe": "CWE-1"}]
+
+
 def test_git(tmp_path):
     assert project.changed_files(str(tmp_path)) == []
     git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=x", "-c", "user.email=x@x", *a], check=True, capture_output=True)
@@ -140,6 +174,7 @@ def test_git(tmp_path):
     git("add", "-A")
     git("commit", "-qm", "b")
     assert project.changed_files(str(tmp_path), "HEAD~1") == ["b.py"]
+    assert len(project.head_commit(str(tmp_path))) == 40 and project.head_commit("/") is None
 
 
 def test_reports(spark):
