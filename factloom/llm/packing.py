@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.llm.bpe import WordMerges
 from factloom.llm.common import part, utf8
 
 #: Documents of a group, about. Its texts are all that a task holds.
@@ -95,43 +96,24 @@ def pack(lengths: list[int], room: int) -> list[list[tuple[int, int, int]]]:
     return out
 
 
-class Vocabulary(dict):
-    """Ids of a word as little-endian unsigned 32-bit integers, by a tokenizer that never joins across white space.
+class Vocabulary:
+    """Ids of words as little-endian unsigned 32-bit integers, by a tokenizer that never joins across white space.
 
-    Two bounded generations of a memo keep the frequent words; others are tokenised together per group."""
+    A bounded memo keeps the words of the last groups; new words are merged together, many at a time."""
 
-    LIMIT = 150_000
+    LIMIT = 220_000
 
     def __init__(self, path: str):
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        self.merges, self.memo = WordMerges(path), {}
 
-        self.tokenizer, self.old = Tokenizer.from_file(path), {}
-
-    def learn(self, words: Iterable[bytes]) -> dict[bytes, bytes]:
+    def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
         """A table that has all of the words."""
-        miss = []
-        table = {}
-        for w in words:
-            ids = self.get(w)
-            if ids is None:
-                ids = self.old.get(w)
-            if ids is None:
-                miss.append(w)
-            else:
-                table[w] = ids
-        for at in range(0, len(miss), 4096):
-            chunk = miss[at : at + 4096]
-            for w, e in zip(chunk, self.tokenizer.encode_batch_fast([w.decode() for w in chunk], add_special_tokens=False)):
-                table[w] = np.array(e.ids, "<u4").tobytes()
-        for w in table:
-            if len(w) <= 64 and w not in self:
-                if len(self) >= self.LIMIT:
-                    self.old = dict(self)
-                    self.clear()
-                self[w] = table[w]
-        return table
+        new = list(words.difference(self.memo))
+        if len(self.memo) + len(new) > self.LIMIT:
+            self.memo = {w: self.memo[w] for w in words if w in self.memo}
+        self.memo.update(zip(new, self.merges.encode(new)))
+        return self.memo
 
 
 _VOCABULARY: dict[str, Vocabulary] = {}
@@ -144,10 +126,10 @@ def word_ids(path: str, end: int) -> Callable[[list[bytes | None]], list[bytes]]
         if path not in _VOCABULARY:
             _VOCABULARY[path] = Vocabulary(path)
         last, out = np.array([end], "<u4").tobytes(), []
-        for at in range(0, len(texts), 128):
-            split = [(t or b"").split() for t in texts[at : at + 128]]
-            table = _VOCABULARY[path].learn({w for ws in split for w in ws})
-            out += [b"".join([table[w] for w in ws]) + last for ws in split]
+        for at in range(0, len(texts), 512):
+            split = [(t or b"").split() for t in texts[at : at + 512]]
+            get = _VOCABULARY[path].learn(set().union(*split)).__getitem__
+            out += [b"".join(map(get, ws)) + last for ws in split]
         return out
 
     return tokenise
@@ -159,9 +141,9 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 def pack_documents(docs: DataFrame, tokenise: Callable[[list[bytes | None]], list[bytes]], room: int = 2048, group_rows: int = GROUP_ROWS, seed: int = 5, with_ids: bool = False) -> DataFrame:
     """A row per piece of a document; with_ids adds the piece's ids (binary, little-endian unsigned 32-bit).
 
-    Groups are drawn by a seeded hash of the id, so they mix sources and lengths; a task holds one group's texts and ids.
-    Null and empty texts have only the final id. Repeated rows are packed each; rows of one id fall in one group, which a
-    table of distinct ids keeps near group_rows. Null ids are packed too. Other columns are ignored; an empty table gives
+    Groups are drawn by a seeded hash of id and text, so they mix sources and lengths, and copies of a text and rows without
+    an id spread; a task holds one group's texts and ids. Null and empty texts have only the final id. Repeated rows are
+    packed each, all in one group. Null ids are packed too. Other columns are ignored; an empty table gives
     none. A sequence is named by its group and its place there, so a lost task gives the same pieces again."""
     groups = max(1, -(-docs.count() // group_rows))
 
@@ -182,5 +164,5 @@ def pack_documents(docs: DataFrame, tokenise: Callable[[list[bytes | None]], lis
         out = {k: pa.array(c, pa.int64()) for k, c in zip(names, cols)}
         return pa.table(out | ({"ids": pa.array(cols[7], pa.binary())} if with_ids else {}))
 
-    rows = docs.select(part(groups, [F.lit(seed), F.col("doc_id")]).cast("long").alias("_group"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select(part(groups, [F.lit(seed), F.col("doc_id"), F.xxhash64("text")]).cast("long").alias("_group"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.groupBy("_group").applyInArrow(kernel, PIECES + ", ids binary" * with_ids)

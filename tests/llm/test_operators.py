@@ -321,6 +321,25 @@ def test_packing(spark, docs, corpus, empty):
     assert packing.pack_documents(empty, packing.word_ids(path, 1)).isEmpty()
 
 
+def test_word_merges_are_the_tokenizers():
+    """Bulk merges against the tokenizer itself, on words with marks, accents, foreign scripts, contractions and special tokens."""
+    from factloom.llm.bpe import WordMerges
+
+    path = queries.public_tokenizers.path("word_bpe_49k.json")
+    rng, merges = random.Random(6), WordMerges(path)
+    letters = "abzAZ'sS.,!?0129éÉßİΣσςǅñ漢字\u0301\u00b2💡|<>-_dDlLtTvVrReEth"
+    made = {"".join(rng.choice(letters) for _ in range(rng.randrange(1, 14))).encode() for _ in range(8000)}
+    made |= {b"<|endoftext|>", b"a<|startoftext|>b", b"x" * 3000, "é".encode() * 40, b"the", b"don't", b"I'LL"}
+    tokens = [t for t in made if t.split() == [t]]
+    want = [np.array(e.ids, "<u4").tobytes() for e in merges.whole.encode_batch([t.decode() for t in tokens], add_special_tokens=False)]
+    assert merges.encode(tokens) == want and merges.encode([]) == []
+    vocabulary = packing.Vocabulary(path)
+    vocabulary.LIMIT = 50
+    for at in range(0, 200, 20):  # the memo is cut again and again
+        table = vocabulary.learn(set(tokens[at : at + 40]))
+        assert all(table[t] == w for t, w in zip(tokens[at : at + 40], want[at : at + 40]))
+
+
 def test_first_fit_decreasing():
     rng = random.Random(4)
     tree, plain = packing.Tournament(40, 50), [50] * 40
