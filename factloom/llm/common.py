@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -80,7 +81,7 @@ def utf8(column: pa.Array) -> list[bytes | None]:
 class WordHash(dict):
     """64-bit hashes of words; two generations of a bounded memo keep the frequent words."""
 
-    def __init__(self, limit: int = 100_000):
+    def __init__(self, limit: int = 80_000):
         super().__init__()
         self.limit, self.old = limit, {}
 
@@ -106,8 +107,7 @@ def hash_words(docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in order, and the offset of each document (one more than documents)."""
     ends = np.zeros(len(docs) + 1, np.int64)
     np.cumsum([len(d) for d in docs], out=ends[1:])
-    get = WORD_HASH.__getitem__
-    flat = np.fromiter((get(w) for d in docs for w in d), U64, int(ends[-1]))
+    flat = np.fromiter(map(WORD_HASH.__getitem__, chain.from_iterable(docs)), U64, int(ends[-1]))
     return flat, ends
 
 

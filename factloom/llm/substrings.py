@@ -127,7 +127,7 @@ def repeated_spans(docs: DataFrame, width: int = 13) -> DataFrame:
     shared = shared.select("h", F.explode(F.concat(F.array("doc_id"), F.coalesce("others", F.array().cast("array<long>")))).alias("doc_id"))
     shared = durable(shared.groupBy("doc_id").agg(F.collect_set("h").alias("anchors")))
 
-    open_ = first.join(_bounded(shared, F.size("anchors")), "doc_id").select("doc_id", "text", "anchors")
+    open_ = first.join(shared, "doc_id").select("doc_id", "text", "anchors")
     rows = open_.mapInArrow(_candidates(width), "w long, doc_id long, pos int, docs array<long>, poss array<int>")
     index = rows.select("*", F.min("doc_id").over(Window.partitionBy("w")).alias("least"))
     each = F.concat(F.array(F.struct("doc_id", "pos")), F.coalesce(F.zip_with("docs", "poss", lambda d, p: F.struct(d.alias("doc_id"), p.alias("pos"))), F.array().cast("array<struct<doc_id:long,pos:int>>")))
@@ -137,15 +137,9 @@ def repeated_spans(docs: DataFrame, width: int = 13) -> DataFrame:
     return spans.select("doc_id", F.lit(False).alias("copy"), "starts", "ends").unionByName(whole)
 
 
-def _bounded(table: DataFrame, elements, most: int = 8_000_000) -> DataFrame:
-    """A broadcast hint for a durable table of arrays, if its rows and elements are few; a larger one shuffles."""
-    return small(table) if (table.agg(F.sum(elements)).first()[0] or 0) <= most else table
-
-
 def marked(docs: DataFrame, width: int = 13) -> DataFrame:
     """All rows and columns of docs with _copy, _starts and _ends (null where nothing goes)."""
-    found = durable(repeated_spans(docs, width))
-    found = _bounded(found, F.size("starts")).select(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy"), F.col("starts").alias("_starts"), F.col("ends").alias("_ends"))
+    found = repeated_spans(docs, width).select(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy"), F.col("starts").alias("_starts"), F.col("ends").alias("_ends"))
     return docs.join(found, F.col("doc_id") == F.col("_id"), "left").drop("_id")
 
 
