@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -130,13 +131,13 @@ def fit(counts: Counter, alphabet: int) -> Model:
 class Identifier:
     """Models of several languages with a bounded memo of word scores."""
 
-    LIMIT = 120_000
+    LIMIT = 250_000
 
     def __init__(self, models: dict[str, Model], scale: float = 1.0, most: dict[str, float] | None = None):
         self.languages, self.models, self.scale = sorted(models), models, scale
         self.most = most or {}
         self._place: dict[bytes, int] = {}
-        self._rows = np.zeros((0, len(models) + 1))
+        self._rows = np.zeros((0, len(models) + 1), np.float32)
 
     def __getstate__(self):
         return {"models": self.models, "scale": self.scale, "most": self.most}
@@ -145,14 +146,17 @@ class Identifier:
         self.__init__(**s)
 
     def _learn(self, tokens: set[bytes]) -> None:
-        new = [t for t in tokens if t not in self._place]
+        """Log probabilities of each token's words by language, and characters counted; when the memo is full only these tokens stay."""
+        new = list(tokens.difference(self._place))
         if len(self._place) + len(new) > self.LIMIT:
-            self._place, self._rows, new = {}, self._rows[:0], list(tokens)
+            kept = [t for t in tokens if t in self._place]
+            self._rows = self._rows[[self._place[t] for t in kept]]
+            self._place = dict(zip(kept, range(len(kept))))
         if not new:
             return
         found = [letters(t.decode("utf-8", "replace")) for t in new]
-        distinct = sorted({w for ws in found for w in ws})
-        rows = np.zeros((len(new), len(self.languages) + 1))
+        distinct = list({w for ws in found for w in ws})
+        rows = np.zeros((len(new), len(self.languages) + 1), np.float32)
         if distinct:
             number = {w: i for i, w in enumerate(distinct)}
             per = np.stack([self.models[x].word_scores(distinct) for x in self.languages] + [np.array([len(w) + 1 for w in distinct], float)], axis=1)
@@ -160,15 +164,20 @@ class Identifier:
             of = np.array([number[w] for ws in found for w in ws], np.int64)
             for j in range(per.shape[1]):
                 rows[:, j] = np.bincount(owner, per[of, j], len(new))
-        self._place.update(zip(new, range(len(self._rows), len(self._rows) + len(new))))
-        self._rows = np.concatenate([self._rows, rows])
+        first = len(self._place)
+        self._place.update(zip(new, range(first, first + len(new))))
+        if len(self._rows) < len(self._place):
+            room = np.zeros((max(len(self._place), min(2 * len(self._place), self.LIMIT)), rows.shape[1]), np.float32)
+            room[:first] = self._rows[:first]
+            self._rows = room
+        self._rows[first : first + len(new)] = rows
 
     def entropies(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """Cross-entropy per character of each text and language (nan without letters), and characters counted."""
         split = [(t or b"").split() for t in texts]
-        self._learn({w for ws in split for w in ws})
-        size = np.array([len(ws) for ws in split])
-        at = np.fromiter((self._place[w] for ws in split for w in ws), np.int64, int(size.sum()))
+        self._learn(set().union(*split))
+        size = np.array([len(ws) for ws in split], np.int64)
+        at = np.fromiter(map(self._place.__getitem__, chain.from_iterable(split)), np.int64, int(size.sum()))
         owner = np.repeat(np.arange(len(split)), size)
         rows = self._rows[at]
         sums = np.stack([np.bincount(owner, rows[:, j], len(split)) for j in range(rows.shape[1])], axis=1)
