@@ -829,31 +829,43 @@ def routes_of(tree: ast.AST) -> list[dict]:
     return out
 
 
-def facts(path: str, source: str | None, every_scope: bool = False, name: str = "module") -> dict:
-    """All facts of a file. A file that can't be parsed has its error and no facts."""
-    empty: dict = {k: [] for k in ("nodes", "ir_edges", "symbols", "blocks", "stmts", "cfg_edges", "phis", "ssa", "flows", "calls", "methods", "messages", "signatures", "routes")}
+SYNTAX_TABLES, ALL_TABLES = ("nodes", "ir_edges", "symbols"), ("nodes", "ir_edges", "symbols", "blocks", "stmts", "cfg_edges", "phis", "ssa", "flows", "calls", "methods", "messages", "signatures", "routes")
+
+
+def facts(path: str, source: str | None, every_scope: bool = False, name: str = "module", tables: tuple[str, ...] = ALL_TABLES) -> dict:
+    """The named tables of a file; what none of them needs isn't made. A file that can't be parsed has its error and no facts."""
     try:
         tree = ast.parse(source or "")
-        syntax = Syntax(path)
-        top = syntax.node("Module", tree, None, MODULE)
-        stripped = ast.parse(source or "")
-        drop_docstrings(stripped)
-        for s in stripped.body:
-            syntax.statement(s, top)
-        syntax.tag()
-        syntax.resolve()
+        makers = {}
+        if set(tables) & set(SYNTAX_TABLES):
+            syntax = Syntax(path)
+            top = syntax.node("Module", tree, None, MODULE)
+            stripped = ast.parse(source or "")
+            drop_docstrings(stripped)
+            for s in stripped.body:
+                syntax.statement(s, top)
+            syntax.tag()
+            syntax.resolve()
+            makers |= {
+                "nodes": lambda: [{k: v for k, v in n.items() if k != "attrs"} | {"name": n["attrs"].get("name") or n["attrs"].get("attr"), "resolved": n["attrs"].get("resolved"), "attrs": json.dumps(n["attrs"])} for n in syntax.nodes],
+                "ir_edges": lambda: syntax.edges,
+                "symbols": lambda: list(syntax.symbols.values()),
+            }
         flow = Flow(name).build(tree, every_scope)
-        ssa = Versions(flow)
-        out = {
-            "nodes": [{k: v for k, v in n.items() if k != "attrs"} | {"name": n["attrs"].get("name") or n["attrs"].get("attr"), "resolved": n["attrs"].get("resolved"), "attrs": json.dumps(n["attrs"])} for n in syntax.nodes],
-            "ir_edges": syntax.edges, "symbols": list(syntax.symbols.values()),
-            "blocks": [{"block_id": b, "scope": x["scope"], "n_stmts": len(x["stmts"]), "start_line": min((place(s)[0] for s in x["stmts"]), default=-1), "end_line": max((place(s)[2] for s in x["stmts"]), default=-1)} for b, x in flow.blocks.items()],
-            "stmts": [{"block_id": b, "seq": i, "start_line": place(x)[0], "end_line": place(x)[2]} for b, block in flow.blocks.items() for i, x in enumerate(block["stmts"])],
-            "cfg_edges": [{"src": a, "dst": b, "label": label} for (a, b), label in flow.edges.items()],
-            "phis": [{"block_id": b, "var": p["var"], "result": p["result"], "operands": p["operands"]} for b in flow.blocks for p in ssa.phis[b]],
-            "ssa": [{"var": n, "versions": ssa.counts[n]} for n in ssa.names],
-            "flows": taint(flow, ssa), "calls": calls_of(flow), "methods": methods_of(tree), "messages": messages_of(tree), "signatures": signatures_of(flow), "routes": routes_of(tree),
-        }
-        return {"file_path": path, "error": None, **out}
+        ssa = Versions(flow) if {"phis", "ssa", "flows"} & set(tables) else None
+        makers |= {
+            "blocks": lambda: [{"block_id": b, "scope": x["scope"], "n_stmts": len(x["stmts"]), "start_line": min((place(s)[0] for s in x["stmts"]), default=-1), "end_line": max((place(s)[2] for s in x["stmts"]), default=-1)} for b, x in flow.blocks.items()],
+            "stmts": lambda: [{"block_id": b, "seq": i, "start_line": place(x)[0], "end_line": place(x)[2]} for b, block in flow.blocks.items() for i, x in enumerate(block["stmts"])],
+            "cfg_edges": lambda: [{"src": a, "dst": b, "label": label} for (a, b), label in flow.edges.items()],
+            "phis": lambda: [{"block_id": b, "var": p["var"], "result": p["result"], "operands": p["operands"]} for b in flow.blocks for p in ssa.phis[b]],
+            "ssa": lambda: [{"var": n, "versions": ssa.counts[n]} for n in ssa.names],
+            "flows": lambda: taint(flow, ssa),
+            "calls": lambda: calls_of(flow),
+            "methods": lambda: methods_of(tree),
+            "messages": lambda: messages_of(tree),
+            "signatures": lambda: signatures_of(flow),
+            "routes": lambda: routes_of(tree),
+        }
+        return {"file_path": path, "error": None} | {t: makers[t]() for t in tables}
     except (SyntaxError, ValueError, RecursionError) as e:
-        return {"file_path": path, "error": f"{type(e).__name__}: {e}", **empty}
+        return {"file_path": path, "error": f"{type(e).__name__}: {e}"} | {t: [] for t in tables}

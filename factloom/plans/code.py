@@ -5,6 +5,7 @@ from __future__ import annotations
 import ast
 from collections import Counter
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +16,16 @@ from factloom.sources import code
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return code.table(code.parse(corpus(spark, sf_dir)), name).withColumn("template", template_of())
+    return code.table(code.parse(corpus(spark, sf_dir), tables=(name,)), name).withColumn("template", template_of())
+
+
+def shared(spark: SparkSession, sf_dir: str, *tables: str) -> DataFrame:
+    """Parsed tables that a query reads several times, kept on disk."""
+    return code.parse(corpus(spark, sf_dir), tables=tables).persist(StorageLevel.DISK_ONLY)
+
+
+def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan.rule_findings(code.table(shared(spark, sf_dir, "nodes"), "nodes"))
 
 
 def _files(df: DataFrame, *columns: str) -> DataFrame:
@@ -117,7 +127,7 @@ SYMBOLS = [
 
 def cfg_block_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks, edges and recorded statements per file."""
-    p = code.parse(corpus(spark, sf_dir)).select("file_path", F.size("blocks").alias("blocks"), F.size("cfg_edges").alias("edges"), F.size("stmts").alias("stmts"), F.size("calls").alias("calls"))
+    p = code.parse(corpus(spark, sf_dir), tables=("blocks", "cfg_edges", "stmts", "calls")).select("file_path", F.size("blocks").alias("blocks"), F.size("cfg_edges").alias("edges"), F.size("stmts").alias("stmts"), F.size("calls").alias("calls"))
     return _files(p.withColumn("template", template_of()), "blocks", "edges", "stmts", "calls")
 
 
@@ -169,7 +179,7 @@ DYNAMIC = [(0, 3, "Call", "dynamic,unscannable"), (7, 6, "Call", "dynamic,unscan
 
 
 def call_graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = code.parse(corpus(spark, sf_dir))
+    parsed = shared(spark, sf_dir, "calls", "methods")
     edges = graphs.call_edges(code.table(parsed, "calls"), code.table(parsed, "methods"))
     return _files(edges.withColumn("template", template_of()), "caller", "callee", "type")
 
@@ -194,7 +204,7 @@ ROUTES = [(9, "flask", "/a", "GET", "show"), (9, "flask", "/a", "POST", "show"),
 
 
 def rule_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = scan.rule_findings(_table(spark, sf_dir, "nodes").drop("template"))
+    f = _findings(spark, sf_dir)
     return _files(f.withColumn("template", template_of()), "check_id", "severity", "cwe", "line")
 
 
@@ -207,14 +217,14 @@ _RULE = {r[0]: (r[1], r[2]) for r in scan.RULES}
 
 def findings_to_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each finding's block, by a range join on lines; all are mapped here."""
-    parsed = code.parse(corpus(spark, sf_dir))
+    parsed = shared(spark, sf_dir, "nodes", "stmts")
     found = graphs.block_of(scan.rule_findings(code.table(parsed, "nodes")), code.table(parsed, "stmts"))
     return _files(found.withColumn("template", template_of()), "check_id", "line", "block_id")
 
 
 def findings_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings by severity and check with subtotals (an extension)."""
-    f = scan.rule_findings(_table(spark, sf_dir, "nodes").drop("template"))
+    f = _findings(spark, sf_dir)
     return f.rollup("severity", "check_id").agg(F.count("*").alias("findings"))
 
 

@@ -28,7 +28,9 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """file_path, template and source of a file per part."""
     key = F.col("p_partkey")
     sources = F.array(*[F.lit(t) for t in TEMPLATES])
-    return part(spark, sf_dir).select(F.concat(F.lit("pkg/m"), key.cast("string"), F.lit(".py")).alias("file_path"), (key % K).cast("int").alias("template"), F.get(sources, (key % K).cast("int")).alias("source"))
+    # a file's parse costs far more than its bytes: small tables would else be one task
+    spread = part(spark, sf_dir).select("p_partkey").repartition(2 * spark.sparkContext.defaultParallelism, "p_partkey")
+    return spread.select(F.concat(F.lit("pkg/m"), key.cast("string"), F.lit(".py")).alias("file_path"), (key % K).cast("int").alias("template"), F.get(sources, (key % K).cast("int")).alias("source"))
 
 
 def literal(x) -> str:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.operators import graphs, registry, report, scan
 from factloom.plans.corpus import K, corpus, per_template, template_of
-from factloom.plans.code import FINDINGS, TRACE_ROWS, _RULE
+from factloom.plans.code import _RULE, FINDINGS, TRACE_ROWS, shared
 from factloom.sources import code, project, store
 
 
@@ -61,7 +61,7 @@ SETTINGS_SQL = "SELECT c_custkey AS project, 'DEBUG' AS key, 'true' AS value FRO
 
 def labelled_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Resolved calls joined to the library profiles: sources, sinks and sanitizers."""
-    nodes = code.table(code.parse(corpus(spark, sf_dir)), "nodes").filter("kind = 'Call'")
+    nodes = code.table(code.parse(corpus(spark, sf_dir), tables=("nodes",)), "nodes").filter("kind = 'Call'")
     known = project.standard_profiles(spark).select(F.concat_ws(".", "library", "function").alias("resolved"), "label")
     return nodes.join(F.broadcast(known), "resolved").withColumn("template", template_of()).groupBy("template", "resolved", "label").agg(F.count("*").alias("files"))  # a constant table
 
@@ -107,7 +107,7 @@ TRAINING_SQL = r"""SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)licen[cs]e
 
 def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SARIF results of the corpus' findings with the last insight on each check."""
-    found = scan.rule_findings(code.table(code.parse(corpus(spark, sf_dir)), "nodes"))
+    found = scan.rule_findings(code.table(shared(spark, sf_dir, "nodes"), "nodes"))
     insights = found.filter("check_id LIKE '%execution'").select("file_path", "check_id", F.inline(F.array(F.struct(F.lit(1).alias("seq"), F.lit("True Positive").alias("verdict"), F.lit("a").alias("text")), F.struct(F.lit(2).alias("seq"), F.lit("False Positive").alias("verdict"), F.lit("b").alias("text")))))
     rows = report.sarif_rows(report.with_insights(found, insights)).withColumn("template", template_of())
     return rows.groupBy("template", F.get_json_object("result", "$.ruleId").alias("rule"), F.get_json_object("result", "$.level").alias("level"), F.get_json_object("result", "$.locations[0].physicalLocation.region.startLine").cast("int").alias("line")).agg(F.count("*").alias("files"))
@@ -118,7 +118,7 @@ REPORT = [(t, c, "note" if c.endswith("execution") else {"ERROR": "error"}.get(_
 
 def graph_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Traces of flows as graph documents: nodes and edges of each."""
-    g = report.graph_rows(graphs.trace(code.table(code.parse(corpus(spark, sf_dir)), "flows"))).withColumn("template", template_of())
+    g = report.graph_rows(graphs.trace(code.table(code.parse(corpus(spark, sf_dir), tables=("flows",)), "flows"))).withColumn("template", template_of())
     n = lambda at: F.size(F.from_json(F.get_json_object("graph", at), "array<string>"))
     return g.groupBy("template", "seq", n("$.nodes").alias("nodes"), n("$.edges").alias("edges")).agg(F.count("*").alias("files"))
 

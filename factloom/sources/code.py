@@ -38,8 +38,6 @@ def _array(row: str) -> str:
     return "array<struct<" + re.sub(r"(^|, )(\w+) (?=[a-z])", r"\1`\2`: ", row) + ">>"
 
 
-SCHEMA = "file_path string, error string, " + ", ".join(f"{k} {_array(v)}" for k, v in TABLES.items())
-
 
 def is_binary(path: Column) -> Column:
     """By extension: compiled files are skipped before they are read."""
@@ -53,23 +51,25 @@ def read_python_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.col("path").alias("file_path"), text.alias("source")).withColumn("error", F.when(F.col("source").isNull(), "not UTF-8"))
 
 
-def parse(files: DataFrame, every_scope: bool = False) -> DataFrame:
-    """A row per file: file_path, error and one array of facts per table. Nothing is shuffled; persist it to share the parse."""
+def parse(files: DataFrame, every_scope: bool = False, tables: tuple[str, ...] = tuple(TABLES)) -> DataFrame:
+    """A row per file: file_path, error and one array of facts per table; name the tables that are needed, and only they are made.
+
+    Nothing is shuffled. Each use of the result parses again: persist it, or store it, where several tables are read."""
     from pyspark.sql.types import _parse_datatype_string
 
     def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 64):
                 part = b.slice(at, 64)
-                rows = [pyfacts.facts(p or "", s, every_scope) for p, s in zip(part.column(0).to_pylist(), part.column(1).to_pylist())]
+                rows = [pyfacts.facts(p or "", s, every_scope, tables=tables) for p, s in zip(part.column(0).to_pylist(), part.column(1).to_pylist())]
                 for r in rows:
-                    for p in r["phis"]:
+                    for p in r.get("phis", ()):
                         p["operands"] = list(p["operands"].items())
                 yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    schema = _parse_datatype_string(SCHEMA)
+    schema = _parse_datatype_string("file_path string, error string, " + ", ".join(f"{k} {_array(TABLES[k])}" for k in tables))
     arrow = to_arrow_schema(schema)
     return files.select("file_path", "source").mapInArrow(kernel, schema)
 
