@@ -357,13 +357,13 @@ UNION SELECT r.l_orderkey, b.l_linenumber, depth + 1 FROM r JOIN li a ON a.l_ord
 
 
 def backward_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All simple paths back from the last of the first five lines over steps of one and two lines."""
-    li = _read(spark, sf_dir, "lineitem").filter("l_orderkey % 50 = 1 AND l_linenumber <= 5").select("l_orderkey", "l_linenumber").distinct()
-    li.createOrReplaceTempView("backward_lines")
-    return spark.sql("""WITH RECURSIVE p(l_orderkey, node, path) AS (
-      SELECT l_orderkey, max(l_linenumber), array(max(l_linenumber)) FROM backward_lines GROUP BY 1
-      UNION ALL SELECT p.l_orderkey, b.l_linenumber, array_prepend(p.path, b.l_linenumber) FROM p JOIN backward_lines b ON b.l_orderkey = p.l_orderkey AND b.l_linenumber BETWEEN p.node - 2 AND p.node - 1 WHERE NOT array_contains(p.path, b.l_linenumber))
-      SELECT l_orderkey, array_join(path, '>') AS path FROM p WHERE node = 1""")
+    """All simple paths back from the last line of each order to its first over steps of one and two lines.
+
+    Steps only go back, so no line comes twice. An order's lines (few) are walked in one expression; only its paths are many."""
+    li = _read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_set(F.col("l_linenumber").cast("long")), asc=False).alias("lines"))
+    paths = F.expr("""aggregate(slice(lines, 2, size(lines)), array(named_struct('node', lines[0], 'path', cast(lines[0] AS string))), (found, k) -> concat(
+      filter(found, p -> p.node <= k + 1), transform(filter(found, p -> p.node <= k + 2), p -> named_struct('node', k, 'path', concat(k, '>', p.path)))))""")
+    return li.select("l_orderkey", F.explode(paths).alias("p")).filter("p.node = 1").select("l_orderkey", "p.path")
 
 
 PATHS_SQL = """WITH RECURSIVE l AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey % 50 = 1 AND l_linenumber <= 5), p AS (SELECT l_orderkey, max(l_linenumber) AS node, max(l_linenumber)::VARCHAR AS path FROM l GROUP BY 1
