@@ -33,3 +33,18 @@ def test_backward_paths_of_every_order_and_line(spark, lines):
     want = sorted((k, ">".join(map(str, p))) for k, own in orders(rows).items() for p in back(own, max(own)))
     assert len({k for k, _ in want}) > 60 and max(len(p) for _, p in want) == len("1>2>3>4>5>6>7>8>9")
     assert sorted(map(tuple, tables.backward_paths(spark, folder).collect())) == want
+
+
+def test_reach_of_every_order(spark, lines):
+    folder, rows = lines
+    goes = {(k, n) for k, n, *_, flag in rows if flag != "R"}
+    want = []
+    for k, own in orders(rows).items():
+        n = 1
+        while n in own:
+            want.append((k, n, n - 1))
+            if (k, n) not in goes:
+                break
+            n += 1
+    assert {k % 10 for k, *_ in want} == set(range(10))
+    assert sorted(map(tuple, tables.dataflow_reach(spark, folder).collect())) == sorted(want)
