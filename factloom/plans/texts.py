@@ -56,13 +56,14 @@ SELECT origin, id, array_to_string(r, ',') AS reasons, len(r) >= 2 AS obfuscated
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _read(spark, sf_dir, "events").select(F.lit("events").alias("origin"), F.col("event_id").alias("id"), F.col("props").alias("text"))
-    t = t.unionByName(_read(spark, sf_dir, "pages").select(F.lit("pages").alias("origin"), F.col("page_id").alias("id"), F.substring("html", 1, 600).alias("text")))
+    t = t.unionByName(_read(spark, sf_dir, "pages").select(F.lit("pages").alias("origin"), F.col("page_id").alias("id"), F.col("html").alias("text")))
     t = t.unionByName(_read(spark, sf_dir, "conversations").select(F.lit("conversations").alias("origin"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text"))
+    t = t.unionByName(_read(spark, sf_dir, "documents").select(F.lit("documents").alias("origin"), F.col("doc_id").alias("id"), "text"))
     return t.select("origin", "id", "text")
 
 
 def embedded_language_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of each embedded language that SQL can express, for event properties, page heads and conversations."""
+    """Scores of each embedded language that SQL can express, for event properties, whole pages, conversations and documents."""
     t = _scores(spark, sf_dir)
     s = T.embedded_scores(F.col("text"), back_references=False)
     return t.select("origin", "id", *[s[k].alias(k) for k in ("sql", "shell", "xml", "html", "json", "regex")])

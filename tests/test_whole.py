@@ -1,10 +1,13 @@
 """Queries over all rows of their tables, against brute force on fixtures that reach beyond any filter."""
 
-import pytest
+import json
+import re
 
-from factloom.plans import tables
+import pytest
+import yaml
 
-DATA = "/root/testdata/sf0.001"
+from factloom.functions import text as T
+from factloom.plans import tables, texts
 
 
 @pytest.fixture(scope="module")
@@ -48,3 +51,66 @@ def test_reach_of_every_order(spark, lines):
             n += 1
     assert {k % 10 for k, *_ in want} == set(range(10))
     assert sorted(map(tuple, tables.dataflow_reach(spark, folder).collect())) == sorted(want)
+
+
+PROSE = "plain words stand here and more of them follow " * 40
+LATE = [
+    "SELECT a FROM t WHERE b", "ls -la /tmp", "<custom>x</custom>", "<?xml version='1.0'?>", "[0-9]{2}(x).* y", "cat x | grep y", "", "\nkey: value\n- item", "&& {", "<p>x</p>",
+]
+TEXTS = [PROSE + x for x in LATE] + ["The " + PROSE + LATE[0], "a: 1\nb: " + PROSE + "x", json.dumps({"a": PROSE}), "{" + PROSE + "}", json.dumps([PROSE] * 3), "- " + PROSE + "\n- x", None, "", "abc", "12345"]
+
+
+def scores(t, pair=True):
+    """Score of each language by Python's own regular expressions and parsers."""
+    t = t or ""
+    some = lambda ps: max([0.0, *(s for p, s in ps if re.search(p, t))])
+    hits = lambda ps: sum(bool(re.search(p, t)) for p in ps)
+    words = lambda ws: hits([rf"(?i)\b{w}\b" for w in ws])
+    try:
+        json.loads(t)
+        parsed = True
+    except ValueError:
+        parsed = False
+    first = (t.split() or [""])[0].lower()
+    n, m = words(T.SQL_WORDS), hits(T.REGEX_FEATURES)
+    tag = [(T.HTML_PAIR.replace(r"\p{Alpha}", "[A-Za-z]").replace(r"\p{Alnum}", "[A-Za-z0-9]"), 0.95)] if pair else []
+    return {
+        "sql": 0.0 if first in T.PROSE_STARTS else max(some(T.PATTERNS["sql"]), 0.8 if n >= 3 else 0.65 if n >= 2 else 0.0),
+        "shell": max(some(T.PATTERNS["shell"]), 0.75 if words(T.SHELL_WORDS) >= 2 else 0.0),
+        "xml": some(T.PATTERNS["xml"]),
+        "html": some(T.PATTERNS["html"] + tag),
+        "json": (0.95 if t.lstrip()[:1] in ("{", "[") else 0.7) if parsed else 0.5 if re.search(r"(?s)\A\s*[\[{].*[\]}]\s*\Z", t) else 0.0,
+        "regex": max(some(T.PATTERNS["regex"]), 0.85 if m >= 3 else 0.7 if m >= 2 else 0.0),
+    }
+
+
+def best(t):
+    s = scores(t)
+    try:
+        found = yaml.safe_load(t or "")
+        y = (0.9 if ":" in t and not t.strip().startswith("{") else 0.75) if isinstance(found, (dict, list)) else 0.0
+    except yaml.YAMLError:
+        y = 0.55 if re.search(r"(?m)^\s*[-\w]+\s*:(?:\s*).+|^\s*-\s+\w+", t) else 0.0
+    top = max(s.values())
+    name, top = (next(k for k in T.ORDER if s[k] == top), top) if top > 0.5 and len((t or "").strip()) >= 5 else (None, 0.0)
+    return ("yaml", y) if y > 0.5 and y > top else (name, top)
+
+
+@pytest.fixture(scope="module")
+def written(spark, tmp_path_factory):
+    """A folder of the four tables of texts, each with every text."""
+    folder, each = str(tmp_path_factory.mktemp("written")), list(enumerate(TEXTS))
+    for name, kind, rows in (
+        ("documents", "doc_id long, text string", each), ("pages", "page_id long, html string", each), ("events", "event_id long, props string", each), ("conversations", "conv_id long, turn int, text string", [(0, i, t) for i, t in each]),
+    ):
+        spark.createDataFrame(rows, kind).write.parquet(f"{folder}/{name}.parquet")
+    return folder
+
+
+def test_embedded_languages_of_whole_texts(spark, written):
+    origins = ("conversations", "documents", "events", "pages")
+    got = {(r["origin"], r["id"]): (r["language"], r["confidence"]) for r in texts.embedded_language_best(spark, written).collect()}
+    assert got == {(o, i): best(t) for o in origins for i, t in enumerate(TEXTS)}
+    assert {n for n, _ in got.values()} == {*T.ORDER, "yaml", None}
+    got = {(r["origin"], r["id"]): [r[k] for k in T.ORDER] for r in texts.embedded_language_scores(spark, written).collect()}
+    assert got == {(o, i): [scores(t, pair=False)[k] for k in T.ORDER] for o in origins for i, t in enumerate(TEXTS)}
