@@ -116,7 +116,7 @@ EDGES = [
 
 def symbol_defs_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _table(spark, sf_dir, "symbols").withColumn("n_defs", F.size("defs").cast("long")).withColumn("n_uses", F.size("uses").cast("long"))
-    return _files(s.filter("template < 5"), "scope_id", "name", "kind", "n_defs", "n_uses")
+    return _files(s, "scope_id", "name", "kind", "n_defs", "n_uses")
 
 
 SYMBOLS = [
@@ -232,8 +232,8 @@ ROLLUP_SQL = f"SELECT severity, check_id, sum(files)::BIGINT AS findings FROM ({
 
 
 def privacy_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Masked text of the short templates."""
-    files = corpus(spark, sf_dir).filter("template IN (0, 2, 4, 6)").withColumn("sensitive", F.array(F.lit("a")))
+    """Masked text of every file."""
+    files = corpus(spark, sf_dir).withColumn("sensitive", F.array(F.lit("a")))
     m = code_text.masked(files, "sensitive").withColumn("template", template_of())
     return _files(m.withColumn("names", F.size("mapping")), "masked", "names")
 
@@ -246,7 +246,7 @@ MASKED = [
 
 def comment_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Comments blanked (offsets stay) and docstrings dropped."""
-    f = corpus(spark, sf_dir).filter("template = 8")
+    f = corpus(spark, sf_dir)
     return _files(f.withColumn("plain", code_text.strip_comments(F.col("source"))).withColumn("bare", code_text.strip_docstrings(F.col("source"))), "plain", "bare")
 
 
