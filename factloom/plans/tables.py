@@ -246,10 +246,10 @@ LATEST_SQL = "SELECT event_type, event_id, row_number() OVER (PARTITION BY event
 
 
 def decision_cache_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdicts of earlier decisions for findings, by prompt or by code."""
+    """Verdicts of decisions (a third of the events) for every event as a finding, by prompt or by code."""
     e = _read(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("check_id"), F.sha2((F.col("event_id") % 700).cast("string"), 256).alias("prompt_hash"), F.sha2((F.col("user_id") % 40).cast("string"), 256).alias("snippet_hash"), "value", "ts")
     decisions = e.filter("event_id % 3 = 0").select(F.col("event_id").alias("id"), "check_id", "prompt_hash", "snippet_hash", F.when(F.col("value") > 40, "TP").otherwise("FP").alias("verdict"), "ts")
-    return knowledge.cached_decision(e.filter("event_id % 3 = 1").select("event_id", "check_id", "prompt_hash", "snippet_hash"), decisions).select("event_id", "verdict", "origin")
+    return knowledge.cached_decision(e.select("event_id", "check_id", "prompt_hash", "snippet_hash"), decisions).select("event_id", "verdict", "origin")
 
 
 DECISION_SQL = """WITH e AS (SELECT event_id, event_type AS c, event_id % 700 AS p, user_id % 40 AS s, CASE WHEN value > 40 THEN 'TP' ELSE 'FP' END AS v, ts FROM events), d AS (SELECT * FROM e WHERE event_id % 3 = 0),
@@ -261,10 +261,10 @@ _KEY = "(p_size % 4) * 1000000 + p_size * 1000 + p_partkey % 12"
 
 
 def profile_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dependencies matched to the exact profile or the latest of their library."""
+    """Every part as a dependency, matched to the exact profile or the latest of its library."""
     p = _read(spark, sf_dir, "part")
     profiles = p.select(F.col("p_brand").alias("name"), F.expr(_VERSION).alias("version"))
-    deps = p.filter("p_partkey % 3 = 0").select(F.upper("p_brand").alias("name"), F.expr("CASE WHEN p_partkey % 2 = 0 THEN '99.0' ELSE " + _VERSION + " END").alias("version")).distinct()
+    deps = p.select(F.upper("p_brand").alias("name"), F.expr("CASE WHEN p_partkey % 2 = 0 THEN '99.0' ELSE " + _VERSION + " END").alias("version")).distinct()
     return knowledge.match_profiles(deps, profiles)
 
 

@@ -153,3 +153,30 @@ def test_code_queries_of_every_template(spark, parts):
     # only template 8 has a comment and docstrings; the others give their own text and their own syntax
     want = [(t, s.replace("# a comment", " " * 11), code._BARE if t == 8 else ast.unparse(ast.parse(s)), 2) for t, s in enumerate(TEMPLATES)]
     assert sorted(tuple(r[c] for c in ("template", "plain", "bare", "files")) for r in code.comment_strip(spark, parts).collect()) == want
+
+
+def test_every_event_is_looked_up(spark, tmp_path):
+    rows = [(i, "abcde"[i % 5], i * 7 % 150, float(i * 37 % 80), 1_000 + i * 31 % 977) for i in range(1500)] + [(10_001, "z", 3, 1.0, 5), (9_998, "none", 151, 1.0, 5)]
+    spark.createDataFrame(rows, "event_id long, event_type string, user_id long, value double, s long").selectExpr("event_id", "event_type", "user_id", "value", "timestamp_seconds(s) AS ts").write.parquet(f"{tmp_path}/events.parquet")
+    by_prompt, by_code = {}, {}
+    for i, kind, user, value, s in rows:
+        if i % 3 == 0:
+            for d, k in ((by_prompt, i % 700), (by_code, (kind, user % 40))):
+                d[k] = max(d.get(k, ()), (s, i, "TP" if value > 40 else "FP"))
+    want = []
+    for i, kind, user, *_ in rows:
+        p, c = by_prompt.get(i % 700), by_code.get((kind, user % 40))
+        want.append((i, p[2], "prompt") if p else (i, c[2], "snippet") if c else (i, None, None))
+    got = [tuple(r[c] for c in ("event_id", "verdict", "origin")) for r in tables.decision_cache_lookup(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and {i % 3 for i, *_ in got} == {0, 1, 2}
+
+
+def test_every_part_is_matched(spark, tmp_path):
+    rows = [(k, f"Brand#{k % 4}", k * 5 % 50 + 1) for k in range(1, 200)]
+    spark.createDataFrame(rows, "p_partkey long, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    key = lambda k, size: (size % 4, size, k % 12)
+    known = {(b.lower(), key(k, size)) for k, b, size in rows}
+    dotted = lambda v: ".".join(map(str, v))
+    latest = {n: dotted(max(v for m, v in known if m == n)) for n, _ in known}
+    want = {(b.lower(), "99.0", latest[b.lower()]) if k % 2 == 0 else (b.lower(), dotted(key(k, size)), dotted(key(k, size))) for k, b, size in rows}
+    assert sorted(map(tuple, tables.profile_match(spark, str(tmp_path)).collect())) == sorted(want)
