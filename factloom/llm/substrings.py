@@ -1,10 +1,8 @@
-"""Substring dedup by relative Lempel-Ziv factors against an index of all earlier documents.
+"""Substring dedup by a join of window hashes, in place of a relative Lempel-Ziv parse.
 
-A phrase is a window of ``width`` consecutive words. The reference is every document; its index is cut into blocks by hash
-and holds the least document that has each phrase. A document is factored greedily from left to right: where its phrase is
-in a block with a smaller document the factor begins, and it is extended word by word while the next phrase is there too;
-every factor is at least ``width`` words long and becomes a span. Checking each phrase at both ends of an extension makes
-factors of different references meet without a gap, so the spans are exact.
+A phrase is a window of ``width`` consecutive words. Phrases are joined by hash on the least document that has each; those
+that a smaller document has are hits, and hits that overlap or touch merge into spans of at least ``width`` words. No
+reference block is parsed and no match is extended: the words that hits cover are all that the result needs.
 
 Only phrases that may repeat reach the index. Each phrase has an anchor, the least hash of its 5-word runs; equal phrases
 have equal anchors. Anchors (about one in five words) are shuffled first; phrases follow only for anchors of two or more
@@ -93,7 +91,7 @@ def _candidates(width: int):
 
 
 def factors(hits: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Greedy factors (first word, end) of a text from the positions of its indexed phrases; factors that touch or overlap are joined."""
+    """Spans (first word, end) of a text from the positions of its hits; phrases that touch or overlap are merged."""
     hits = np.unique(hits)
     if not len(hits):
         return hits, hits
