@@ -123,6 +123,15 @@ SYMBOLS = [
     (0, "input", 0, 1), (0, "a", 1, 1), (0, "b", 1, 1), (0, "eval", 0, 1), (1, "shlex", 1, 1), (1, "input", 0, 1), (1, "a", 1, 1), (1, "b", 1, 1), (1, "os", 0, 1),
     (2, "getenv", 0, 1), (2, "a", 1, 1), (2, "c", 2, 1), (2, "print", 0, 1), (3, "input", 0, 1), (3, "n", 2, 3), (3, "step", 0, 1), (3, "open", 0, 1), (4, "input", 0, 1), (4, "a", 2, 2), (4, "print", 0, 1),
 ]
+#: template, scope, name, kind, definitions, uses
+SCOPED = [
+    (5, "module", "A", "class", 1, 0), (5, "run", "self", "param", 2, 0), (5, "run", "helper", "var", 0, 1), (5, "module", "B", "class", 1, 0), (5, "main", "x", "param", 1, 3), (5, "main", "print", "var", 0, 1), (5, "module", "main", "var", 0, 1),
+    (6, "work", "m", "param", 1, 1), (6, "emit", "ch", "var", 0, 1), (6, "emit", "sig", "var", 0, 1), (6, "module", "ch", "var", 0, 1), (6, "module", "work", "var", 0, 2), (6, "module", "sig", "var", 0, 1),
+    (7, "module", "o", "import", 1, 2), (7, "module", "c", "import", 1, 1), (7, "module", "f", "var", 1, 1), (7, "module", "eval", "var", 0, 1), (7, "module", "getattr", "var", 0, 1), (7, "module", "password", "var", 1, 0),
+    (8, "load", "path", "param", 1, 1), (8, "load", "n", "param", 1, 1), (8, "module", "seen", "var", 0, 0), (8, "load", "range", "var", 0, 1), (8, "load", "i", "var", 1, 2), (8, "load", "seen", "var", 1, 0), (8, "load", "open", "var", 0, 1), (8, "load", "h", "var", 1, 2),
+    (8, "load", "requests", "var", 0, 1),
+    (9, "module", "Flask", "import", 1, 1), (9, "module", "app", "var", 1, 1), (9, "read", "go", "var", 0, 1), (9, "module", "path", "var", 0, 1), (9, "module", "views", "var", 0, 1), (9, "module", "urlpatterns", "var", 1, 0),
+]
 
 
 def cfg_block_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -241,6 +250,11 @@ def privacy_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 MASKED = [
     (0, "USER_VAR_1 = input()\nVAR_1 = USER_VAR_1\neval(VAR_1)", 2), (2, "USER_VAR_1 = VAR_1('K')\nif USER_VAR_1:\n    INT_1 = 1\nelse:\n    INT_1 = 2\nprint(INT_1)", 3), (4, "USER_VAR_1 = input()\nUSER_VAR_1 += 1\nprint(USER_VAR_1)", 1),
     (6, "def FUNC_1(ARG_1):\n    return ARG_1\n\ndef FUNC_2():\n    VAR_1.basic_publish(routing_key='q', body='x')\n    VAR_2.send(1)\nVAR_1.basic_consume(queue='q', on_message_callback=FUNC_1)\nVAR_2.connect(FUNC_1)", 5),
+    (1, "import shlex\nUSER_VAR_1 = input()\nVAR_1 = VAR_2.quote(USER_VAR_1)\nVAR_3.system(VAR_1)", 4), (3, "VAR_1 = input()\nwhile VAR_1:\n    VAR_1 = VAR_2(VAR_1)\nopen(VAR_1)", 2),
+    (5, "class CLASS_1:\n\n    def FUNC_1(self):\n        return VAR_1()\n\nclass CLASS_2:\n\n    def FUNC_1(self):\n        return 1\n\ndef FUNC_2(ARG_1):\n    ARG_1.run()\n    ARG_1.stop()\n    print(ARG_1)\nFUNC_2(2)", 6),
+    (7, "import os as o\nfrom subprocess import call as c\nVAR_1 = VAR_2.system\nVAR_1('ls')\nVAR_3('x')\neval('1')\ngetattr(VAR_2, 'x')\nSTR_1 = 'hunter2-hunter2'", 4),
+    (8, '"""Doc."""\n\ndef FUNC_1(STR_1: str, ARG_1=1):\n    """Inner."""\n    global seen\n    for VAR_1 in range(ARG_1):\n        if VAR_1:\n            VAR_2 = VAR_1\n    with open(STR_1) as VAR_3:\n        return VAR_4.get(VAR_3)', 7),
+    (9, "from flask import Flask\nVAR_1 = VAR_2('x')\n\n@VAR_1.route('/a', methods=['GET', 'POST'])\ndef FUNC_1():\n    return 'a'\n\n@VAR_1.get('/b')\nasync def FUNC_2():\n    await VAR_3()\n    return 1\nLIST_1 = [VAR_4('c/', VAR_5.c)]\nVAR_1.run(debug=True)", 8),
 ]
 
 
@@ -250,7 +264,7 @@ def comment_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _files(f.withColumn("plain", code_text.strip_comments(F.col("source"))).withColumn("bare", code_text.strip_docstrings(F.col("source"))), "plain", "bare")
 
 
-_PLAIN = TEMPLATES[8].replace("# a comment", " " * 11)
+#: Template 8 without docstrings; only it has any, and a comment.
 _BARE = "def load(path: str, n=1):\n    global seen\n    for i in range(n):\n        if i:\n            seen = i\n    with open(path) as h:\n        return requests.get(h)"
 
 QUERIES = {
@@ -266,7 +280,7 @@ ORACLE_SQL = {
     "trace_export": per_template("template, seq, id, version, kind, previous", TRACE_ROWS),
     "ir_node_kind_counts": per_template("template, kind, n", [(t, k, n) for t, s in enumerate(TEMPLATES) for k, n in sorted(_kinds(s).items())], "template, kind, (n * files)::BIGINT AS nodes"),
     "ir_edges_by_type": per_template("template, type, n", EDGES, "template, type, (n * files)::BIGINT AS edges"),
-    "symbol_defs_uses": per_template("template, name, kind, n_defs, n_uses", [(t, n, "import" if n == "shlex" else "var", d, u) for t, n, d, u in SYMBOLS], "template, 'scope:module' AS scope_id, name, kind, n_defs::BIGINT AS n_defs, n_uses::BIGINT AS n_uses, files"),
+    "symbol_defs_uses": per_template("template, scope, name, kind, n_defs, n_uses", [(t, "module", n, "import" if n == "shlex" else "var", d, u) for t, n, d, u in SYMBOLS] + SCOPED, "template, 'scope:' || scope AS scope_id, name, kind, n_defs::BIGINT AS n_defs, n_uses::BIGINT AS n_uses, files"),
     "cfg_block_stats": per_template("template, blocks, edges, stmts, calls", BLOCKS),
     "function_signatures": per_template("template, name, inputs, calls, side_effects, complexity", SIGNATURES),
     "ssa_versions": per_template("template, var, versions", SSA),
@@ -280,5 +294,5 @@ ORACLE_SQL = {
     "findings_to_blocks": per_template("template, check_id, line, block_id", FINDINGS),
     "findings_rollup": ROLLUP_SQL,
     "privacy_mask": per_template("template, masked, names", MASKED),
-    "comment_strip": per_template("template, plain, bare", [(8, _PLAIN, _BARE)]),
+    "comment_strip": per_template("template, plain, bare", [(t, s.replace("# a comment", " " * 11), _BARE if t == 8 else ast.unparse(ast.parse(s))) for t, s in enumerate(TEMPLATES)]),
 }

@@ -254,7 +254,7 @@ def decision_cache_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 DECISION_SQL = """WITH e AS (SELECT event_id, event_type AS c, event_id % 700 AS p, user_id % 40 AS s, CASE WHEN value > 40 THEN 'TP' ELSE 'FP' END AS v, ts FROM events), d AS (SELECT * FROM e WHERE event_id % 3 = 0),
 p AS (SELECT p, arg_max(v, (epoch_us(ts), event_id)) AS pv FROM d GROUP BY 1), s AS (SELECT c, s, arg_max(v, (epoch_us(ts), event_id)) AS sv FROM d GROUP BY ALL)
-SELECT event_id, coalesce(pv, sv) AS verdict, CASE WHEN pv IS NOT NULL THEN 'prompt' WHEN sv IS NOT NULL THEN 'snippet' END AS origin FROM e LEFT JOIN p USING (p) LEFT JOIN s USING (c, s) WHERE event_id % 3 = 1"""
+SELECT event_id, coalesce(pv, sv) AS verdict, CASE WHEN pv IS NOT NULL THEN 'prompt' WHEN sv IS NOT NULL THEN 'snippet' END AS origin FROM e LEFT JOIN p USING (p) LEFT JOIN s USING (c, s)"""
 
 _VERSION = "concat(p_size % 4, '.', p_size, '.', p_partkey % 12)"
 _KEY = "(p_size % 4) * 1000000 + p_size * 1000 + p_partkey % 12"
@@ -268,7 +268,7 @@ def profile_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knowledge.match_profiles(deps, profiles)
 
 
-PROFILE_SQL = f"""WITH k AS (SELECT DISTINCT lower(p_brand) AS name, {_VERSION} AS version, {_KEY} AS o FROM part), l AS (SELECT name, arg_max(version, o) AS latest FROM k GROUP BY 1), d AS (SELECT DISTINCT lower(p_brand) AS name, CASE WHEN p_partkey % 2 = 0 THEN '99.0' ELSE {_VERSION} END AS version FROM part WHERE p_partkey % 3 = 0)
+PROFILE_SQL = f"""WITH k AS (SELECT DISTINCT lower(p_brand) AS name, {_VERSION} AS version, {_KEY} AS o FROM part), l AS (SELECT name, arg_max(version, o) AS latest FROM k GROUP BY 1), d AS (SELECT DISTINCT lower(p_brand) AS name, CASE WHEN p_partkey % 2 = 0 THEN '99.0' ELSE {_VERSION} END AS version FROM part)
 SELECT name, version, CASE WHEN (name, version) IN (SELECT (name, version) FROM k) THEN version ELSE latest END AS matched FROM d LEFT JOIN l USING (name)"""
 
 
@@ -352,7 +352,7 @@ def dataflow_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graphs.reach(li.filter("l_linenumber = 1").select("l_orderkey", F.col("l_linenumber").alias("node")), e, ["l_orderkey"]).select("l_orderkey", "node", "depth")
 
 
-REACH_SQL = """WITH RECURSIVE li AS (SELECT DISTINCT l_orderkey, l_linenumber, l_returnflag FROM lineitem WHERE l_orderkey % 10 IN (1, 2)), r AS (SELECT l_orderkey, l_linenumber AS node, 0 AS depth FROM li WHERE l_linenumber = 1
+REACH_SQL = """WITH RECURSIVE li AS (SELECT DISTINCT l_orderkey, l_linenumber, l_returnflag FROM lineitem), r AS (SELECT l_orderkey, l_linenumber AS node, 0 AS depth FROM li WHERE l_linenumber = 1
 UNION SELECT r.l_orderkey, b.l_linenumber, depth + 1 FROM r JOIN li a ON a.l_orderkey = r.l_orderkey AND a.l_linenumber = node AND a.l_returnflag <> 'R' JOIN li b ON b.l_orderkey = r.l_orderkey AND b.l_linenumber = node + 1) SELECT l_orderkey, node, min(depth)::INT AS depth FROM r GROUP BY ALL"""
 
 
@@ -366,7 +366,7 @@ def backward_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select("l_orderkey", F.explode(paths).alias("p")).filter("p.node = 1").select("l_orderkey", "p.path")
 
 
-PATHS_SQL = """WITH RECURSIVE l AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey % 50 = 1 AND l_linenumber <= 5), p AS (SELECT l_orderkey, max(l_linenumber) AS node, max(l_linenumber)::VARCHAR AS path FROM l GROUP BY 1
+PATHS_SQL = """WITH RECURSIVE l AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem), p AS (SELECT l_orderkey, max(l_linenumber) AS node, max(l_linenumber)::VARCHAR AS path FROM l GROUP BY 1
 UNION ALL SELECT p.l_orderkey, b.l_linenumber, b.l_linenumber || '>' || path FROM p JOIN l b ON b.l_orderkey = p.l_orderkey AND b.l_linenumber BETWEEN node - 2 AND node - 1) SELECT l_orderkey, path FROM p WHERE node = 1"""
 
 #: A branch in a loop: the arms of block 2 meet in 5, which goes back to 1 for odd regions.

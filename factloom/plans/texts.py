@@ -70,7 +70,7 @@ def embedded_language_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PARSED = "coalesce(json_valid(text), false)"
-EMBEDDED_SQL = f"""WITH t AS (SELECT 'events' AS origin, event_id AS id, props AS text FROM events UNION ALL SELECT 'pages', page_id, substr(html, 1, 600) FROM pages UNION ALL SELECT 'conversations', conv_id * 1000 + turn, text FROM conversations)
+EMBEDDED_SQL = f"""WITH t AS (SELECT 'events' AS origin, event_id AS id, props AS text FROM events UNION ALL SELECT 'pages', page_id, html FROM pages UNION ALL SELECT 'conversations', conv_id * 1000 + turn, text FROM conversations UNION ALL SELECT 'documents', doc_id, text FROM documents)
 SELECT origin, id,
 CASE WHEN lower(regexp_extract(text, '(\\S+)', 1)) IN ({", ".join(_q(w) for w in T.PROSE_STARTS)}) THEN 0.0 ELSE greatest({_best_sql("text", T.PATTERNS["sql"])}, CASE WHEN {_hits_sql("text", [rf"(?i)\b{w}\b" for w in T.SQL_WORDS])} >= 3 THEN 0.8 WHEN {_hits_sql("text", [rf"(?i)\b{w}\b" for w in T.SQL_WORDS])} >= 2 THEN 0.65 ELSE 0.0 END) END::DOUBLE AS sql,
 greatest({_best_sql("text", T.PATTERNS["shell"])}, CASE WHEN {_hits_sql("text", [rf"(?i)\b{w}\b" for w in T.SHELL_WORDS])} >= 2 THEN 0.75 ELSE 0.0 END)::DOUBLE AS shell,
