@@ -10,6 +10,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,6 +75,18 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
+def byte_slices(batches: Iterable[pa.RecordBatch], column: int, most: int, rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    """Cuts Arrow batches into slices of at most ``most`` bytes of a text column (one row at least) and ``rows`` rows."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            stop = max(at + 1, min(at + rows, int(np.searchsorted(ends, before + most, "right"))))
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
 def utf8(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
@@ -128,3 +141,14 @@ def roll(h: np.ndarray, k: int) -> np.ndarray:
     for j in range(1, k):
         out = mix(out * U64(0x9E3779B97F4A7C15) + h[j : j + n])
     return out
+
+
+def roll_at(h: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of the runs of k words that begin at the given places."""
+    n = len(at)
+    a, b = np.full(n, U64(k)), np.zeros(n, U64)
+    for j in range(k):
+        x = h[at + j]
+        a = mix(a * U64(0x9E3779B97F4A7C15) + x)
+        b = b * U64(0xD6E8FEB86659FD93) + x
+    return a, mix(b)

@@ -1,13 +1,20 @@
-"""Substring dedup by a join of window hashes, in place of a relative Lempel-Ziv parse.
+"""Substring dedup by relative Lempel-Ziv factors: each text against all documents of smaller ids.
 
-A phrase is a window of ``width`` consecutive words. Phrases are joined by hash on the least document that has each; those
-that a smaller document has are hits, and hits that overlap or touch merge into spans of at least ``width`` words. No
-reference block is parsed and no match is extended: the words that hits cover are all that the result needs.
+The reference is the collection itself, indexed by its phrases (windows of ``width`` consecutive words) in blocks, one per
+shuffle partition. A text is looked up in every block: each of its phrases gets the least earlier document and place that has
+it. The parse then goes from left to right: a factor starts at the first phrase with a source and is extended word by word
+while the next phrase continues that source; at a factor's boundary the next phrase is looked at anew, so that a phrase that
+straddles two factors counts too. Factors have at least ``width`` words; those that overlap or touch merge into spans.
+A factor follows its earliest source, not its longest: that decides how many factors a span has, never its words.
 
 Only phrases that may repeat reach the index. Each phrase has an anchor, the least hash of its 5-word runs; equal phrases
 have equal anchors. Anchors (about one in five words) are shuffled first; phrases follow only for anchors of two or more
-documents. Equal texts are one document here: but for the first, all of their words are spans. Rows of one key are merged
-per slice of documents before each shuffle, and no group is ever a list in memory.
+documents. Phrases are compared by two independent 64-bit hashes of their words: of 10^14 phrases no two different ones are
+expected to agree (10^28 / 2^129). Equal texts are one document here: but for the first, all of their words are spans.
+
+Skew: within a slice of documents (``SLICE_BYTES`` of text) only the least document of a key asks the index; the others have
+their source there already and don't pass through it. So a key, even one of every document, has one row of a few longs per
+slice and task, and lists of documents travel under keys of their own.
 """
 
 from __future__ import annotations
@@ -20,13 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import U64, durable, hash_words, roll, slices, small, utf8
+from factloom.llm.common import U64, byte_slices, durable, hash_words, roll, roll_at, small, utf8
 
 GRAM = 5
+#: Text that a kernel looks at together (one document at least).
+SLICE_BYTES = 4 << 20
 
 
-def _phrases(texts: list[bytes | None], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all phrases of the texts: index of the text, first word, hash, anchor (48 bits)."""
+def _anchors_of(texts: list[bytes | None], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words, and of all phrases of the texts: index of the text, first word there and in all, anchor (48 bits)."""
     flat, ends = hash_words([(t or b"").split() for t in texts])
     size = np.maximum(np.diff(ends) - width + 1, 0)
     text = np.repeat(np.arange(len(texts)), size)
@@ -38,107 +47,183 @@ def _phrases(texts: list[bytes | None], width: int) -> tuple[np.ndarray, np.ndar
         step = min(span, want - span)
         least = np.minimum(least[: max(0, len(least) - step)], least[step:])
         span += step
-    return text, pos.astype(np.int32), roll(flat, width)[at], least[at] >> U64(16)
+    return flat, text, pos.astype(np.int32), at, least[at] >> U64(16)
+
+
+def _runs(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin, in arrays sorted by them."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return np.flatnonzero(new)
+
+
+def _grouped(starts: np.ndarray, rest: np.ndarray, columns: list[tuple[np.ndarray, pa.DataType]]) -> list[pa.Array]:
+    """Of each run that begins at starts, the values where ``rest`` holds, as lists; runs without any are left out."""
+    size = np.add.reduceat(rest, starts) if len(starts) else np.empty(0, np.int64)
+    offsets = pa.array(np.concatenate([[0], np.cumsum(size[size > 0])]).astype(np.int32))
+    return [pa.ListArray.from_arrays(offsets, pa.array(v[rest], kind)) for v, kind in columns]
+
 
+def _column(head: np.ndarray, tail: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.array(np.concatenate([head, tail]), kind)
 
-def _lists(order: np.ndarray, starts: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.Array:
-    """For each run of order that begins at starts, the values after the first; null for runs of one."""
-    size = np.diff(np.append(starts, len(order))) - 1
-    rest = np.ones(len(order), bool)
-    rest[starts] = False
-    offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values[order][rest], kind), mask=pa.array(size == 0))
+
+def _after_nulls(n: int, lists: pa.Array) -> pa.Array:
+    return pa.concat_arrays([pa.nulls(n, lists.type), lists])
 
 
 def _anchors(width: int):
+    """Rows (anchor, document, null) that ask the index, and (anchor, least document, other documents) that needn't."""
+
     def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in byte_slices(batches, 1, SLICE_BYTES):
             ids = b.column(0).to_numpy(zero_copy_only=False)
-            text, _, _, anchor = _phrases(utf8(b.column(1)), width)
-            keep = np.ones(len(anchor), bool)
-            keep[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])
+            _, text, _, _, anchor = _anchors_of(utf8(b.column(1)), width)
+            keep = _runs(anchor, text) if len(anchor) else np.empty(0, np.int64)
             anchor, doc = anchor[keep].view(np.int64), ids[text[keep]]
             order = np.lexsort((doc, anchor))
             a, d = anchor[order], doc[order]
-            once = np.ones(len(a), bool)
-            once[1:] = (a[1:] != a[:-1]) | (d[1:] != d[:-1])
-            order = order[once]
-            a = anchor[order]
-            starts = np.flatnonzero(np.append(True, a[1:] != a[:-1])) if len(a) else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(a[starts], pa.int64()), pa.array(doc[order][starts], pa.int64()), _lists(order, starts, doc, pa.int64())], ["h", "doc_id", "others"])
+            once = _runs(a, d) if len(a) else order
+            a, d = a[once], d[once]
+            starts = _runs(a) if len(a) else np.empty(0, np.int64)
+            rest = np.ones(len(a), bool)
+            rest[starts] = False
+            many = starts[np.diff(np.append(starts, len(a))) > 1]
+            others = _grouped(starts, rest, [(d, pa.int64())])[0]
+            yield pa.RecordBatch.from_arrays([_column(a[starts], a[many], pa.int64()), _column(d[starts], d[many], pa.int64()), _after_nulls(len(starts), others)], ["h", "doc_id", "others"])
 
     return kernel
 
 
-def _candidates(width: int):
+_PHRASES = "w long, v long, doc_id long, alt long, pos int, docs array<long>, alts array<long>, poss array<int>"
+
+
+def _phrases(width: int):
+    """Rows of phrases: those of the least document of a slice ask the index; the others are listed with that source."""
+
     def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            text, pos, phrase, anchor = _phrases(utf8(b.column(1)), width)
-            shared = b.column(2)
+        for b in byte_slices(batches, 2, SLICE_BYTES):
+            ids, alts = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
+            flat, text, pos, at, anchor = _anchors_of(utf8(b.column(2)), width)
+            shared = b.column(3)
             hit = np.zeros(len(text), bool)
             bounds = np.searchsorted(text, np.arange(len(ids) + 1))
             for i in range(len(ids)):
-                own = anchor[bounds[i] : bounds[i + 1]]
-                hit[bounds[i] : bounds[i + 1]] = np.isin(own, np.asarray(shared[i].values).view(U64))
-            w, d, p = phrase[hit].view(np.int64), ids[text[hit]], pos[hit]
-            order = np.lexsort((p, d, w))
-            s = w[order]
-            starts = np.flatnonzero(np.append(True, s[1:] != s[:-1])) if len(s) else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(s[starts], pa.int64()), pa.array(d[order][starts], pa.int64()), pa.array(p[order][starts], pa.int32()), _lists(order, starts, d, pa.int64()), _lists(order, starts, p, pa.int32())], ["w", "doc_id", "pos", "docs", "poss"])
+                hit[bounds[i] : bounds[i + 1]] = np.isin(anchor[bounds[i] : bounds[i + 1]], np.asarray(shared[i].values).view(U64))
+            w, v = (x.view(np.int64) for x in roll_at(flat, at[hit], width))
+            d, x, p = ids[text[hit]], alts[text[hit]], pos[hit]
+            order = np.lexsort((p, x, d, v, w))
+            w, v, d, x, p = w[order], v[order], d[order], x[order], p[order]
+            starts = _runs(w, v) if len(w) else order
+            size = np.diff(np.append(starts, len(w)))
+            rest = d != np.repeat(d[starts], size)
+            ask = np.flatnonzero(~rest)
+            many = starts[np.add.reduceat(rest, starts) > 0] if len(starts) else starts
+            lists = _grouped(starts, rest, [(d, pa.int64()), (x, pa.int64()), (p, pa.int32())])
+            plain = [_column(c[ask], c[many], kind) for c, kind in ((w, pa.int64()), (v, pa.int64()), (d, pa.int64()), (x, pa.int64()), (p, pa.int32()))]
+            yield pa.RecordBatch.from_arrays(plain + [_after_nulls(len(ask), y) for y in lists], ["w", "v", "doc_id", "alt", "pos", "docs", "alts", "poss"])
 
     return kernel
 
 
-def factors(hits: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spans (first word, end) of a text from the positions of its hits; phrases that touch or overlap are merged."""
-    hits = np.unique(hits)
-    if not len(hits):
-        return hits, hits
-    cut = np.flatnonzero(np.diff(hits) > width)
-    return hits[np.append(0, cut + 1)], hits[np.append(cut, len(hits) - 1)] + width
+def parse(pos: np.ndarray, source: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Factors (first word, end, source, first word there) of a text from its phrases with their sources, in any order."""
+    pos, once = np.unique(pos, return_index=True)
+    source, at = source[once], at[once]
+    new = np.ones(len(pos), bool)
+    new[1:] = (np.diff(pos) != 1) | (source[1:] != source[:-1]) | (np.diff(at) != 1)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(pos)) - 1
+    return pos[first], pos[last] + width, source[first], at[first]
 
 
-def _spans(width: int):
-    def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 4096):
-            found = [factors(np.asarray(x.values), width) for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.list_(pa.int32()))], ["doc_id", "starts", "ends"])
+_FACTORS = "doc_id long, alt long, starts array<int>, ends array<int>, sources array<long>, source_starts array<int>"
 
-    return kernel
 
+def _factors(width: int):
+    def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for row in b.column(2):
+                f = row.values
+                found.append(parse(*(f.field(i).to_numpy(zero_copy_only=False) for i in range(3)), width))
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array([f[i] for f in found], pa.list_(k)) for i, k in enumerate(kinds)]], [c.split()[0] for c in _FACTORS.split(", ")])
 
-def repeated_spans(docs: DataFrame, width: int = 13) -> DataFrame:
-    """doc_id, copy (all words of the text go), starts and ends (word ranges, end exclusive) of the documents that lose words.
+    return kernel
 
-    A word goes if a phrase that covers it also starts in a document of a smaller id. Null and short texts and null ids have
-    no phrase. Repeated rows are one document, so none of them loses words to another; an id must name one text. Other
-    columns are ignored; an empty table gives none."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    named = texts.select("doc_id", F.md5("text").alias("digest"))
-    heads = named.groupBy("digest").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last")).filter("head < last")
-    copies = durable(named.join(heads, "digest").filter("doc_id > head").select("doc_id").distinct())
-    first = texts.join(small(copies), "doc_id", "left_anti")
 
-    rows = first.mapInArrow(_anchors(width), "h long, doc_id long, others array<long>")
-    shared = rows.select("*", F.count("*").over(Window.partitionBy("h")).alias("n")).filter("n > 1 OR others IS NOT NULL")
+class Texts:
+    """The rows of docs that can have phrases, as doc_id, alt, digest and text; ``alt`` tells the texts of one id apart (0: it has one)."""
+
+    def __init__(self, docs: DataFrame, text: str = "text"):
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
+        rows = rows.select("doc_id", F.xxhash64("text").alias("alt"), F.md5("text").alias("digest"), "text")
+        ids = durable(rows.drop("text"))
+        several = ids.groupBy("doc_id").agg(F.min("alt").alias("a"), F.max("alt").alias("b")).filter("a < b").select("doc_id")
+        self.several = small(durable(several.withColumn("several", F.lit(True))))
+        self.plain = self.several.isEmpty()
+        self.rows, self.ids = self.keyed(rows), self.keyed(ids)
+
+    def keyed(self, rows: DataFrame) -> DataFrame:
+        """The rows with ``alt`` set to 0 for ids of one text."""
+        if self.plain:
+            return rows.withColumn("alt", F.lit(0).cast("long"))
+        return rows.join(self.several, "doc_id", "left").withColumn("alt", F.when(F.col("several"), F.col("alt")).otherwise(0).cast("long")).drop("several")
+
+
+def repeated_factors(texts: Texts, width: int = 13) -> DataFrame:
+    """doc_id, alt, copy_of (all words of the text go: the first document of an equal text), starts, ends, sources and source_starts.
+
+    The factors of documents that lose words, in order of their first word; ``ends`` are exclusive."""
+    groups = texts.ids.groupBy("digest").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).filter("n > 1").select("digest", "head")
+    equal = durable(texts.ids.join(groups, "digest"))
+    copies = durable(equal.filter("doc_id > head").select("doc_id", "alt", "head").distinct())
+    first = texts.rows.join(small(copies.select("doc_id", "alt")), ["doc_id", "alt"], "left_anti").select("doc_id", "alt", "digest", "text")
+    again = small(durable(equal.filter("doc_id = head").groupBy("doc_id", "alt").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id", "alt")))
+    if not again.isEmpty():  # rows that repeat as a whole: one of each
+        one = first.join(again, ["doc_id", "alt"], "left_semi").groupBy("doc_id", "alt", "digest").agg(F.first("text").alias("text"))
+        first = first.join(again, ["doc_id", "alt"], "left_anti").unionByName(one)
+
+    rows = first.select("doc_id", "text").mapInArrow(_anchors(width), "h long, doc_id long, others array<long>")
+    asks = F.col("others").isNull()
+    key = F.when(asks, F.col("h")).otherwise(F.xxhash64("h", "doc_id"))
+    shared = rows.select("*", F.count("*").over(Window.partitionBy(key, asks)).alias("n")).filter("n > 1 OR others IS NOT NULL")
     shared = shared.select("h", F.explode(F.concat(F.array("doc_id"), F.coalesce("others", F.array().cast("array<long>")))).alias("doc_id"))
     shared = durable(shared.groupBy("doc_id").agg(F.collect_set("h").alias("anchors")))
 
-    open_ = first.join(shared, "doc_id").select("doc_id", "text", "anchors")
-    rows = open_.mapInArrow(_candidates(width), "w long, doc_id long, pos int, docs array<long>, poss array<int>")
-    index = rows.select("*", F.min("doc_id").over(Window.partitionBy("w")).alias("least"))
-    each = F.concat(F.array(F.struct("doc_id", "pos")), F.coalesce(F.zip_with("docs", "poss", lambda d, p: F.struct(d.alias("doc_id"), p.alias("pos"))), F.array().cast("array<struct<doc_id:long,pos:int>>")))
-    hits = index.filter("docs IS NOT NULL OR doc_id > least").select("least", F.inline(each)).filter("doc_id > least")
-    spans = hits.groupBy("doc_id").agg(F.collect_set("pos").alias("at")).mapInArrow(_spans(width), "doc_id long, starts array<int>, ends array<int>")
-    whole = copies.select("doc_id", F.lit(True).alias("copy"), F.array().cast("array<int>").alias("starts"), F.array().cast("array<int>").alias("ends"))
-    return spans.select("doc_id", F.lit(False).alias("copy"), "starts", "ends").unionByName(whole)
+    rows = first.join(shared, "doc_id").select("doc_id", "alt", "text", "anchors").mapInArrow(_phrases(width), _PHRASES)
+    asks = F.col("docs").isNull()
+    key = F.when(asks, F.col("w")).otherwise(F.xxhash64("w", "doc_id"))
+    index = rows.select("*", F.min(F.struct("doc_id", "pos")).over(Window.partitionBy(key, "v", asks)).alias("least"))
+    each = F.arrays_zip("docs", "alts", "poss")
+    found = index.select("least", F.inline(F.coalesce(each, F.array(F.struct(F.col("doc_id").alias("docs"), F.col("alt").alias("alts"), F.col("pos").alias("poss")))))).filter("docs > least.doc_id")
+    found = found.select(F.col("docs").alias("doc_id"), F.col("alts").alias("alt"), F.struct(F.col("poss").alias("pos"), F.col("least.doc_id").alias("source"), F.col("least.pos").alias("at")).alias("x"))
+    # bounded by the phrases of one text
+    parsed = found.groupBy("doc_id", "alt").agg(F.collect_list("x").alias("x")).mapInArrow(_factors(width), _FACTORS)
+    none = [F.array().cast(t).alias(c) for c, t in (("starts", "array<int>"), ("ends", "array<int>"), ("sources", "array<long>"), ("source_starts", "array<int>"))]
+    return parsed.withColumn("copy_of", F.lit(None).cast("long")).unionByName(copies.select("doc_id", "alt", *none, F.col("head").alias("copy_of")))
+
+
+def factor_table(docs: DataFrame, width: int = 13) -> DataFrame:
+    """doc_id, start, length, source_id and source_start of every factor; a copy of a whole text has a null length.
 
+    Null, empty and short texts and null ids have no factor. Ids of several texts have the factors of each."""
+    f = repeated_factors(Texts(docs), width)
+    pieces = f.select("doc_id", F.inline(F.arrays_zip("starts", "ends", "sources", "source_starts"))).select("doc_id", F.col("starts").alias("start"), (F.col("ends") - F.col("starts")).alias("length"), F.col("sources").alias("source_id"), F.col("source_starts").alias("source_start"))
+    return pieces.unionByName(f.filter("copy_of IS NOT NULL").select("doc_id", F.lit(0).alias("start"), F.lit(None).cast("int").alias("length"), F.col("copy_of").alias("source_id"), F.lit(0).alias("source_start")))
 
-def marked(docs: DataFrame, width: int = 13) -> DataFrame:
-    """All rows and columns of docs with _copy, _starts and _ends (null where nothing goes)."""
-    found = repeated_spans(docs, width).select(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy"), F.col("starts").alias("_starts"), F.col("ends").alias("_ends"))
-    return docs.join(found, F.col("doc_id") == F.col("_id"), "left").drop("_id")
+
+def marked(docs: DataFrame, width: int = 13, text: str = "text") -> DataFrame:
+    """Every row of docs as text, row (a struct of its other columns), copy, starts and ends (null where nothing goes)."""
+    texts = Texts(docs, text)
+    rest = F.struct(F.lit(1).alias("_"), *[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("row")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"), rest)
+    rows = texts.keyed(rows.withColumn("alt", F.xxhash64("text")))
+    # rows without an id meet nothing; their hash spreads them
+    rows = rows.withColumn("alt", F.when(F.col("doc_id").isNull(), F.xxhash64("text", "row")).otherwise(F.col("alt")))
+    found = repeated_factors(texts, width).select("doc_id", "alt", F.col("copy_of").isNotNull().alias("copy"), "starts", "ends")
+    return rows.join(found, ["doc_id", "alt"], "left").select("text", "row", "copy", "starts", "ends")
 
 
 def cut(text: bytes | None, copy: bool, starts, ends, width: int) -> tuple[list[bytes], int]:
@@ -146,20 +231,24 @@ def cut(text: bytes | None, copy: bool, starts, ends, width: int) -> tuple[list[
     words = (text or b"").split()
     if copy:
         return ([], len(words)) if len(words) >= width else (words, 0)
-    gone = 0
-    for a, b in zip(reversed(starts), reversed(ends)):
-        b = min(b, len(words))
-        if a < b:
-            gone += b - a
-            del words[a:b]
-    return words, gone
+    kept, at = [], 0
+    for a, b in zip(starts, ends):
+        kept += words[at:a]
+        at = max(at, b)
+    kept += words[at:]
+    return kept, len(words) - len(kept)
 
 
 def removal_report(docs: DataFrame, width: int = 13) -> DataFrame:
-    """doc_id, n_words, n_removed and kept_sha256 of every row of docs."""
+    """doc_id, n_words, n_removed and kept_sha256 of every row of docs (doc_id, text).
+
+    A word goes if a phrase that covers it also starts in a document of a smaller id. Null and empty texts have no word, and
+    texts shorter than a phrase lose none. Rows without an id lose nothing and take nothing. Repeated rows are one document,
+    so none loses words to another; rows that share an id but not a text are judged by their own words, and not against each
+    other. Ties of sources go to the least id. Other columns are ignored; an empty table gives none."""
 
     def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in byte_slices(batches, 1, SLICE_BYTES):
             texts, n, gone, sha = utf8(b.column(1)), [], [], []
             for t, c, s, e in zip(texts, *(b.column(i).to_pylist() for i in (2, 3, 4))):
                 kept, out = cut(t, bool(c), s or (), e or (), width)
@@ -168,25 +257,29 @@ def removal_report(docs: DataFrame, width: int = 13) -> DataFrame:
                 sha.append(hashlib.sha256(b" ".join(kept)).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    cols = marked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), width).select("doc_id", "text", "_copy", "_starts", "_ends")
+    cols = marked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), width).select("row.doc_id", "text", "copy", "starts", "ends")
     return cols.mapInArrow(kernel, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, width: int = 13, text: str = "text") -> DataFrame:
-    """docs with repeated words cut from the text, and n_removed; a text that loses nothing is unchanged, in others the rest is joined by single spaces within kept lines' order."""
+    """All rows and columns of docs with repeated words cut from the text, and n_removed (a column of that name is replaced).
+
+    See ``removal_report`` for which words go. A text that loses nothing is unchanged; of others the rest is joined by single
+    spaces. Null texts stay null. Any other column passes through, whatever its name."""
+    rest = [c for c in docs.columns if c not in (text, "n_removed")]
+    types = dict(docs.dtypes)
 
     def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in byte_slices(batches, 0, SLICE_BYTES):
             out, gone = [], []
             for t, c, s, e in zip(utf8(b.column(0)), *(b.column(i).to_pylist() for i in (1, 2, 3))):
                 kept, n = cut(t, bool(c), s or (), e or (), width)
-                out.append(t.decode() if t is not None and not n else None if t is None else b" ".join(kept).decode())
+                out.append(None if t is None else b" ".join(kept).decode() if n else t.decode())
                 gone.append(n)
-            rest = [b.column(i) for i in range(4, b.num_columns)]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), pa.array(gone, pa.int64()), *rest], [text, "n_removed", *[b.schema.field(i).name for i in range(4, b.num_columns)]])
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), pa.array(gone, pa.int64()), *b.columns[4:]], ["_text", "_gone", *b.schema.names[4:]])
 
-    rest = [c for c in docs.columns if c not in (text, "n_removed")]
-    fields = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c in rest)
-    found = marked(docs.drop("n_removed"), width).select(text, "_copy", "_starts", "_ends", *[F.col(f"`{c}`") for c in rest])
-    done = found.mapInArrow(kernel, f"`{text}` string, n_removed long, {fields}")
-    return done.select(*[F.col(f"`{c}`") for c in docs.columns if c != "n_removed"], "n_removed")
+    fields = "".join(f", _{i} {types[c]}" for i, c in enumerate(rest))
+    found = marked(docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != "n_removed"]), width, text)
+    done = found.select("text", "copy", "starts", "ends", *[F.col("row").getField(c).alias(f"_{i}") for i, c in enumerate(rest)]).mapInArrow(kernel, f"_text string, _gone long{fields}")
+    place = {text: "_text"} | {c: f"_{i}" for i, c in enumerate(rest)}
+    return done.select(*[F.col(place[c]).alias(c) for c in docs.columns if c != "n_removed"], F.col("_gone").alias("n_removed"))

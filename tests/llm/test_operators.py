@@ -464,6 +464,51 @@ def test_substrings_text(spark):
     assert {(r["doc_id"], r["text"], r["n_removed"]) for r in out.collect()} == {(1, f"a\n{p}", 0), (2, "b c d", 20), (3, "x  y", 0), (4, None, 0), (None, p, 0), (5, "", 20)}
 
 
+def test_substrings_of_repeated_ids(spark):
+    """Rows that share an id but not a text are judged by their own words; copies go by text, not by id."""
+    rng = random.Random(10)
+    a, b, c, d = (prose(rng, 40, 10**6) for _ in range(4))
+    rows = [(1, a), (5, a), (5, b), (5, a), (5, f"{c} x"), (6, f"y {c} {b}"), (7, f"{b} {d}"), (9, d), (9, b), (None, a), (None, a), (3, None), (3, "")]
+    rows += [(8, f"{d} z")] * 3 + [(10, f"z {d}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substrings.removal_report(df).collect())
+    first = {}
+    for i, t in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
+        for k in range(len(words(t)) - 12):
+            first.setdefault(tuple(words(t)[k : k + 13]), i)
+    want = Counter()
+    for i, t in rows:
+        w = words(t)
+        gone = {j for k in range(len(w) - 12) if i is not None and first[tuple(w[k : k + 13])] < i for j in range(k, k + 13)}
+        want[i, len(w), len(gone), hashlib.sha256(b" ".join(x for j, x in enumerate(w) if j not in gone)).hexdigest()] += 1
+    assert got == want
+    names = ["_id", "_copy", "_starts", "alt", "copy", "row", "digest", "several", "_text", "_0"]
+    wide = df.select("*", *[F.lit(n).alias(n) for n in names])
+    out = substrings.remove_repeats(wide)
+    assert out.columns == [*wide.columns, "n_removed"] and out.filter(" AND ".join(f"`{n}` = '{n}'" for n in names)).count() == len(rows)
+
+
+def test_factors_name_their_sources(spark):
+    """Each factor is a passage of an earlier document, and together they cover just what is removed; a hot passage is in every text."""
+    rng = random.Random(11)
+    hot, other = prose(rng, 30, 10**6).split(), prose(rng, 300, 10**6).split()
+    texts = {i: prose(rng, rng.randrange(5, 30), 10**6).split() + hot + other[i % 7 * 20 : i % 7 * 20 + rng.randrange(60)] for i in range(1, 400)}
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string").repartition(7)
+    covered = defaultdict(set)
+    for r in substrings.factor_table(df).collect():
+        i, a, n, source, at = r["doc_id"], r["start"], r["length"], r["source_id"], r["source_start"]
+        assert source < i and n >= 13 and texts[i][a : a + n] == texts[source][at : at + n]
+        covered[i] |= set(range(a, a + n))
+    want = removed([(i, " ".join(t)) for i, t in texts.items()])
+    assert {i: len(covered[i]) for i in texts} == {i: w[1] for i, w in want.items()}
+
+
+def test_parse():
+    found = substrings.parse(np.array([4, 2, 3, 9, 10, 5, 3]), np.array([1, 1, 1, 2, 3, 4, 1]), np.array([8, 6, 7, 0, 1, 9, 7]), 13)
+    assert [x.tolist() for x in found] == [[2, 5, 9, 10], [17, 18, 22, 23], [1, 4, 2, 3], [6, 9, 0, 1]]
+    assert substrings.cut(b"a b c d e f", False, [1, 2], [3, 4], 2) == ([b"a", b"e", b"f"], 3)
+
+
 # 10
 
 
