@@ -9,12 +9,12 @@ A factor follows its earliest source, not its longest: that decides how many fac
 
 Only phrases that may repeat reach the index. Each phrase has an anchor, the least hash of its 5-word runs; equal phrases
 have equal anchors. Anchors (about one in five words) are shuffled first; phrases follow only for anchors of two or more
-documents. Phrases are compared by two independent 64-bit hashes of their words: of 10^14 phrases no two different ones are
-expected to agree (10^28 / 2^129). Equal texts are one document here: but for the first, all of their words are spans.
+documents. Phrases are compared by 96 bits of two independent hashes of their words, so that of 10^14 phrases less than one
+pair of different ones is expected to agree. Equal texts are one document here: but for the first, all their words are spans.
 
 Skew: within a slice of documents (``SLICE_BYTES`` of text) only the least document of a key asks the index; the others have
-their source there already and don't pass through it. So a key, even one of every document, has one row of a few longs per
-slice and task, and lists of documents travel under keys of their own.
+their source there already, and travel under keys of their own. So a key, even one that every document has, is one row of a
+few longs per slice in its task.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import U64, byte_slices, durable, hash_words, roll, roll_at, small, utf8
+from factloom.llm.common import U64, byte_slices, durable, hash_words, mix, roll, roll_at, small, utf8
 
 GRAM = 5
 #: Text that a kernel looks at together (one document at least).
@@ -52,57 +52,44 @@ def _anchors_of(texts: list[bytes | None], width: int) -> tuple[np.ndarray, np.n
 
 def _runs(*keys: np.ndarray) -> np.ndarray:
     """Where runs of equal keys begin, in arrays sorted by them."""
+    if not len(keys[0]):
+        return np.empty(0, np.int64)
     new = np.ones(len(keys[0]), bool)
     new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
     return np.flatnonzero(new)
 
 
-def _grouped(starts: np.ndarray, rest: np.ndarray, columns: list[tuple[np.ndarray, pa.DataType]]) -> list[pa.Array]:
-    """Of each run that begins at starts, the values where ``rest`` holds, as lists; runs without any are left out."""
-    size = np.add.reduceat(rest, starts) if len(starts) else np.empty(0, np.int64)
-    offsets = pa.array(np.concatenate([[0], np.cumsum(size[size > 0])]).astype(np.int32))
-    return [pa.ListArray.from_arrays(offsets, pa.array(v[rest], kind)) for v, kind in columns]
-
-
-def _column(head: np.ndarray, tail: np.ndarray, kind: pa.DataType) -> pa.Array:
-    return pa.array(np.concatenate([head, tail]), kind)
-
-
-def _after_nulls(n: int, lists: pa.Array) -> pa.Array:
-    return pa.concat_arrays([pa.nulls(n, lists.type), lists])
-
-
 def _anchors(width: int):
-    """Rows (anchor, document, null) that ask the index, and (anchor, least document, other documents) that needn't."""
+    """Rows (x, document) where x is an anchor and two bits: 0 asks the index, 1 is known to repeat, 2 asks and is known."""
 
     def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in byte_slices(batches, 1, SLICE_BYTES):
             ids = b.column(0).to_numpy(zero_copy_only=False)
             _, text, _, _, anchor = _anchors_of(utf8(b.column(1)), width)
-            keep = _runs(anchor, text) if len(anchor) else np.empty(0, np.int64)
-            anchor, doc = anchor[keep].view(np.int64), ids[text[keep]]
+            keep = _runs(anchor, text)
+            anchor, doc = anchor[keep], ids[text[keep]]
             order = np.lexsort((doc, anchor))
             a, d = anchor[order], doc[order]
-            once = _runs(a, d) if len(a) else order
+            once = _runs(a, d)
             a, d = a[once], d[once]
-            starts = _runs(a) if len(a) else np.empty(0, np.int64)
-            rest = np.ones(len(a), bool)
-            rest[starts] = False
-            many = starts[np.diff(np.append(starts, len(a))) > 1]
-            others = _grouped(starts, rest, [(d, pa.int64())])[0]
-            yield pa.RecordBatch.from_arrays([_column(a[starts], a[many], pa.int64()), _column(d[starts], d[many], pa.int64()), _after_nulls(len(starts), others)], ["h", "doc_id", "others"])
+            starts = _runs(a)
+            known = np.ones(len(a), U64)
+            known[starts] = 2 * (np.diff(np.append(starts, len(a))) > 1)
+            yield pa.RecordBatch.from_arrays([pa.array((a << U64(2) | known).view(np.int64)), pa.array(d, pa.int64())], ["x", "doc_id"])
 
     return kernel
 
 
-_PHRASES = "w long, v long, doc_id long, alt long, pos int, docs array<long>, alts array<long>, poss array<int>"
+#: w: a hash; vp: 32 bits of another, then the position; source and at: null for phrases that ask the index.
+_PHRASES = "w long, vp long, doc_id long, alt long, source long, at int"
 
 
 def _phrases(width: int):
-    """Rows of phrases: those of the least document of a slice ask the index; the others are listed with that source."""
+    """Rows of phrases: those of the least document of a slice ask the index, the others have that document as their source."""
 
     def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in byte_slices(batches, 2, SLICE_BYTES):
+            b = b.filter(b.column(0).is_valid())
             ids, alts = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
             flat, text, pos, at, anchor = _anchors_of(utf8(b.column(2)), width)
             shared = b.column(3)
@@ -110,18 +97,16 @@ def _phrases(width: int):
             bounds = np.searchsorted(text, np.arange(len(ids) + 1))
             for i in range(len(ids)):
                 hit[bounds[i] : bounds[i + 1]] = np.isin(anchor[bounds[i] : bounds[i + 1]], np.asarray(shared[i].values).view(U64))
-            w, v = (x.view(np.int64) for x in roll_at(flat, at[hit], width))
-            d, x, p = ids[text[hit]], alts[text[hit]], pos[hit]
+            w, v = roll_at(flat, at[hit], width)
+            v, d, x, p = v >> U64(32), ids[text[hit]], alts[text[hit]], pos[hit]
             order = np.lexsort((p, x, d, v, w))
             w, v, d, x, p = w[order], v[order], d[order], x[order], p[order]
-            starts = _runs(w, v) if len(w) else order
-            size = np.diff(np.append(starts, len(w)))
-            rest = d != np.repeat(d[starts], size)
-            ask = np.flatnonzero(~rest)
-            many = starts[np.add.reduceat(rest, starts) > 0] if len(starts) else starts
-            lists = _grouped(starts, rest, [(d, pa.int64()), (x, pa.int64()), (p, pa.int32())])
-            plain = [_column(c[ask], c[many], kind) for c, kind in ((w, pa.int64()), (v, pa.int64()), (d, pa.int64()), (x, pa.int64()), (p, pa.int32()))]
-            yield pa.RecordBatch.from_arrays(plain + [_after_nulls(len(ask), y) for y in lists], ["w", "v", "doc_id", "alt", "pos", "docs", "alts", "poss"])
+            starts = _runs(w, v)
+            first = np.repeat(starts, np.diff(np.append(starts, len(w))))
+            asks = d == d[first]
+            w = np.where(asks, w, mix(w ^ mix(d.view(U64))))
+            vp = (v << U64(32) | p.astype(U64)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(vp), pa.array(d, pa.int64()), pa.array(x, pa.int64()), pa.array(d[first], pa.int64(), mask=asks), pa.array(p[first], pa.int32(), mask=asks)], [c.split()[0] for c in _PHRASES.split(", ")])
 
     return kernel
 
@@ -154,62 +139,73 @@ def _factors(width: int):
 
 
 class Texts:
-    """The rows of docs that can have phrases, as doc_id, alt, digest and text; ``alt`` tells the texts of one id apart (0: it has one)."""
+    """The rows of docs as doc_id, alt, text and row (a struct of the other columns): ``read`` as they lie, ``spread`` by id.
 
-    def __init__(self, docs: DataFrame, text: str = "text"):
-        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
-        rows = rows.select("doc_id", F.xxhash64("text").alias("alt"), F.md5("text").alias("digest"), "text")
-        ids = durable(rows.drop("text"))
-        several = ids.groupBy("doc_id").agg(F.min("alt").alias("a"), F.max("alt").alias("b")).filter("a < b").select("doc_id")
-        self.several = small(durable(several.withColumn("several", F.lit(True))))
-        self.plain = self.several.isEmpty()
-        self.rows, self.ids = self.keyed(rows), self.keyed(ids)
+    ``alt`` tells the texts of one id apart (0: the id has one). Copies are the texts of which a smaller id has an equal."""
 
-    def keyed(self, rows: DataFrame) -> DataFrame:
-        """The rows with ``alt`` set to 0 for ids of one text."""
-        if self.plain:
-            return rows.withColumn("alt", F.lit(0).cast("long"))
-        return rows.join(self.several, "doc_id", "left").withColumn("alt", F.when(F.col("several"), F.col("alt")).otherwise(0).cast("long")).drop("several")
+    def __init__(self, docs: DataFrame, text: str = "text"):
+        t = F.col(f"`{text}`")
+        rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text])
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(t).alias("alt"), t.alias("text"), rest.alias("row"))
+        ids = durable(rows.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "alt", F.md5("text").alias("digest")))
+        several = durable(ids.groupBy("doc_id").agg(F.min("alt").alias("a"), F.max("alt").alias("b")).filter("a < b").select("doc_id", F.lit(True).alias("several")))
+        self.plain = several.isEmpty()
+
+        def keyed(rows: DataFrame) -> DataFrame:
+            if self.plain:
+                return rows.withColumn("alt", F.lit(0).cast("long"))
+            return rows.join(small(several), "doc_id", "left").withColumn("alt", F.when(F.col("several"), F.col("alt")).otherwise(0).cast("long")).drop("several")
+
+        self.read = keyed(rows).select("doc_id", "alt", "text", "row")
+        # rows without an id meet nothing; a hash spreads them
+        self.spread = self.read.select(F.coalesce("doc_id", F.xxhash64("text", "row")).alias("k"), "doc_id", "alt", "text", "row").repartition("k")
+        groups = ids.groupBy("digest").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).filter("n > 1").select("digest", "head")
+        equal = durable(keyed(ids).join(groups, "digest"))
+        self.copies = durable(equal.filter("doc_id > head").select("doc_id", "alt", "head").distinct())
+        self.again = durable(equal.filter("doc_id = head").groupBy("doc_id", "alt").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id", "alt"))
+
+    def distinct(self, rows: DataFrame) -> DataFrame:
+        """Without the copies, and once where rows repeat as a whole."""
+        rows = rows.filter("doc_id IS NOT NULL AND text IS NOT NULL").join(small(self.copies.select("doc_id", "alt")), ["doc_id", "alt"], "left_anti")
+        if self.again.isEmpty():
+            return rows
+        rest = [c for c in rows.columns if c not in ("doc_id", "alt")]
+        one = rows.join(small(self.again), ["doc_id", "alt"], "left_semi").groupBy("doc_id", "alt").agg(*[F.first(c).alias(c) for c in rest])
+        return rows.join(small(self.again), ["doc_id", "alt"], "left_anti").select("doc_id", "alt", *rest).unionByName(one)
 
 
 def repeated_factors(texts: Texts, width: int = 13) -> DataFrame:
     """doc_id, alt, copy_of (all words of the text go: the first document of an equal text), starts, ends, sources and source_starts.
 
     The factors of documents that lose words, in order of their first word; ``ends`` are exclusive."""
-    groups = texts.ids.groupBy("digest").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).filter("n > 1").select("digest", "head")
-    equal = durable(texts.ids.join(groups, "digest"))
-    copies = durable(equal.filter("doc_id > head").select("doc_id", "alt", "head").distinct())
-    first = texts.rows.join(small(copies.select("doc_id", "alt")), ["doc_id", "alt"], "left_anti").select("doc_id", "alt", "digest", "text")
-    again = small(durable(equal.filter("doc_id = head").groupBy("doc_id", "alt").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id", "alt")))
-    if not again.isEmpty():  # rows that repeat as a whole: one of each
-        one = first.join(again, ["doc_id", "alt"], "left_semi").groupBy("doc_id", "alt", "digest").agg(F.first("text").alias("text"))
-        first = first.join(again, ["doc_id", "alt"], "left_anti").unionByName(one)
-
-    rows = first.select("doc_id", "text").mapInArrow(_anchors(width), "h long, doc_id long, others array<long>")
-    asks = F.col("others").isNull()
-    key = F.when(asks, F.col("h")).otherwise(F.xxhash64("h", "doc_id"))
-    shared = rows.select("*", F.count("*").over(Window.partitionBy(key, asks)).alias("n")).filter("n > 1 OR others IS NOT NULL")
-    shared = shared.select("h", F.explode(F.concat(F.array("doc_id"), F.coalesce("others", F.array().cast("array<long>")))).alias("doc_id"))
-    shared = durable(shared.groupBy("doc_id").agg(F.collect_set("h").alias("anchors")))
-
-    rows = first.join(shared, "doc_id").select("doc_id", "alt", "text", "anchors").mapInArrow(_phrases(width), _PHRASES)
-    asks = F.col("docs").isNull()
-    key = F.when(asks, F.col("w")).otherwise(F.xxhash64("w", "doc_id"))
-    index = rows.select("*", F.min(F.struct("doc_id", "pos")).over(Window.partitionBy(key, "v", asks)).alias("least"))
-    each = F.arrays_zip("docs", "alts", "poss")
-    found = index.select("least", F.inline(F.coalesce(each, F.array(F.struct(F.col("doc_id").alias("docs"), F.col("alt").alias("alts"), F.col("pos").alias("poss")))))).filter("docs > least.doc_id")
-    found = found.select(F.col("docs").alias("doc_id"), F.col("alts").alias("alt"), F.struct(F.col("poss").alias("pos"), F.col("least.doc_id").alias("source"), F.col("least.pos").alias("at")).alias("x"))
+    rows = texts.distinct(texts.read).select("doc_id", "text").mapInArrow(_anchors(width), "x long, doc_id long")
+    known, h = F.col("x").bitwiseAND(3), F.shiftright("x", 2)
+    key = F.when(known != 1, h).otherwise(F.xxhash64("x", "doc_id"))
+    shared = rows.select("x", "doc_id", F.count("*").over(Window.partitionBy(key, known == 1)).alias("n")).filter((F.col("n") > 1) | (known > 0))
+    shared = durable(shared.groupBy(F.col("doc_id").alias("k")).agg(F.collect_set(h).alias("anchors")))
+
+    # ids of copies have no anchor but where an id has several texts; row goes along unread, so that one shuffle of the texts serves here and in ``marked``
+    rows = texts.spread.join(shared, "k")
+    rows = rows if texts.plain and texts.again.isEmpty() else texts.distinct(rows)
+    rows = rows.select("doc_id", "alt", "text", "anchors", "row").mapInArrow(_phrases(width), _PHRASES)
+    rows = rows.drop("alt") if texts.plain else rows
+    pos = F.col("vp").bitwiseAND(0x7FFFFFFF).cast("int")
+    least = F.min(F.struct("doc_id", pos.alias("pos"))).over(Window.partitionBy("w", F.shiftright("vp", 32), F.col("source").isNull()))
+    found = rows.select("*", least.alias("least")).filter("source IS NOT NULL OR doc_id > least.doc_id")
+    found = found.select("doc_id", *([] if texts.plain else ["alt"]), F.struct(pos.alias("pos"), F.coalesce("source", "least.doc_id").alias("source"), F.coalesce("at", "least.pos").alias("at")).alias("x"))
+    found = found.withColumn("alt", F.lit(0).cast("long")) if texts.plain else found
     # bounded by the phrases of one text
     parsed = found.groupBy("doc_id", "alt").agg(F.collect_list("x").alias("x")).mapInArrow(_factors(width), _FACTORS)
     none = [F.array().cast(t).alias(c) for c, t in (("starts", "array<int>"), ("ends", "array<int>"), ("sources", "array<long>"), ("source_starts", "array<int>"))]
-    return parsed.withColumn("copy_of", F.lit(None).cast("long")).unionByName(copies.select("doc_id", "alt", *none, F.col("head").alias("copy_of")))
+    return parsed.withColumn("copy_of", F.lit(None).cast("long")).unionByName(texts.copies.select("doc_id", "alt", *none, F.col("head").alias("copy_of")))
 
 
 def factor_table(docs: DataFrame, width: int = 13) -> DataFrame:
     """doc_id, start, length, source_id and source_start of every factor; a copy of a whole text has a null length.
 
-    Null, empty and short texts and null ids have no factor. Ids of several texts have the factors of each."""
-    f = repeated_factors(Texts(docs), width)
+    Null, empty and short texts and null ids have no factor. Ids of several texts have the factors of each. Repeated rows
+    have theirs once. An empty table gives none."""
+    f = repeated_factors(Texts(docs.select("doc_id", "text")), width)
     pieces = f.select("doc_id", F.inline(F.arrays_zip("starts", "ends", "sources", "source_starts"))).select("doc_id", F.col("starts").alias("start"), (F.col("ends") - F.col("starts")).alias("length"), F.col("sources").alias("source_id"), F.col("source_starts").alias("source_start"))
     return pieces.unionByName(f.filter("copy_of IS NOT NULL").select("doc_id", F.lit(0).alias("start"), F.lit(None).cast("int").alias("length"), F.col("copy_of").alias("source_id"), F.lit(0).alias("source_start")))
 
@@ -217,13 +213,9 @@ def factor_table(docs: DataFrame, width: int = 13) -> DataFrame:
 def marked(docs: DataFrame, width: int = 13, text: str = "text") -> DataFrame:
     """Every row of docs as text, row (a struct of its other columns), copy, starts and ends (null where nothing goes)."""
     texts = Texts(docs, text)
-    rest = F.struct(F.lit(1).alias("_"), *[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("row")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"), rest)
-    rows = texts.keyed(rows.withColumn("alt", F.xxhash64("text")))
-    # rows without an id meet nothing; their hash spreads them
-    rows = rows.withColumn("alt", F.when(F.col("doc_id").isNull(), F.xxhash64("text", "row")).otherwise(F.col("alt")))
-    found = repeated_factors(texts, width).select("doc_id", "alt", F.col("copy_of").isNotNull().alias("copy"), "starts", "ends")
-    return rows.join(found, ["doc_id", "alt"], "left").select("text", "row", "copy", "starts", "ends")
+    found = repeated_factors(texts, width).select(F.col("doc_id").alias("k"), F.col("alt").alias("of"), F.col("copy_of").isNotNull().alias("copy"), "starts", "ends")
+    rows = texts.spread.alias("r").join(found.alias("f"), (F.col("r.k") == F.col("f.k")) & (F.col("r.alt").bitwiseXOR(F.col("f.of")) == 0) & F.col("r.doc_id").isNotNull(), "left")
+    return rows.select("text", "row", "copy", "starts", "ends")
 
 
 def cut(text: bytes | None, copy: bool, starts, ends, width: int) -> tuple[list[bytes], int]:
@@ -255,9 +247,9 @@ def removal_report(docs: DataFrame, width: int = 13) -> DataFrame:
                 n.append(len(kept) + out)
                 gone.append(out)
                 sha.append(hashlib.sha256(b" ".join(kept)).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([b.column(0).field(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    cols = marked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), width).select("row.doc_id", "text", "copy", "starts", "ends")
+    cols = marked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), width).select("row", "text", "copy", "starts", "ends")
     return cols.mapInArrow(kernel, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
@@ -266,8 +258,6 @@ def remove_repeats(docs: DataFrame, width: int = 13, text: str = "text") -> Data
 
     See ``removal_report`` for which words go. A text that loses nothing is unchanged; of others the rest is joined by single
     spaces. Null texts stay null. Any other column passes through, whatever its name."""
-    rest = [c for c in docs.columns if c not in (text, "n_removed")]
-    types = dict(docs.dtypes)
 
     def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in byte_slices(batches, 0, SLICE_BYTES):
@@ -276,10 +266,9 @@ def remove_repeats(docs: DataFrame, width: int = 13, text: str = "text") -> Data
                 kept, n = cut(t, bool(c), s or (), e or (), width)
                 out.append(None if t is None else b" ".join(kept).decode() if n else t.decode())
                 gone.append(n)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), pa.array(gone, pa.int64()), *b.columns[4:]], ["_text", "_gone", *b.schema.names[4:]])
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), pa.array(gone, pa.int64()), b.column(4)], ["text", "gone", "row"])
 
-    fields = "".join(f", _{i} {types[c]}" for i, c in enumerate(rest))
-    found = marked(docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != "n_removed"]), width, text)
-    done = found.select("text", "copy", "starts", "ends", *[F.col("row").getField(c).alias(f"_{i}") for i, c in enumerate(rest)]).mapInArrow(kernel, f"_text string, _gone long{fields}")
-    place = {text: "_text"} | {c: f"_{i}" for i, c in enumerate(rest)}
-    return done.select(*[F.col(place[c]).alias(c) for c in docs.columns if c != "n_removed"], F.col("_gone").alias("n_removed"))
+    rest = [c for c in docs.columns if c != "n_removed"]
+    found = marked(docs.select(*[F.col(f"`{c}`") for c in rest]), width, text)
+    done = found.select("text", "copy", "starts", "ends", "row").mapInArrow(kernel, f"text string, gone long, row {dict(found.dtypes)['row']}")
+    return done.select(*[F.col("text").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in rest], F.col("gone").alias("n_removed"))
