@@ -181,6 +181,8 @@ def repeated_factors(texts: Texts, width: int = 13) -> DataFrame:
     rows = texts.distinct(texts.read).select("doc_id", "text").mapInArrow(_anchors(width), "x long, doc_id long")
     known, h = F.col("x").bitwiseAND(3), F.shiftright("x", 2)
     key = F.when(known != 1, h).otherwise(F.xxhash64("x", "doc_id"))
+    # keys of windows are made after the shuffle, not sent
+    rows = rows.repartition(key)
     shared = rows.select("x", "doc_id", F.count("*").over(Window.partitionBy(key, known == 1)).alias("n")).filter((F.col("n") > 1) | (known > 0))
     shared = durable(shared.groupBy(F.col("doc_id").alias("k")).agg(F.collect_set(h).alias("anchors")))
 
@@ -188,7 +190,7 @@ def repeated_factors(texts: Texts, width: int = 13) -> DataFrame:
     rows = texts.spread.join(shared, "k")
     rows = rows if texts.plain and texts.again.isEmpty() else texts.distinct(rows)
     rows = rows.select("doc_id", "alt", "text", "anchors", "row").mapInArrow(_phrases(width), _PHRASES)
-    rows = rows.drop("alt") if texts.plain else rows
+    rows = (rows.drop("alt") if texts.plain else rows).repartition("w")
     pos = F.col("vp").bitwiseAND(0x7FFFFFFF).cast("int")
     least = F.min(F.struct("doc_id", pos.alias("pos"))).over(Window.partitionBy("w", F.shiftright("vp", 32), F.col("source").isNull()))
     found = rows.select("*", least.alias("least")).filter("source IS NOT NULL OR doc_id > least.doc_id")
