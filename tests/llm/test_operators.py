@@ -131,6 +131,42 @@ def test_near_duplicates_chain_and_nulls(spark):
     assert sum(r["doc_id"] is None for r in got) == 2
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    """Rows that share an id but not a text are documents of their own, and keep_one loses none that links with nothing."""
+    rng = random.Random(12)
+    a, b, c, d = (prose(rng, 60, 10**6) for _ in range(4))
+    near = lambda t: t.rsplit(" ", 1)[0] + " z"
+    rows = [(1, a, "x"), (5, a, "x"), (5, b, "x"), (5, near(b), "x"), (3, near(c), "x"), (7, c, "x"), (7, d, "x"), (7, d, "w"), (9, near(d), "x"), (9, None, "x"), (9, "", "x"), (None, a, "x"), (None, a, "x"), (4, None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row string").withColumn("tag", F.lit("clash"))
+    got = Counter(tuple(r) for r in neardup.near_duplicates(df).select("doc_id", "n_shingles", "class_id", "component_id").collect())
+    want = [(1, 56, 1, 1), (5, 56, 1, 1), (5, 56, 5, 5), (5, 56, 5, 5), (3, 56, 3, 3), (7, 56, 7, 3), (7, 56, 7, 7), (7, 56, 7, 7), (9, 56, 9, 7), (9, 0, 9, 9), (9, 0, 9, 9), (None, 56, None, None), (None, 56, None, None), (4, 0, 4, 4)]
+    assert got == Counter(want)
+    kept = neardup.keep_one(df)
+    assert kept.columns == df.columns
+    out = Counter((r["doc_id"], r["text"], r["row"]) for r in kept.collect())
+    one = (5, b, "x") if (5, b, "x") in out else (5, near(b), "x")
+    assert out == Counter([(1, a, "x"), one, (3, near(c), "x"), (7, d, "w"), (9, None, "x"), (9, "", "x"), (None, a, "x"), (None, a, "x"), (4, None, "x")])
+
+
+def test_near_duplicates_of_a_boilerplate(spark):
+    """Many texts of one long passage that isn't enough for a link: buckets too large for pairs go by rare shingles, and lose no link."""
+    rng = random.Random(13)
+    frame = prose(rng, 120, 10**6).split()
+    rows = []
+    for i in range(120):
+        own = prose(rng, rng.choice([12, 16, 40]), 10**6).split()
+        rows.append((2 * i, " ".join(frame + own)))
+        if i % 6 == 0:
+            rows.append((2 * i + 1, " ".join(frame[:118] + own + ["q"])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = linked(rows, 2, 88)
+    assert 60 < len({c for _, c in want.values()}) < 130
+    for bucket in (3, neardup.BUCKET, 10**6):
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(df, 2, 88, bucket).collect()} == want
+    with pytest.raises(ValueError):
+        neardup.near_duplicates(df, 2, 79)
+
+
 def test_odd_sketch_estimates():
     rng = np.random.default_rng(1)
     for share in (0.8, 0.9, 1.0):
