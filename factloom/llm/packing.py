@@ -1,4 +1,8 @@
-"""Packing tokenised documents into sequences: first-fit decreasing on a tournament tree, in randomised groups of documents."""
+"""Packing tokenised documents into sequences: first-fit decreasing on a tournament tree, in randomised groups of documents.
+
+Documents are spread over partitions by a seeded hash and stand in its order there; a task reads them one after the other and
+packs a group whenever its texts reach a number of bytes. So a task holds one group, however many rows a partition has.
+"""
 
 from __future__ import annotations
 
@@ -12,10 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.bpe import WordMerges
-from factloom.llm.common import part, utf8
+from factloom.llm.common import byte_slices, durable, small, utf8
 
-#: Documents of a group, about. Its texts are all that a task holds.
-GROUP_ROWS = 2000
+#: Bytes of text of a group: what a task holds, one document at least.
+GROUP_BYTES = 8 << 20
+#: Bytes of text of a partition, about, as long as there are no more partitions than this.
+PARTITION_BYTES, MOST_PARTITIONS = 8 << 20, 20_000
+#: Rows of one id and text beyond which their copies are spread over partitions.
+HOT_ROWS = 1000
 
 
 class Tournament:
@@ -138,31 +146,63 @@ def word_ids(path: str, end: int) -> Callable[[list[bytes | None]], list[bytes]]
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack_documents(docs: DataFrame, tokenise: Callable[[list[bytes | None]], list[bytes]], room: int = 2048, group_rows: int = GROUP_ROWS, seed: int = 5, with_ids: bool = False) -> DataFrame:
+def _spread(docs: DataFrame, seed: int, hot: int) -> DataFrame:
+    """doc_id, text, h and copy of every row. Rows that repeat more than ``hot`` times are counted, and made again with numbers."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"))
+    often = durable(rows.groupBy("doc_id", "h").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select(F.col("doc_id").alias("_doc"), F.col("h").alias("_h")))
+    one = F.lit(0).cast("long").alias("copy")
+    if often.isEmpty():
+        return rows.select("doc_id", "text", "h", one)
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("h") == F.col("_h"))
+    rest = rows.join(small(often), same, "left_anti").select("doc_id", "text", "h", one)
+    many = rows.join(small(often), same, "left_semi").groupBy("doc_id", "text", "h").agg(F.count("*").alias("n"))
+    blocks = many.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(hot).cast("long"))).alias("at")).repartition("h", "at")
+    return rest.unionByName(blocks.select("doc_id", "text", "h", F.explode(F.sequence("at", F.least(F.col("at") + hot, "n") - 1)).alias("copy")))
+
+
+def pack_documents(docs: DataFrame, tokenise: Callable[[list[bytes | None]], list[bytes]], room: int = 2048, group_bytes: int = GROUP_BYTES, seed: int = 5, with_ids: bool = False, hot: int = HOT_ROWS) -> DataFrame:
     """A row per piece of a document; with_ids adds the piece's ids (binary, little-endian unsigned 32-bit).
 
-    Groups are drawn by a seeded hash of id and text, so they mix sources and lengths, and copies of a text and rows without
-    an id spread; a task holds one group's texts and ids. Null and empty texts have only the final id. Repeated rows are
-    packed each, all in one group. Null ids are packed too. Other columns are ignored; an empty table gives
-    none. A sequence is named by its group and its place there, so a lost task gives the same pieces again."""
-    groups = max(1, -(-docs.count() // group_rows))
+    Groups are drawn by a seeded hash of id and text, so they mix sources and lengths. A group ends when its texts reach
+    ``group_bytes``; a longer text is a group of its own. Null and empty texts have only the final id. Repeated rows are packed
+    each, and spread if they are more than ``hot``. Null ids are packed too; ties are rows of one id and text, and alike. Other
+    columns are ignored; an empty table gives none. A sequence is named by its partition and its place there, so a lost task
+    gives the same pieces again."""
+    size = docs.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")), F.lit(0)).alias("n")).first()["n"]
+    parts = min(max(1, -(-size // PARTITION_BYTES)), MOST_PARTITIONS)
 
-    def kernel(table: pa.Table) -> pa.Table:
-        g = table.column(0)[0].as_py()
-        ids, texts = table.column(1).to_pylist(), utf8(table.column(2).combine_chunks())
+    def packed(bucket: int, at: int, ids: list[int | None], texts: list[bytes | None]) -> tuple[pa.RecordBatch, int]:
         order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i] or b""))
         tokens = tokenise([texts[i] for i in order])
         cols: list[list] = [[] for _ in range(8)]
-        for s, seq in enumerate(pack([len(t) // 4 for t in tokens], room)):
+        made = pack([len(t) // 4 for t in tokens], room)
+        for s, seq in enumerate(made, at):
             offset = 0
             for i, a, n in seq:
                 cut = tokens[i][4 * a : 4 * (a + n)]
-                for c, v in zip(cols, (ids[order[i]], a, n, zlib.crc32(cut), len(tokens[i]) // 4, (g << 32) + s, offset, cut)):
+                for c, v in zip(cols, (ids[order[i]], a, n, zlib.crc32(cut), len(tokens[i]) // 4, (bucket << 32) + s, offset, cut)):
                     c.append(v)
                 offset += n
-        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-        out = {k: pa.array(c, pa.int64()) for k, c in zip(names, cols)}
-        return pa.table(out | ({"ids": pa.array(cols[7], pa.binary())} if with_ids else {}))
-
-    rows = docs.select(part(groups, [F.lit(seed), F.col("doc_id"), F.xxhash64("text")]).cast("long").alias("_group"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.groupBy("_group").applyInArrow(kernel, PIECES + ", ids binary" * with_ids)
+        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k == "ids" else pa.int64()) for k, c in zip(names, cols)], names), at + len(made)
+
+    def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, at, held, ids, texts = None, 0, 0, [], []
+        for b in byte_slices(batches, 2, group_bytes):
+            for g, i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), utf8(b.column(2))):
+                if ids and (g != bucket or held + len(t or b"") > group_bytes):
+                    out, at = packed(bucket, at, ids, texts)
+                    yield out
+                    held, ids, texts = 0, [], []
+                if g != bucket:
+                    bucket, at = g, 0
+                held += len(t or b"") + 64  # a row's own cost
+                ids.append(i)
+                texts.append(t)
+        if ids:
+            yield packed(bucket, at, ids, texts)[0]
+
+    # the bucket is the partition that Spark itself chooses, as a column
+    rows = _spread(docs, seed, hot).repartition(parts, "h", "copy").sortWithinPartitions("h", "copy", "doc_id", "text")
+    rows = rows.select(F.pmod(F.hash("h", "copy"), F.lit(parts)).cast("long").alias("bucket"), "doc_id", "text")
+    return rows.mapInArrow(kernel, PIECES + ", ids binary" * with_ids)

@@ -80,12 +80,13 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words that the mix takes of every document, by the weights 5, 2, 1 of its sources."""
+    """Words that the mix takes of every document for its source, by the weights 5, 2, 1; the pattern is the sources that hold its text."""
     d = documents(spark, sf_dir, "doc_id", "text", "source")
-    sized = durable(d.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size")))
-    mixed = mixing.mix_sources(sized, F.array("source"), F.col("size"), [F.col("doc_id"), F.col("size")])
+    sized = durable(d.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), F.md5("text").alias("digest")))
+    held = mixing.with_members(sized, "digest")
+    mixed = mixing.mix_sources(held, F.col("members"), F.col("size"), [F.col("doc_id"), F.col("size"), F.col("digest")], home=F.col("source"))
     own = F.get("_sources", F.lit(0))
-    return mixed.select("doc_id", "size", own["size"].alias("source_size"), own["target"].alias("target"), F.col("_taken").alias("taken"), F.col("_copies").alias("copies"))
+    return mixed.select("doc_id", "size", own["size"].alias("source_size"), own["target"].alias("target"), F.col("_taken").alias("taken"), F.col("_copies").alias("copies"), F.col("_pattern").alias("pattern"))
 
 
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -336,8 +336,8 @@ def test_packing(spark, docs, corpus, empty):
     path = queries.public_tokenizers.path("word_bpe_49k.json")
     one = Tokenizer.from_file(path)
     want = sorted(np.array(one.encode(r[1] or "", add_special_tokens=False).ids + [1], "<u4").tobytes() for r in corpus)
-    for rows in (1000, 20):
-        pieces = packing.pack_documents(docs, packing.word_ids(path, 1), 128, group_rows=rows, with_ids=True).collect()
+    for size, hot in ((1 << 23, 1000), (3000, 1)):
+        pieces = packing.pack_documents(docs, packing.word_ids(path, 1), 128, group_bytes=size, with_ids=True, hot=hot).collect()
         seqs, texts = defaultdict(list), defaultdict(list)
         for p in pieces:
             assert p["ids_crc32"] == zlib.crc32(bytes(p["ids"])) and len(p["ids"]) == 4 * p["length"]
@@ -357,6 +357,26 @@ def test_packing(spark, docs, corpus, empty):
     assert packing.pack_documents(empty, packing.word_ids(path, 1)).isEmpty()
 
 
+def test_packing_bounds_groups(spark, monkeypatch):
+    """Rows of one id and text are spread over partitions, and no group has more bytes than it may; a very long text is alone."""
+    monkeypatch.setattr(packing, "PARTITION_BYTES", 20_000)
+    rows = [(7, "one two three " * 5)] * 2500 + [(None, "x y")] * 400 + [(8, "long " * 9000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+
+    def lengths(texts):  # no ids needed: a text's share of its group's bytes in a piece
+        assert sum(len(t or b"") for t in texts) <= 5000 or len(texts) == 1
+        return [np.full(len(t or b"") + 1, 3, "<u4").tobytes() for t in texts]
+
+    out = packing.pack_documents(df, lengths, 256, group_bytes=5000, hot=100).collect()
+    got = Counter()
+    for r in out:
+        got[r["doc_id"]] += r["length"]
+    assert got == {7: 2500 * 71, None: 400 * 4, 8: 45_001}
+    hot = Counter(r["sequence_id"] >> 32 for r in out if r["doc_id"] == 7)
+    assert len(hot) >= 8 and max(hot.values()) < 0.4 * sum(hot.values())
+    assert sorted(map(str, out)) == sorted(map(str, packing.pack_documents(df.repartition(3), lengths, 256, group_bytes=5000, hot=100).collect()))
+
+
 def test_word_merges_are_the_tokenizers():
     """Bulk merges against the tokenizer itself, on words with marks, accents, foreign scripts, contractions and special tokens."""
     from factloom.llm.bpe import WordMerges
@@ -437,10 +457,110 @@ def test_fill_and_flow():
     assert mixing.fill(100, [80, 20], [5, 2]) == pytest.approx([500 / 7, 200 / 7])
     assert mixing.fill(100, [10, 90], [5, 2]) == pytest.approx([30, 70])
     assert mixing.fill(0, [0, 0], [5, 2]) == [0, 0]
-    # a diamond where the cheap path is narrow
-    assert mixing.min_cost_flow(4, [(0, 2, 3, 1), (0, 3, 5, 2), (2, 1, 3, 0), (3, 1, 4, 0)], 0, 1) == [3, 4, 3, 4]
-    flows = mixing.route({"p": 10, "q": 10}, {"p": ["a", "b"], "q": ["b"]}, {"a": 12, "b": 8})
-    assert sum(n for s, n in flows["p"] + flows["q"] if s == "a") == 12 and sum(n for s, n in flows["q"]) == 8
+    flows = mixing.route({("p", 0): 10, ("q", 0): 10}, {("p", 0): ["a", "b"], ("q", 0): ["b"]}, {"a": 12, "b": 8})
+    assert sum(n for s, n in flows["p", 0] + flows["q", 0] if s == "a") == 12 and sum(n for s, n in flows["q", 0]) == 8
+
+
+def cheapest(arcs, n, s, t):
+    """Greatest flow and its least cost by successive shortest paths (Bellman-Ford), arc by arc (from, to, capacity, cost)."""
+    e = [[u, v, c, w] for a, b, c, w in arcs for u, v, c, w in ((a, b, c, w), (b, a, 0, -w))]
+    flow = cost = 0
+    while True:
+        dist, via = [float("inf")] * n, [None] * n
+        dist[s] = 0
+        for _ in range(n):
+            for i, (u, v, c, w) in enumerate(e):
+                if c > 0 and dist[u] + w < dist[v]:
+                    dist[v], via[v] = dist[u] + w, i
+        if via[t] is None:
+            return flow, cost
+        path, v = [], t
+        while v != s:
+            path.append(via[v])
+            v = e[via[v]][0]
+        push = min(e[i][2] for i in path)
+        for i in path:
+            e[i][2] -= push
+            e[i ^ 1][2] += push
+        flow, cost = flow + push, cost + push * dist[t]
+
+
+def test_route_is_a_largest_flow_of_least_cost():
+    rng = random.Random(14)
+    for _ in range(25):
+        sources = list("abcd")[: rng.randrange(2, 5)]
+        patterns = [tuple(sorted(rng.sample(sources, rng.randrange(1, len(sources) + 1)))) for _ in range(5)]
+        cells = {(p, x): rng.randrange(1, 30) for p in patterns for x in (p if rng.random() < 0.5 else ("",))}
+        members = {c: [c[1]] if c[1] else list(c[0]) for c in cells}
+        quota = {x: rng.randrange(0, 90) for x in sources}
+        got = mixing.route(cells, members, quota)
+        words_ = defaultdict(int)
+        for c, n in cells.items():
+            words_[c[0]] += n
+        node = {k: i + 2 for i, k in enumerate([*map(str, words_), *map(repr, cells), *sources])}
+        arcs = [(0, node[str(p)], n, k * (k + 1) // 2) for p, n in words_.items() for k in range(3)] + [(node[str(c[0])], node[repr(c)], 3 * n, 0) for c, n in cells.items()]
+        arcs += [(node[repr(c)], node[x], 10**6, 0) for c in cells for x in members[c]] + [(node[x], 1, q, 0) for x, q in quota.items()]
+        used, taken = defaultdict(int), defaultdict(int)
+        for c, xs in got.items():
+            assert sum(n for _, n in xs) <= 3 * cells[c]
+            for x, n in xs:
+                used[c[0]] += n
+                taken[x] += n
+        assert all(taken[x] <= quota[x] for x in sources)
+        cost = sum(max(0, min(words_[p], n - k * words_[p])) * (k * (k + 1) // 2) for p, n in used.items() for k in range(3))
+        assert (sum(taken.values()), cost) == cheapest(arcs, len(node) + 2, 0, 1)
+
+
+def test_mixing_query(spark, tmp_path):
+    """The query against targets worked out by bisection, with overlaps, nulls, copies and repeated rows."""
+    rng = random.Random(15)
+    rows = []
+    for i in range(300):
+        n = rng.choice([0, 1, 5, 30, 200])
+        rows.append((i, None if i % 50 == 7 else " ".join(rng.choice("abcdefgh") for _ in range(n)), ("b", "a", "c", "a", None, "d")[i % 6] if i % 40 else "tiny"))
+    rows += [(1000 + i, r[1], "e") for i, r in enumerate(rows[:40])] + rows[60:63] * 2
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = queries.op7_mixing(spark, str(tmp_path)).collect()
+    assert len(out) == len(rows)
+    held = defaultdict(int)
+    for _, t, x in rows:
+        held[x] += len(words(t))
+    names = sorted(held, key=lambda x: (x is None, x or ""))
+    weight = {x: (5, 2, 1)[i % 3] for i, x in enumerate(names)}
+    lo, hi = 0.0, 1e9  # each target is the lesser of its cap and weight times one level
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if sum(min(3 * held[x], weight[x] * mid) for x in names) < sum(held.values()) else (lo, mid)
+    target = {x: min(3 * held[x], weight[x] * hi) for x in names}
+    source = {r[0]: r[2] for r in rows}
+    taken = defaultdict(int)
+    size = {r[0]: len(words(r[1])) for r in rows}
+    for r in out:
+        x = source[r["doc_id"]]
+        assert r["size"] == size[r["doc_id"]] and r["source_size"] == held[x] and r["target"] == pytest.approx(target[x]) and 0 <= r["taken"] <= 3 * r["size"]
+        taken[x] += r["taken"]
+    assert all(abs(taken[x] - target[x]) <= 1 for x in names)
+    assert any(len(json.loads(r["pattern"])) > 1 for r in out)
+    assert sorted((r["doc_id"], r["taken"]) for r in out) == sorted((r["doc_id"], r["taken"]) for r in queries.op7_mixing(spark, str(tmp_path)).collect())
+
+
+def test_mixing_hot_rows_and_clashes(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 50)
+    rows = [(1, 10, "a")] * 400 + [(i, i % 7, "ab"[i % 2]) for i in range(2, 200)]
+    spark.createDataFrame(rows, "doc_id long, n int, source string").repartition(6).write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    for name in ("_key", "_bucket", "_in", "_row", "_o0", "_salt", "_all", "_hot", "_home"):
+        df = df.withColumn(name, F.lit("mine"))
+    df = df.withColumn("_size", F.lit("gone"))
+    out = mixing.mix_sources(df, F.array("source"), F.col("n"), [F.col("doc_id"), F.col("n")], weights=(1, 2))
+    assert out.filter("_key = 'mine' AND _bucket = 'mine' AND _in = 'mine' AND _row = 'mine' AND _o0 = 'mine' AND _salt = 'mine' AND _all = 'mine' AND _hot = 'mine' AND _home = 'mine'").count() == len(rows)
+    taken = {r["source"]: r["t"] for r in out.groupBy("source").agg(F.sum("_taken").alias("t")).collect()}
+    held = {x: sum(r[1] for r in rows if r[2] == x) for x in "ab"}
+    want = mixing.fill(sum(held.values()), [held["a"], held["b"]], [1, 2])
+    assert all(abs(taken[x] - w) <= 1 for x, w in zip("ab", want))
+    # the rows of one key take what lies under the line, whoever of them
+    hot = sorted(r["_taken"] for r in out.filter("doc_id = 1").collect())
+    assert sum(t % 10 != 0 for t in hot) <= 1 and hot[-1] - hot[0] <= 10
 
 
 # 8
