@@ -13,9 +13,12 @@ from pyspark.sql import functions as F
 
 from factloom.llm.common import slices
 
-WIDTH, MOST_ROWS = 64, 65_535
+#: Columns of a stored payload, and rows of one of its frames at most.
+WIDTH, FRAME_ROWS = 64, 256
+#: Three bits of red and green and two of blue.
+PALETTE = bytes(v for i in range(256) for v in (i & 0xE0, i << 3 & 0xE0, i << 6 & 0xC0))
 GREY = bytes(v for i in range(256) for v in (i, i, i))
-#: Canvas pixels that one picture may claim (memory of a task).
+#: Pixels that one image or canvas may claim (memory of a task); one that claims more is broken.
 MOST_PIXELS = 1 << 26
 
 
@@ -133,14 +136,16 @@ def _unclear(raw: np.ndarray, total: int, at: int, table: list[bytes], prev: byt
     return total
 
 
-def encode(payload: bytes, delay: int = 10) -> bytes:
-    """A GIF of 64 columns whose samples are the payload's bytes (a positive multiple of 64); one timed frame per 65,535 rows at most."""
-    rows = len(payload) // WIDTH
-    out = [b"GIF89a", struct.pack("<HHBBB", WIDTH, min(rows, MOST_ROWS), 0xF7, 0, 0), GREY]
-    for at in range(0, rows, MOST_ROWS):
-        n = min(MOST_ROWS, rows - at)
+def encode(payload: bytes, delay: int = 10, rows: int = FRAME_ROWS) -> bytes:
+    """A GIF of 64 columns whose samples are the payload's bytes (a positive multiple of 64), in timed frames of so many rows at most.
+
+    Zero bytes are transparent, and each frame is cleared before the next (disposal to background), so a frame shows its own bytes only."""
+    lines = len(payload) // WIDTH
+    out = [b"GIF89a", struct.pack("<HHBBB", WIDTH, min(lines, rows), 0xF7, 0, 0), PALETTE]
+    for at in range(0, lines, rows):
+        n = min(rows, lines - at)
         data = lzw_encode(payload[at * WIDTH : (at + n) * WIDTH])
-        out += [b"\x21\xf9\x04\x04", struct.pack("<H", delay), b"\0\0", b"\x2c", struct.pack("<HHHHB", 0, 0, WIDTH, n, 0), b"\x08"]
+        out += [b"\x21\xf9\x04\x09", struct.pack("<H", delay), b"\0\0", b"\x2c", struct.pack("<HHHHB", 0, 0, WIDTH, n, 0), b"\x08"]
         out += [bytes([len(data[i : i + 255])]) + data[i : i + 255] for i in range(0, len(data), 255)] + [b"\0"]
     return b"".join([*out, b"\x3b"])
 
@@ -189,7 +194,7 @@ def decode(data: bytes | None) -> Gif | None:
         return None
     width, height, flags = struct.unpack_from("<HHB", data, 6)
     shared, at = _palette(data, 13, flags) if flags & 0x80 else (np.frombuffer(GREY, np.uint8).reshape(-1, 3), 13)
-    gif, control = Gif(width, height, [], None, False), (0, 0, None)
+    gif, control = Gif(width, height, [], None, width * height > MOST_PIXELS), (0, 0, None)
     while at < len(data) and data[at] != 0x3B:
         kind = data[at]
         if kind == 0x21 and at + 2 < len(data):
@@ -224,9 +229,9 @@ def decode(data: bytes | None) -> Gif | None:
 
 
 def composite(gif: Gif) -> Iterator[np.ndarray]:
-    """The canvas (height, width, RGBA) as each frame shows it, by the rules of disposal and transparency."""
+    """The canvas (height, width, RGBA; one array, changed from frame to frame) as each frame shows it, by the rules of disposal and transparency; none if it claims too much."""
     if gif.width * gif.height > MOST_PIXELS:
-        raise ValueError("the canvas is too large")
+        return
     canvas = np.zeros((gif.height, gif.width, 4), np.uint8)
     for f in gif.frames:
         before = canvas.copy() if f.disposal == 3 else None
@@ -237,7 +242,7 @@ def composite(gif: Gif) -> Iterator[np.ndarray]:
         colours[: len(f.palette), :3], colours[:, 3] = f.palette, 255
         shown = colours[x]
         box[...] = shown if f.transparent is None else np.where((x == f.transparent)[..., None], box, shown)
-        yield canvas.copy()
+        yield canvas
         if f.disposal == 2:
             box[...] = 0
         elif before is not None:
@@ -257,13 +262,17 @@ FRAMES = "frame int, start_cs long, delay_cs int, width int, height int, disposa
 def frame_columns(media: DataFrame, key: str = "doc_id", column: str = "media") -> DataFrame:
     """A row per composited frame: key, place, start and delay in hundredths of a second, size and colour histogram.
 
-    Null or foreign bytes give no row; a broken stream gives its whole frames and ``broken``. Repeated rows give repeated frames."""
+    Null, empty or foreign bytes give no row; a broken stream gives its whole frames and ``broken``, and a canvas of more than
+    MOST_PIXELS one row without place and histogram that is ``broken``. Repeated rows give repeated frames; other columns are
+    ignored; an empty table gives none."""
 
     def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 16):
             rows = []
             for k, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 gif, start = decode(data), 0
+                if gif and gif.width * gif.height > MOST_PIXELS:
+                    rows.append({key: k, "width": gif.width, "height": gif.height, "broken": True})
                 for i, (f, pixels) in enumerate(zip(gif.frames, composite(gif)) if gif else ()):
                     rows.append({key: k, "frame": i, "start_cs": start, "delay_cs": f.delay, "width": gif.width, "height": gif.height, "disposal": f.disposal, "rgb_histogram": histogram(pixels), "broken": gif.broken})
                     start += f.delay

@@ -12,14 +12,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm import gif
-from factloom.llm.common import slices, utf8
+from factloom.llm.common import byte_slices, new_folder, slices, utf8
 
 
 def store(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and media (a GIF) of every row of docs; null texts are empty."""
+    """doc_id, n_bytes and media (a GIF) of every row of docs (doc_id, text); null texts are empty.
+
+    An empty text is one row of 64 zero bytes; long ones have many frames. Repeated rows give repeated media, and equal texts
+    equal bytes. Null ids stay null; other columns are ignored; an empty table gives none."""
 
     def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 64):
+        for b in byte_slices(batches, 1, 1 << 20):
             texts = utf8(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t or b"") for t in texts], pa.int64()), pa.array([gif.encode(gif.padded(t)) for t in texts], pa.binary())], ["doc_id", "n_bytes", "media"])
 
@@ -27,13 +30,11 @@ def store(docs: DataFrame) -> DataFrame:
 
 
 def feature(picture: gif.Gif) -> str:
-    """Frames, shown time and the share of each of 8 grey bins (per mille) of all samples through their palettes."""
-    bins = np.zeros(8, np.int64)
-    for f in picture.frames:
-        grey = np.zeros(256, np.int64)
-        grey[: len(f.palette)] = f.palette.astype(np.int64).sum(axis=1) // 3
-        bins += np.bincount(grey >> 5, np.bincount(np.frombuffer(f.samples, np.uint8), minlength=256), 8).astype(np.int64)
-    return f"{len(picture.frames)};{sum(f.delay for f in picture.frames)};" + ",".join(str(int(x)) for x in 1000 * bins // max(1, bins.sum()))
+    """Frames, shown time, and the share (per mille) of visible pixels of all composited frames in 8 bins of red, green and blue."""
+    bins = np.zeros(24, np.int64)
+    for canvas in gif.composite(picture):
+        bins += gif.histogram(canvas)
+    return f"{len(picture.frames)};{sum(f.delay for f in picture.frames)};" + ",".join(map(str, (1000 * bins // max(1, int(bins[:8].sum()))).tolist()))
 
 
 OUT = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -45,16 +46,20 @@ def _row(media: bytes) -> tuple:
     return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(picture)
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """What ``store`` makes of every row, read back from the stored bytes; the media stay in the task, one document at a time.
-
-    Null and empty texts are one row of zero bytes. Repeated rows give repeated results; other columns are ignored."""
+def read_back(stored: DataFrame) -> DataFrame:
+    """The payload of stored media (doc_id, n_bytes, media), its digests and the features of its pictures."""
 
     def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        for b in slices(batches):
-            texts = utf8(b.column(1))
-            made = list(zip(*(_row(gif.encode(gif.padded(t))) for t in texts))) or [()] * 6
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t or b"") for t in texts], pa.int64()), *[pa.array(c, k) for c, k in zip(made, kinds)]], [x.split()[0] for x in OUT.split(", ")])
+        for b in slices(batches, 64):
+            made = list(zip(*map(_row, b.column(2).to_pylist()))) or [()] * 6
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(c, k) for c, k in zip(made, kinds)]], [x.split()[0] for x in OUT.split(", ")])
+
+    return stored.select("doc_id", "n_bytes", "media").mapInArrow(kernel, OUT)
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(kernel, OUT)
+def digests(docs: DataFrame, folder: str | None = None) -> DataFrame:
+    """Writes what ``store`` makes of every row as Parquet in a new shared folder (or the one named), and reads the stored bytes back."""
+    spark, folder = docs.sparkSession, folder or new_folder(docs.sparkSession, "media")
+    store(docs).write.parquet(folder)
+    return read_back(spark.read.parquet(folder))

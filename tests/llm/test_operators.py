@@ -766,6 +766,49 @@ def test_gif_frames(spark):
     assert inter == b"".join(rows_[2 * k : 2 * k + 2] for k in (0, 4, 2, 5, 1, 6, 3, 7))
 
 
+def shown_bins(payload):
+    """Shares of red, green and blue by plain loops: every byte but zero shows its palette colour once."""
+    bins, n = [0] * 24, 0
+    for v in payload:
+        if v:
+            n += 1
+            for c, x in enumerate((v & 0xE0, v << 3 & 0xE0, v << 6 & 0xC0)):
+                bins[8 * c + (x >> 5)] += 1
+    return ",".join(str(1000 * x // max(1, n)) for x in bins)
+
+
+def test_gif_claims_too_much(spark):
+    """A canvas or an image that claims more pixels than a task may hold is broken, and ends no job."""
+    import struct
+
+    wide = b"GIF89a" + struct.pack("<HHBBB", 60_000, 60_000, 0, 0, 0) + b"\x3b"
+    image = picture([(0, 0, 4, 4, bytes(16), 1, 1, None, 0)])
+    at = image.index(b"\x2c")
+    image = image[: at + 5] + struct.pack("<HH", 60_000, 60_000) + image[at + 9 :]
+    rows = [(1, bytearray(wide)), (2, bytearray(image)), (3, bytearray(b""))]
+    out = gif.frame_columns(spark.createDataFrame(rows, "doc_id long, media binary")).collect()
+    assert [(r["doc_id"], r["frame"], r["width"], r["broken"]) for r in out] == [(1, None, 60_000, True)]
+    assert gif.decode(image).broken and not gif.decode(image).frames
+
+
+def test_media_query(spark, tmp_path):
+    """The query as registered: payloads and features against plain loops, the stored bytes against the file format."""
+    rng = random.Random(16)
+    texts = [None, "", "a", "x" * 64, "\0 zero \0", "é中" * 50, prose(rng, 6000, 3000), "\x7f" * 20_000, "a"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, "a"), (2, "a")]
+    spark.createDataFrame(rows, "doc_id long, text string").withColumn("media", F.lit("clash")).write.parquet(f"{tmp_path}/documents.parquet")
+    got = Counter(tuple(r) for r in queries.op10_gif_media(spark, str(tmp_path)).collect())
+    want = Counter()
+    for i, t in rows:
+        raw = (t or "").encode()
+        payload = raw + bytes(64 - len(raw) % 64 if len(raw) % 64 or not raw else 0)
+        media = gif.encode(payload)
+        frames = -(-len(payload) // (64 * gif.FRAME_ROWS))
+        assert media[:6] == b"GIF89a" and media[-1:] == b";" and media.count(b"\x21\xf9\x04\x09") >= frames
+        want[i, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), f"{frames};{10 * frames};{shown_bins(payload)}"] += 1
+    assert got == want
+
+
 def test_media_round_trip(docs, corpus, empty):
     got = media.digests(docs).collect()
     want = Counter()
@@ -781,9 +824,12 @@ def test_media_round_trip(docs, corpus, empty):
 
 
 def test_gif_splits_long_payloads():
-    payload = bytes(64) * (gif.MOST_ROWS + 3)
+    payload = bytes(range(64)) * (2 * gif.FRAME_ROWS + 3)
     read = gif.decode(gif.encode(payload))
-    assert [f.height for f in read.frames] == [gif.MOST_ROWS, 3] and b"".join(f.samples for f in read.frames) == payload
+    assert [f.height for f in read.frames] == [gif.FRAME_ROWS] * 2 + [3] and b"".join(f.samples for f in read.frames) == payload
+    # the last frame shows its own rows only, as the one before is cleared; zero bytes are transparent
+    shown = [int((c[..., 3] > 0).sum()) for c in gif.composite(read)]
+    assert shown == [63 * gif.FRAME_ROWS] * 2 + [63 * 3]
 
 
 # the queries and the pipeline
