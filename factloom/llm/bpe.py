@@ -125,18 +125,19 @@ class WordMerges:
         if _ODD.search(text) or max(map(len, tokens), default=0) > _LONGEST:
             odd = {i for i, t in enumerate(tokens) if len(t) > _LONGEST or _ODD.search(t.decode())}
             text = "\n".join(["" if i in odd else t.decode() for i, t in enumerate(tokens)])
-        split = []
-        for s in unicodedata.normalize("NFC", text).lower().split("\n"):
-            if s.isalpha():
-                split.append((s,))
-            elif s[-1:] in _STOPS and s[:-1].isalpha():
-                split.append((s[:-1], s[-1]))
-            else:
-                split.append(_SPLIT.findall(s))
-        distinct = list(set().union(*split))
+        whole = unicodedata.normalize("NFC", text).lower().split("\n") if tokens else []
+        split = {}
+        for i, plain in enumerate(map(str.isalpha, whole)):
+            if not plain:
+                s = whole[i]
+                split[i] = (s[:-1], s[-1]) if s[-1:] in _STOPS and s[:-1].isalpha() else _SPLIT.findall(s)
+        # a token that isn't split is a part; one that is can't equal a part
+        distinct = list(set().union(whole, *split.values()).difference(whole[i] for i in split) | set().union(*split.values()))
         ids = dict(zip(distinct, self.words(list(map(str.encode, distinct)))))
         get = ids.__getitem__
-        out = [get(parts[0]) if len(parts) == 1 else b"".join(map(get, parts)) for parts in split] if tokens else []
+        out = list(map(ids.get, whole))
+        for i, parts in split.items():
+            out[i] = b"".join(map(get, parts))
         rest = sorted(odd)
         for i, e in zip(rest, self.whole.encode_batch_fast([tokens[i].decode() for i in rest], add_special_tokens=False)):
             out[i] = np.array(e.ids, "<u4").tobytes()

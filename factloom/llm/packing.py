@@ -107,20 +107,27 @@ def pack(lengths: list[int], room: int) -> list[list[tuple[int, int, int]]]:
 class Vocabulary:
     """Ids of words as little-endian unsigned 32-bit integers, by a tokenizer that never joins across white space.
 
-    A bounded memo keeps the words of the last groups; new words are merged together, many at a time."""
+    Two generations of a bounded memo keep the words that come again; new words are merged together, many at a time."""
 
-    LIMIT = 220_000
+    LIMIT = 400_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.merges, self.memo = WordMerges(path), {}
+        self.merges = WordMerges(path)
+        self.memo: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
         """A table that has all of the words."""
-        new = list(words.difference(self.memo))
+        new = words.difference(self.memo)
         if len(self.memo) + len(new) > self.LIMIT:
-            self.memo = {w: self.memo[w] for w in words if w in self.memo}
-        self.memo.update(zip(new, self.merges.encode(new)))
+            self.old, self.memo, new = self.memo, {}, words
+        if self.old:
+            again = new.intersection(self.old)
+            self.memo.update(zip(again, map(self.old.__getitem__, again)))
+            new = new.difference(again)
+        todo = list(new)
+        self.memo.update(zip(todo, self.merges.encode(todo)))
         return self.memo
 
 
@@ -134,8 +141,8 @@ def word_ids(path: str, end: int) -> Callable[[list[bytes | None]], list[bytes]]
         if path not in _VOCABULARY:
             _VOCABULARY[path] = Vocabulary(path)
         last, out = np.array([end], "<u4").tobytes(), []
-        for at in range(0, len(texts), 512):
-            split = [(t or b"").split() for t in texts[at : at + 512]]
+        for at in range(0, len(texts), 1024):
+            split = [(t or b"").split() for t in texts[at : at + 1024]]
             get = _VOCABULARY[path].learn(set().union(*split)).__getitem__
             out += [b"".join(map(get, ws)) + last for ws in split]
         return out
@@ -146,10 +153,13 @@ def word_ids(path: str, end: int) -> Callable[[list[bytes | None]], list[bytes]]
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def _spread(docs: DataFrame, seed: int, hot: int) -> DataFrame:
-    """doc_id, text, h and copy of every row. Rows that repeat more than ``hot`` times are counted, and made again with numbers."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"))
-    often = durable(rows.groupBy("doc_id", "h").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select(F.col("doc_id").alias("_doc"), F.col("h").alias("_h")))
+def _keyed(docs: DataFrame, seed: int) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"))
+
+
+def _spread(rows: DataFrame, counts: DataFrame, hot: int) -> DataFrame:
+    """doc_id, text, h and copy of every row. Rows that repeat more than ``hot`` times (n in counts) are made again with numbers."""
+    often = counts.filter(F.col("n") > hot).select(F.col("doc_id").alias("_doc"), F.col("h").alias("_h"))
     one = F.lit(0).cast("long").alias("copy")
     if often.isEmpty():
         return rows.select("doc_id", "text", "h", one)
@@ -168,7 +178,9 @@ def pack_documents(docs: DataFrame, tokenise: Callable[[list[bytes | None]], lis
     each, and spread if they are more than ``hot``. Null ids are packed too; ties are rows of one id and text, and alike. Other
     columns are ignored; an empty table gives none. A sequence is named by its partition and its place there, so a lost task
     gives the same pieces again."""
-    size = docs.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")), F.lit(0)).alias("n")).first()["n"]
+    keyed = _keyed(docs, seed)
+    counts = durable(keyed.groupBy("doc_id", "h").agg(F.count("*").alias("n"), F.sum(F.octet_length("text").cast("long")).alias("bytes")))
+    size = counts.agg(F.sum("bytes").alias("n")).first()["n"] or 0
     parts = min(max(1, -(-size // PARTITION_BYTES)), MOST_PARTITIONS)
 
     def packed(bucket: int, at: int, ids: list[int | None], texts: list[bytes | None]) -> tuple[pa.RecordBatch, int]:
@@ -203,6 +215,6 @@ def pack_documents(docs: DataFrame, tokenise: Callable[[list[bytes | None]], lis
             yield packed(bucket, at, ids, texts)[0]
 
     # the bucket is the partition that Spark itself chooses, as a column
-    rows = _spread(docs, seed, hot).repartition(parts, "h", "copy").sortWithinPartitions("h", "copy", "doc_id", "text")
+    rows = _spread(keyed, counts, hot).repartition(parts, "h", "copy").sortWithinPartitions("h", "copy", "doc_id", "text")
     rows = rows.select(F.pmod(F.hash("h", "copy"), F.lit(parts)).cast("long").alias("bucket"), "doc_id", "text")
     return rows.mapInArrow(kernel, PIECES + ", ids binary" * with_ids)
