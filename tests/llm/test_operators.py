@@ -389,11 +389,15 @@ def test_word_merges_are_the_tokenizers():
     tokens = [t for t in made if t.split() == [t]]
     want = [np.array(e.ids, "<u4").tobytes() for e in merges.whole.encode_batch([t.decode() for t in tokens], add_special_tokens=False)]
     assert merges.encode(tokens) == want and merges.encode([]) == []
-    vocabulary = packing.Vocabulary(path)
-    vocabulary.LIMIT = 50
-    for at in range(0, 200, 20):  # the memo is cut again and again
-        table = vocabulary.learn(set(tokens[at : at + 40]))
-        assert all(table[t] == w for t, w in zip(tokens[at : at + 40], want[at : at + 40]))
+    by = dict(zip(tokens, want))
+    vocabulary = packing.Vocabulary(path, 1)
+    for limit, chunk in ((1 << 20, 4 << 20), (300, 90)):  # the table starts anew again and again, and texts come in segments
+        vocabulary.LIMIT, vocabulary.CHUNK = limit, chunk
+        texts = [rng.choice((b" ", b"\n", b"")) + rng.choice((b" ", b"\t\r", b"\x0b\x0c")).join(rng.choices(tokens, k=rng.randrange(80))) for _ in range(60)]
+        texts += [None, b"", b" ", b"a\0b a\0 \0 a", b"\0", b"x" * 16, b"x" * 17 + b" " + b"x" * 16, b" ".join(tokens[:40])]
+        by |= {w: np.array(merges.whole.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes() for t in texts for w in (t or b"").split() if w not in by}
+        assert vocabulary.tokenise(texts) == [b"".join(by[w] for w in (t or b"").split()) + b"\1\0\0\0" for t in texts]
+    assert vocabulary.tokenise([]) == []
 
 
 def test_first_fit_decreasing():
