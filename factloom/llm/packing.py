@@ -10,6 +10,7 @@ import os
 import re
 import zlib
 from collections.abc import Callable, Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -239,18 +240,17 @@ class Vocabulary:
 
 
 _GAP = re.compile(rb"[\x20\x09-\x0D]")
-_VOCABULARY: dict[tuple[str, int], Vocabulary] = {}
 
 
-def word_ids(path: str, end: int) -> Callable[[list[bytes | None]], list[bytes]]:
-    """The ids of whole texts, each followed by the id ``end``."""
+@cache
+def vocabulary(path: str, end: int) -> Vocabulary:
+    """One per worker: a function of the module is sent by name, so its cache outlives a task."""
+    return Vocabulary(path, end)
 
-    def tokenise(texts: list[bytes | None]) -> list[bytes]:
-        if (path, end) not in _VOCABULARY:
-            _VOCABULARY[path, end] = Vocabulary(path, end)
-        return _VOCABULARY[path, end].tokenise(texts)
 
-    return tokenise
+def word_ids(path: str, end: int) -> Callable[[list[bytes | None]], list[bytes]]:
+    """The ids of whole texts, each followed by the id ``end``."""
+    return lambda texts: vocabulary(path, end).tokenise(texts)
 
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
