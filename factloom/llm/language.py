@@ -18,11 +18,11 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import U64, mix, slices, utf8
+from factloom.llm.common import U64, byte_slices, durable, mix, utf8
 
 ORDER = 5
-#: Bound of the training sample: rows per language, and characters of a row that is drawn.
-TRAIN_ROWS, TRAIN_CHARS = 500, 20_000
+#: Bounds of the training sample: rows per language, rows in all, and characters of a row that is drawn.
+TRAIN_ROWS, TRAIN_ALL, TRAIN_CHARS = 500, 8_000, 20_000
 UNKNOWN = "und"
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
@@ -232,31 +232,48 @@ def fit_identifier(rows: list[tuple[str, str]], held: float = 0.2) -> Identifier
     return found
 
 
-def train(docs: DataFrame, learn: Column, key: Column, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS, seed: int = 3) -> Identifier:
+def train(docs: DataFrame, learn: Column, key: Column, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS, seed: int = 3, most: int = TRAIN_ALL) -> Identifier:
     """Fits on a bounded sample: per language of the rows that ``learn`` admits, those of the least seeded hashes of ``key``.
 
-    Null languages, null texts and texts longer than ``chars`` are not drawn. The sample (languages x rows x chars at most)
-    is fitted on the driver; the drawing sorts hashes only and keeps ``rows`` per language before any shuffle."""
-    can = docs.select("lang", key.alias("_key"), "text").filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= chars))
+    Null languages, keys and texts are not drawn. Of a text longer than ``chars`` a slice from a seeded place is drawn, so
+    that languages of long texts are learned too; of rows that repeat a key, one. Each language has ``rows`` at most, or its
+    part of ``most`` where languages are many (more languages than that are an error). The sample is fitted on the driver;
+    the drawing sorts hashes only and keeps ``rows`` per language before any shuffle. An empty table gives no language."""
+    can = docs.select("lang", key.alias("_key"), "text").filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("_key").isNotNull())
     order = F.xxhash64(F.lit(seed), F.col("_key"))
-    ids = can.select("lang", F.col("_key"), order.alias("_o")).select("*", F.row_number().over(Window.partitionBy("lang").orderBy("_o", "_key")).alias("_n")).filter(F.col("_n") <= rows)
-    # at most rows per language
-    drawn = can.join(F.broadcast(ids.select("lang", "_key", "_n").distinct()), ["lang", "_key"]).select("lang", "_n", "text").collect()
-    return fit_identifier([(r["lang"], r["text"]) for r in sorted(drawn, key=lambda r: (r["lang"], r["_n"], r["text"]))])
+    ids = can.select("lang", F.col("_key"), order.alias("_o")).select("*", F.dense_rank().over(Window.partitionBy("lang").orderBy("_o", "_key")).alias("_n")).filter(F.col("_n") <= rows)
+    ids = durable(ids.select("lang", "_key", "_n").distinct())
+    languages = ids.select("lang").distinct().count()
+    if languages > most:
+        raise ValueError(f"more than {most} languages")
+    ids = ids.filter(F.col("_n") <= max(1, min(rows, most // max(1, languages))))
+    over = F.length("text") - chars
+    cut = F.when(over > 0, F.substring("text", F.pmod(F.xxhash64(F.lit(seed + 1), "_key"), over + 1).cast("int") + 1, F.lit(chars))).otherwise(F.col("text"))
+    # at most ``most`` rows
+    drawn = can.join(F.broadcast(ids), ["lang", "_key"]).groupBy("lang", "_n").agg(F.min(cut).alias("text")).collect()
+    return fit_identifier([(r["lang"], r["text"]) for r in sorted(drawn, key=lambda r: (r["lang"], r["_n"]))])
+
+
+ADDED = ("lang_pred", "score", "entropy", "rejected")
 
 
 def identify(docs: DataFrame, model: Identifier, keep: list[str]) -> DataFrame:
-    """The kept columns with lang_pred, score, entropy and rejected for every row's text.
+    """The kept columns with lang_pred, score, entropy and rejected for every row's text; kept columns of these names are replaced.
 
     Null texts and texts without a letter are ``und`` with score 0, as all are if nothing was learned. Ties go to the first
-    language by code point. Texts of any length are read whole; equal texts get equal results."""
+    language by code point. Texts of any length are read whole; equal texts get equal results, and repeated rows repeat. An
+    empty table gives none."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the training sample
+    keep = [c for c in keep if c not in ADDED]
 
     def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in byte_slices(batches, 0, 2 << 20):
             found = list(zip(*shared.value.predict(utf8(b.column(0))))) or [()] * 4
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(found[0], pa.string()), pa.array(found[1], pa.float64()), pa.array(found[2], pa.float64()), pa.array(found[3], pa.bool_())], [*b.schema.names[1:], "lang_pred", "score", "entropy", "rejected"])
+            kinds = (pa.string(), pa.float64(), pa.float64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], *[pa.array(f, k) for f, k in zip(found, kinds)]], [*b.schema.names[1:], *ADDED])
 
     types = dict(docs.dtypes)
-    fields = "".join(f"`{c}` {types[c]}, " for c in keep)
-    return docs.select("text", *keep).mapInArrow(kernel, fields + "lang_pred string, score double, entropy double, rejected boolean")
+    rows = docs.select("text", *[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(keep)])
+    fields = "".join(f"_{i} {types[c]}, " for i, c in enumerate(keep))
+    done = rows.mapInArrow(kernel, fields + "lang_pred string, score double, entropy double, rejected boolean")
+    return done.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(keep)], *ADDED)

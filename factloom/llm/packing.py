@@ -113,7 +113,7 @@ class Vocabulary:
     ids in a pool. Longer words, and those with a zero byte, are in a dictionary. New words are merged together, many at a
     time. A table that is full starts anew: it only saves work."""
 
-    BITS, CHUNK = 21, 4 << 20
+    BITS, CHUNK = 21, 2 << 20
     LIMIT = 1 << BITS - 1
 
     def __init__(self, path: str, end: int):

@@ -14,7 +14,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.llm.common import small
+
 PLACES, VNODES = 1 << 14, 64
+#: Rows of a place beyond which it is ranked in so many parts.
+HOT_ROWS, PARTS = 1_000_000, 256
 
 
 def virtual_nodes(shards: int, vnodes: int = VNODES, places: int = PLACES, seed: int = 0) -> list[tuple[int, int]]:
@@ -50,17 +54,34 @@ def layout(counts: dict[int, int], shards: int, load_factor: float = 1.0, vnodes
     return out
 
 
-def assign_shards(rows: DataFrame, shards: int, key: list[Column], tie: list[Column], load_factor: float = 1.0) -> DataFrame:
+def assign_shards(rows: DataFrame, shards: int, key: list[Column], tie: list[Column], load_factor: float = 1.0, hot: int = HOT_ROWS) -> DataFrame:
     """Adds shard (int) and slot (long, gapless from 0 in its shard) to all rows; columns of these names are replaced.
 
-    ``key`` places a row, ``tie`` orders the rows of one place. Null keys share one place and are bounded as any. Rows equal
-    in key and tie are interchangeable. An empty table gives none. Shuffles: one of a bounded count, one for the ranks."""
-    place = F.pmod(F.xxhash64(*key), F.lit(PLACES)).cast("int")
+    ``key`` places a row, ``tie`` orders the rows of one place. Null keys share one place and are bounded as any; a place of
+    more than ``hot`` rows is ranked in parts by hash of key and tie, so that no task ranks it alone. Rows equal in both are
+    interchangeable, and repeated rows are rows of their own. Other columns pass through, whatever their names. An empty table
+    gives none. Shuffles: one of a bounded count (two where a place is hot), one for the ranks."""
     spark = rows.sparkSession
-    counts = {r["p"]: r["n"] for r in rows.groupBy(place.alias("p")).agg(F.count("*").alias("n")).collect()}  # at most PLACES rows
-    plan = spark.createDataFrame(layout(counts, shards, load_factor), "_place int, _lo long, _end long, shard int, _base long")
-    ranked = rows.drop("shard", "slot").withColumn("_place", place)
-    ranked = ranked.withColumn("_rank", F.row_number().over(Window.partitionBy("_place").orderBy(F.xxhash64(*key), *tie)) - F.lit(1).cast("long"))
+    kept = [c for c in rows.columns if c not in ("shard", "slot")]
+    whole = F.struct(F.lit(1).alias("_"), *[F.col(f"`{c}`") for c in kept]).alias("row")
+    ties = [t.alias(f"t{i}") for i, t in enumerate(tie)]
+    df = rows.select(whole, F.pmod(F.xxhash64(*key), F.lit(PLACES)).cast("int").alias("place"), F.xxhash64(*key).alias("hash"), F.pmod(F.xxhash64(*key, *tie), F.lit(PARTS)).cast("int").alias("part"), *ties)
+    counts = {r["place"]: r["n"] for r in df.groupBy("place").agg(F.count("*").alias("n")).collect()}  # at most PLACES rows
+    large = sorted(p for p, n in counts.items() if n > hot)
+    df = df.withColumn("part", F.when(F.col("place").isin(large), F.col("part")).otherwise(0)) if large else df.withColumn("part", F.lit(0))
+    before = []
+    if large:
+        seen = dict.fromkeys(large, 0)
+        for r in sorted(df.filter(F.col("place").isin(large)).groupBy("place", "part").agg(F.count("*").alias("n")).collect()):  # at most PARTS rows of each hot place
+            before.append((r["place"], r["part"], seen[r["place"]]))
+            seen[r["place"]] += r["n"]
+    rank = (F.row_number().over(Window.partitionBy("place", "part").orderBy("hash", *[f"t{i}" for i in range(len(tie))])) - 1).cast("long")
+    ranked = df.select("row", "place", "part", rank.alias("rank"))
+    if before:
+        offsets = spark.createDataFrame(before, "place int, part int, before long")
+        ranked = ranked.join(small(offsets), ["place", "part"], "left").withColumn("rank", F.col("rank") + F.coalesce("before", F.lit(0)))
+    plan = spark.createDataFrame(layout(counts, shards, load_factor), "at int, lo long, end long, shard int, base long")
     # at most PLACES rows and one for each time a place is cut
-    on = ranked.join(F.broadcast(plan), "_place").filter("_rank >= _lo AND _rank < _end")
-    return on.withColumn("slot", F.col("_base") + F.col("_rank") - F.col("_lo")).drop("_place", "_rank", "_lo", "_end", "_base")
+    on = ranked.join(small(plan), F.col("place") == F.col("at")).filter("rank >= lo AND rank < end")
+    on = on.select("row", "shard", (F.col("base") + F.col("rank") - F.col("lo")).alias("slot"))
+    return on.select(*[F.col("row").getField(c).alias(c) for c in kept], "shard", "slot")

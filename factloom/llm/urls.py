@@ -73,7 +73,8 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     expressly allowed, else block if any is blocked, else allow; ``via`` says which (rule, alias or default). Aliases are
     pages joined by canonical links, meta refreshes and the optional table ``redirects`` (u, v: urls), through any number
     of steps and through urls that are no page here. Null or unreadable urls have no alias and are allowed by default.
-    Repeated rows are judged alike. Other columns are ignored."""
+    Null and empty pages have no links. Repeated rows are judged alike; ties of rules of one length go to the first in order.
+    Other columns are ignored; an empty table gives none."""
     p = pages.select("page_id", "url", "html")
     p = p.select("page_id", "url", alias_key(F.col("url")).alias("key"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html")
     named = p.filter("key IS NOT NULL AND html IS NOT NULL").select("url", F.explode(links_of(F.col("html"))).alias("target"))
@@ -86,7 +87,8 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     flags = at.groupBy("component").agg(F.max(F.col("v") == "allow").alias("allowed"), F.max(F.col("v") == "block").alias("blocked"))
     alias = durable(at.join(flags, "component").select(F.col("node").alias("key"), "component", "allowed", "blocked"))
     own = rule_of(F.col("host"), F.col("path"), rules)
-    judged = p.select("page_id", "key", "host", "path", own.alias("own"))
+    # pages without a key meet no alias, as no host begins with a question mark; their ids spread them
+    judged = p.select("page_id", F.coalesce("key", F.concat(F.lit("?"), F.coalesce(F.col("page_id").cast("string"), F.lit("")))).alias("key"), "host", "path", own.alias("own"))
     judged = judged.select("*", F.lit(None).cast("string").alias("component"), F.lit(None).cast("boolean").alias("allowed"), F.lit(None).cast("boolean").alias("blocked")) if alias.isEmpty() else judged.join(alias, "key", "left")
     passed = F.when(F.col("allowed"), "allow").when(F.col("blocked"), "block")
     return judged.select(

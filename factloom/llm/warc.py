@@ -11,6 +11,7 @@ import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from typing import BinaryIO
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 from factloom.llm.common import durable, new_folder, slices, small
 
 DATE, CHUNK, FILE_BYTES = "2000-01-01T00:00:00Z", 1 << 16, 256 << 20
+#: Says that blanks and controls of the target, and its percent signs, are written as percent and digits.
+QUOTED = "X-Target-URI-Quoted: 1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -34,7 +37,10 @@ def record(name: str, url: str | None, payload: bytes, refers_to: str | None = N
     block = http if refers_to is not None else http + payload
     head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:x-page:{name}>", f"WARC-Date: {DATE}"]
     if url is not None:
-        head.append("WARC-Target-URI: " + "".join(c if c > " " and c != "\x7f" else f"%{ord(c):02X}" for c in url))
+        plain = all(c > " " and c != "\x7f" for c in url)
+        head.append("WARC-Target-URI: " + (url if plain else quote(url, safe="!#$&'()*+,/:;=?@[]~", errors="surrogatepass")))
+        if not plain:
+            head.append(QUOTED)
     if refers_to is not None:
         head += [f"WARC-Refers-To: <urn:x-page:{refers_to}>", f"WARC-Profile: {PROFILE}"]
     head += [f"WARC-Payload-Digest: sha1:{digest_of(payload)}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
@@ -109,7 +115,9 @@ def with_roles(pages: DataFrame, payload: Column, least_bytes: int = 0) -> DataF
 def write_archives(rows: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Writes page_id, url, payload and refers_to (null: a response) to the folder (a URI of pyarrow's file systems).
 
-    Returns path, records and bytes of the files that count, durably: a lost task writes anew under another name."""
+    Returns path, records and bytes of the files that count, durably: a lost task writes anew under another name. Null urls have
+    no target, null payloads are empty and null ids are named so; every row is a record, repeated or not, and one of any length
+    is held by itself. A table without rows gives no file. Other columns are ignored."""
 
     def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = fs.FileSystem.from_uri(folder)
@@ -154,9 +162,10 @@ def read_archives(paths: DataFrame, with_payload: bool = True) -> DataFrame:
 
         def row(r: Record) -> tuple:
             h, (http, payload) = r.headers, r.http
-            kind = h.get("warc-type")
+            kind, url = h.get("warc-type"), h.get("warc-target-uri")
+            url = unquote(url) if url is not None and "x-target-uri-quoted" in h else url
             size = len(payload) if kind == "response" else int(http.get("content-length", "0") or 0)
-            return number(h.get("warc-record-id")), h.get("warc-target-uri"), payload if with_payload and kind == "response" else None, size, h.get("warc-payload-digest", "").removeprefix("sha1:"), kind, number(h.get("warc-refers-to")), r.error
+            return number(h.get("warc-record-id")), url, payload if with_payload and kind == "response" else None, size, h.get("warc-payload-digest", "").removeprefix("sha1:"), kind, number(h.get("warc-refers-to")), r.error
 
         def batch(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
@@ -179,7 +188,10 @@ def read_archives(paths: DataFrame, with_payload: bool = True) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """Archives every row of pages (page_id, url, html; null html: empty) in a new shared folder and reads the archives back."""
+    """Archives every row of pages (page_id, url, html; null html: empty) in a new shared folder and reads the archives back.
+
+    Repeated rows are records each, see ``with_roles``; urls come back as they were, blanks included. Other columns are
+    ignored; an empty table gives none."""
     rows = with_roles(pages, F.encode(F.coalesce("html", F.lit("")), "UTF-8"), least_bytes)
     written = write_archives(rows, new_folder(pages.sparkSession, "warc"))
     return read_archives(written, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "error")

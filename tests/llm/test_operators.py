@@ -209,6 +209,9 @@ def test_warc_round_trip(spark):
         again = last is not None and (page is None or page < last)
         want.append((page, len((html or "").encode()), warc.digest_of((html or "").encode()), "revisit" if again else "response", last if again else None, None))
     assert got == sorted(want, key=str)
+    urls_ = ["http://a.com/x y", " http://b ", "http://c/%20 %zz\t", "http://d/%41", "é\n", "", None]
+    back = warc.round_trip(spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls_)], "page_id long, url string, html string"))
+    assert [r["url"] for r in sorted(back.collect())] == urls_
     assert warc.round_trip(df.limit(0)).isEmpty()
     big = {r["page_id"]: r["record_type"] for r in warc.round_trip(df.filter("page_id IS NOT NULL"), least_bytes=100).collect()}
     assert set(big.values()) == {"response"}
@@ -243,8 +246,10 @@ def test_language_accuracy(spark):
 def test_language_edges(spark, docs, empty):
     model = language.fit_identifier([("en", "the cat and the dog with that thing")] * 9 + [("de", "der hund und die katze mit dem ding über")] * 9)
     texts = [None, "", "123 !?", "the dog and the thing", "über der katze", "the " * 50_000, "the dog and the thing"]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("score", F.lit("clash"))
-    got = {r["doc_id"]: r for r in language.identify(df.drop("score"), model, ["doc_id"]).collect()}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("score", F.lit("clash")).withColumn("_0", F.lit("mine"))
+    out = language.identify(df, model, ["doc_id", "score", "_0"])
+    assert out.columns == ["doc_id", "_0", *language.ADDED] and out.filter("_0 = 'mine'").count() == 7
+    got = {r["doc_id"]: r for r in out.collect()}
     assert [got[i]["lang_pred"] for i in range(7)] == ["und", "und", "und", "en", "de", "en", "en"]
     assert got[0]["score"] == 0 and got[3]["score"] == got[6]["score"] > 0.5
     nothing = language.train(empty, F.lit(True), F.col("doc_id"))
@@ -265,6 +270,93 @@ def test_kneser_ney_sums_to_one():
     assert abs(total - 1) < 1e-3
 
 
+def kneser_ney(counts, alphabet):
+    """Log probability of a word by plain dictionaries of strings: the recursion of interpolated Kneser-Ney itself."""
+    marked = {f"\x02{w}\x03": n for w, n in counts.items()}
+    raw = Counter()
+    for w, n in marked.items():
+        for i in range(4, len(w)):
+            raw[w[i - 4 : i + 1]] += n
+    tables = {5: raw}
+    for n in (4, 3, 2, 1):
+        table = Counter({g: c for g, c in Counter(g[1:] for g in tables[n + 1]).items()})
+        for w, c in marked.items():  # at a word's start nothing stands to the left
+            if len(w) >= n and n > 1:
+                table[w[:n]] += c
+        tables[n] = table
+    discount, sums, types = {}, defaultdict(lambda: defaultdict(float)), defaultdict(Counter)
+    for n, table in tables.items():
+        n1, n2 = (sum(c == k for c in table.values()) for k in (1, 2))
+        discount[n] = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+        for g, c in table.items():
+            sums[n][g[:-1]] += c
+            types[n][g[:-1]] += 1
+
+    def p(context, ch, n):
+        if n == 0:
+            return 1 / alphabet
+        context = context[-(n - 1) :] if n > 1 else ""
+        low = p(context, ch, n - 1)
+        if not sums[n][context]:
+            return low
+        return max(tables[n][context + ch] - discount[n], 0) / sums[n][context] + discount[n] * types[n][context] / sums[n][context] * low
+
+    def word(w):
+        w = f"\x02{w}\x03"
+        return sum(np.log(p(w[:i], w[i], min(5, i + 1))) for i in range(1, len(w)))
+
+    return word
+
+
+def test_kneser_ney_against_plain_recursion():
+    rng = random.Random(17)
+    counts = Counter("".join(rng.choice("aabbcde") for _ in range(rng.randrange(1, 9))) for _ in range(400))
+    asked = [*counts, *("".join(rng.choice("abcdez") for _ in range(rng.randrange(1, 11))) for _ in range(200))]
+    want = kneser_ney(counts, 8)
+    assert language.fit(counts, 8).word_scores(asked) == pytest.approx([want(w) for w in asked], abs=1e-4)
+
+
+def test_language_query_against_brute_force(spark):
+    """The registered query: its languages are those of the least cross-entropy under plainly computed models of the same rows."""
+    rows = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang", F.xxhash64(F.lit(3), "doc_id").alias("o")).collect()
+    by = defaultdict(list)
+    for r in sorted(rows, key=lambda r: (r["o"], r["doc_id"])):
+        if zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1 and r["lang"] is not None and r["text"] is not None:
+            assert len(r["text"]) <= language.TRAIN_CHARS
+            by[r["lang"]].append(r["text"])
+    find = lambda t: re.findall(r"[^\W\d_]+", t.lower())
+    counts = {x: Counter(w for t in texts[: max(1, round(0.8 * len(texts)))] for w in find(t)) for x, texts in by.items()}
+    alphabet = len({ch for c in counts.values() for w in c for ch in w}) + 2
+    models = {x: kneser_ney(c, alphabet) for x, c in sorted(counts.items())}
+    got = {r["doc_id"]: r for r in queries.op4_language_id(spark, DATA).collect()}
+    assert len(got) == len(rows)
+    memo = {}
+    for r in sorted(rows, key=lambda r: len(r["text"] or ""))[:90]:
+        ws = find(r["text"] or "")
+        assert got[r["doc_id"]]["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
+        if not ws:
+            assert (got[r["doc_id"]]["lang_pred"], got[r["doc_id"]]["score"]) == ("und", 0.0)
+            continue
+        for w in ws:
+            memo.setdefault(w, {x: m(w) for x, m in models.items()})
+        bits = sorted((-sum(memo[w][x] for w in ws) / sum(len(w) + 1 for w in ws), x) for x in models)
+        assert got[r["doc_id"]]["lang_pred"] == bits[0][1] or bits[1][0] - bits[0][0] < 1e-4
+
+
+def test_language_learns_long_texts(spark):
+    """A language whose texts are all long is learned from slices; of many languages each has its part of the sample."""
+    rng = random.Random(18)
+    word = lambda a: "".join(rng.choice(a) for _ in range(5))
+    rows = [(i, " ".join(word("abc") for _ in range(400)), "aa") for i in range(20)] + [(100 + i, " ".join(word("xyz") for _ in range(5000)), "zz") for i in range(9)] + [(100, "abc " * 99, None), (None, "cab", "aa")]
+    df = spark.createDataFrame(rows + rows[:2] * 3, "doc_id long, text string, lang string")
+    model = language.train(df, F.lit(True), F.col("doc_id"), chars=900)
+    assert model.languages == ["aa", "zz"]
+    assert [r["lang_pred"] for r in language.identify(spark.createDataFrame([("xyzzy zxy",), ("abcab",)], "text string"), model, []).collect()] == ["zz", "aa"]
+    assert language.train(df, F.lit(True), F.col("doc_id"), most=4).languages == ["aa", "zz"]
+    with pytest.raises(ValueError):
+        language.train(df, F.lit(True), F.col("doc_id"), most=1)
+
+
 def _char_logp(model, marked, at):
     """Log probability of one character by plain recursion over the stored arrays."""
     codes = np.array([ord(c) for c in marked], np.uint64)
@@ -307,6 +399,38 @@ def test_sharding(spark, docs, corpus, empty):
     assert sorted(r["count"] for r in hot.groupBy("shard").count().collect()) == [71, 71, 71, 71, 72, 72, 72]
 
 
+def test_sharding_query(spark, tmp_path):
+    """The registered query: sizes, digests and law by plain Python, the home of every row by a walk around the ring."""
+    rows = [(i, None if i % 9 == 4 else "é" * (i % 13)) for i in range(700)] + [(None, f"n{i}") for i in range(90)] + [(5, "same")] * 40
+    spark.createDataFrame(rows, "doc_id long, text string").withColumn("place", F.lit("clash")).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = [r.asDict() for r in queries.op5_sharding(spark, str(tmp_path)).collect()]
+    want = Counter((i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t in rows)
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == want
+    assert {(r["law"], r["grown_shard"]) for r in got} == {("rows", None)}
+    slots = defaultdict(list)
+    for r in got:
+        slots[r["shard"]].append(r["slot"])
+    assert sorted(slots) == list(range(24)) and all(sorted(x) == list(range(len(x))) for x in slots.values()) and max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+    places = {r["doc_id"]: r["p"] for r in spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(sharding.PLACES)).alias("p")).distinct().collect()}
+    ring, home = sharding.virtual_nodes(24), 0
+    for r in got:
+        node = bisect_left(ring, (places[r["doc_id"]],)) % len(ring)
+        home += ring[node][1] == r["shard"]
+    assert home > 0.6 * len(rows)  # a row leaves its home only where that is full
+
+
+def test_sharding_hot_place(spark):
+    df = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("part"), F.lit("mine").alias("row"), F.lit("mine").alias("_lo"), F.lit("mine").alias("rank"))
+    one, two = (sharding.assign_shards(df.repartition(n), 7, [F.col("doc_id")], [F.col("part")], hot=h) for n, h in ((3, 100), (5, 100)))
+    assert one.columns == [*df.columns, "shard", "slot"] and one.filter("row = 'mine' AND _lo = 'mine' AND rank = 'mine'").count() == 3000
+    rows = sorted((r["part"], r["shard"], r["slot"]) for r in one.collect())
+    assert rows == sorted((r["part"], r["shard"], r["slot"]) for r in two.collect())
+    slots = defaultdict(list)
+    for _, s, n in rows:
+        slots[s].append(n)
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values()) and sorted(map(len, slots.values())) == [428] * 3 + [429] * 4
+
+
 def test_ring_bounds_and_moves_little():
     rng = random.Random(3)
     keys = Counter(rng.randrange(sharding.PLACES) for _ in range(40_000))
