@@ -994,3 +994,75 @@ def test_pipeline(spark, tmp_path):
     assert sum(p["length"] for p in pieces if p["start"] == 0) and {p["doc_id"] for p in pieces} == set(used)
     assert [t.columns for t in tables[1:-1]] == [list(c.COLUMNS)] * 4
     assert json.dumps([n for n, _ in c.STAGES])
+
+
+def test_pipeline_of_awkward_tables(spark, tmp_path):
+    """Every stage against brute force on nulls, empties, long texts, ties, repeated rows and ids, extra columns; and on an empty table."""
+    import corpus_pipeline as c
+
+    rng = random.Random(19)
+    own = lambda n: " ".join(rng.choice(["the", "of", "and"]) if i % 2 else f"w{rng.randrange(10**5)}" for i in range(n))
+    texts = [own(90) for _ in range(12)]
+    shared = own(30)
+    rows = [(i, t, "en", ("b", "a", None)[i % 3]) for i, t in enumerate(texts)]
+    rows += [(20, texts[0] + " z", "en", "a"), (21, own(70) + " " + shared, "de", "b"), (22, shared + " " + own(80), "de", "a"), (23, shared, "de", "a"), (24, own(20_000), None, "c")]
+    rows += [(25, None, None, None), (26, "", "en", "a"), (27, " \n\t ", "en", "a"), (28, "short", "en", "a"), (None, texts[3], "en", "a"), (None, own(60), "en", "a"), (3, own(75), "en", "b"), (29, texts[5], "en", "b"), (29, own(66), "en", "b")]
+    rows += [rows[2], rows[2], rows[13]]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], schema).withColumn("q", F.lit("x")).withColumn("_copy", F.lit("x")).repartition(4)
+    tables = [docs.select(*c.COLUMNS)]
+    for i, (_, stage) in enumerate(c.STAGES):
+        stage(spark, docs if not i else tables[-1], DATA).write.parquet(f"{tmp_path}/{i}")
+        tables.append(spark.read.parquet(f"{tmp_path}/{i}"))
+    data = [[(r["doc_id"], r["text"], r["source"]) for r in t.collect()] for t in tables[:-1]]
+    kept = {(r["doc_id"], r["text"]) for r in quality.apply_rules(tables[0]).filter("kept").collect()}
+    assert Counter(data[1]) == Counter(r for r in data[0] if (r[0], r[1]) in kept) and len(data[1]) > 20
+    # near-duplicates: nodes are (id, text)
+    nodes = sorted({r[:2] for r in data[1] if r[0] is not None})
+    near = linked(list(enumerate(t for _, t in nodes)), 5, 80)
+    group = defaultdict(set)
+    for i, (_, root) in near.items():
+        group[root].add(nodes[i])
+    out = [r[:2] for r in data[2]]
+    assert Counter(r for r in out if r[0] is None) == Counter(r[:2] for r in data[1] if r[0] is None)
+    for g in group.values():
+        stay = [r for r in out if r in g]
+        assert len(stay) == 1 and stay[0][0] == min(i for i, _ in g)
+    # passages: windows that a smaller id has
+    first = {}
+    for i, t, _ in sorted((r for r in data[2] if r[0] is not None), key=lambda r: r[0]):
+        for k in range(len(words(t)) - 12):
+            first.setdefault(tuple(words(t)[k : k + 13]), i)
+    want = Counter()
+    for i, t, s in data[2]:
+        w = words(t)
+        gone = {j for k in range(len(w) - 12) if i is not None and first[tuple(w[k : k + 13])] < i for j in range(k, k + 13)}
+        left = t if not gone else b" ".join(x for j, x in enumerate(w) if j not in gone).decode()
+        want[i, left, s] += bool(left) or not gone
+    assert Counter(data[3]) == +want and any(t != left for (_, t, _), (_, left, _) in zip(sorted(data[2], key=str), sorted(data[3], key=str)))
+    # mixture: whole documents, near the targets of their sources
+    held, used = defaultdict(int), defaultdict(int)
+    for _, t, s in data[3]:
+        held[s] += len(words(t))
+    for _, t, s in data[4]:
+        used[s] += len(words(t))
+    names = sorted(held, key=mixing.source_order)
+    target = dict(zip(names, mixing.fill(sum(held.values()), [held[x] for x in names], [(5, 2, 1)[i % 3] for i in range(len(names))])))
+    largest = {x: max(len(words(t)) for _, t, s in data[3] if s == x) for x in names}
+    assert all(abs(used[x] - target[x]) <= largest[x] for x in names)
+    times = Counter(data[4])
+    assert all(times[r] <= 3 * n for r, n in Counter(data[3]).items()) and set(times) <= set(data[3])
+    # packing: all ids of all rows
+    from tokenizers import Tokenizer
+
+    one = Tokenizer.from_file(queries.public_tokenizers.path("word_bpe_49k.json"))
+    ids = Counter()
+    for i, t, _ in data[4]:
+        ids[i] += len(one.encode(t, add_special_tokens=False).ids) + 1
+    got = Counter()
+    for p in tables[-1].collect():
+        got[p["doc_id"]] += p["length"]
+    assert got == ids
+    empty = spark.createDataFrame([], schema)
+    for name, stage in c.STAGES:
+        assert stage(spark, empty, DATA).isEmpty(), name
