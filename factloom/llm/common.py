@@ -5,8 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
-from itertools import chain
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -91,39 +90,6 @@ def utf8(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-class WordHash(dict):
-    """64-bit hashes of words; two generations of a bounded memo keep the frequent words."""
-
-    def __init__(self, limit: int = 80_000):
-        super().__init__()
-        self.limit, self.old = limit, {}
-
-    def __missing__(self, word: bytes) -> int:
-        found = self.old.get(word)
-        if found is None:
-            found = self.of(word)
-        if len(word) <= 64:
-            if len(self) >= self.limit:
-                self.old = dict(self)
-                self.clear()
-            self[word] = found
-        return found
-
-    def of(self, word: bytes):
-        return xxhash.xxh3_64_intdigest(word)
-
-
-WORD_HASH = WordHash()
-
-
-def hash_words(docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and the offset of each document (one more than documents)."""
-    ends = np.zeros(len(docs) + 1, np.int64)
-    np.cumsum([len(d) for d in docs], out=ends[1:])
-    flat = np.fromiter(map(WORD_HASH.__getitem__, chain.from_iterable(docs)), U64, int(ends[-1]))
-    return flat, ends
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64."""
     x = x ^ (x >> U64(30))
@@ -134,6 +100,124 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_ONES = np.array([0] + [(1 << 8 * i) - 1 for i in range(1, 9)], U64)
+#: Words of more bytes are hashed one by one.
+_LONG = 256
+
+
+class Words:
+    """The words of several texts in one buffer: where each starts, its bytes, and how many end before each text's end (from 0)."""
+
+    def __init__(self, texts: list[bytes | None]):
+        self.buf = b" ".join([*(t or b"" for t in texts), b" " * 16])
+        raw = np.frombuffer(self.buf, np.uint8)
+        inside = ~((raw == 32) | (raw - np.uint8(9) <= 4))
+        edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        edge = np.concatenate([[0], edge]) if inside[0] else edge
+        self.start, self.size = edge[::2], edge[1::2] - edge[::2]
+        self.ends = np.concatenate([[0], np.searchsorted(self.start, np.cumsum([len(t or b"") + 1 for t in texts]))]).astype(np.int64)
+        self.zeros = np.flatnonzero(raw == 0)
+        self._eight = np.ndarray((len(raw) - 7,), "<u8", self.buf, 0, (1,))
+
+    def lane(self, i: int, of: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """Bytes 8 i to 8 i + 7 of the words, zero past their ends (which are not before byte 8 i)."""
+        return self._eight[self.start[of] + 8 * i] & _ONES[np.minimum(self.size[of] - 8 * i, 8)]
+
+    def take(self, of: np.ndarray) -> list[bytes]:
+        return [self.buf[i:j] for i, j in zip(self.start[of].tolist(), (self.start[of] + self.size[of]).tolist())]
+
+
+def hash_texts(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts in order, and the offset of each text (one more than texts)."""
+    w = Words(texts)
+    out = mix(w.lane(0) ^ w.size.astype(U64) * U64(0xD1342543DE82EF95))
+    most = int(w.size.max()) if len(w.size) else 0
+    for i in range(1, -(-min(most, _LONG) // 8)):
+        of = np.flatnonzero(w.size > 8 * i)
+        out[of] = mix(out[of] * U64(0x9E3779B97F4A7C15) + w.lane(i, of))
+    if most > _LONG:
+        of = np.flatnonzero(w.size > _LONG)
+        out[of] = [xxhash.xxh3_64_intdigest(x) for x in w.take(of)]
+    return out, w.ends
+
+
+class WordTable:
+    """Numbers distinct words, from 0, as they come; what they are numbered for is kept by the owner.
+
+    Words of up to 16 bytes are two 64-bit keys in an open-addressing table, looked up all at once; longer ones, and those
+    with a zero byte, are in a dictionary. A table that is full starts anew, so it only saves work."""
+
+    def __init__(self, bits: int = 20):
+        self.bits, self.limit = bits, 1 << bits - 1
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.number = np.zeros((2, 1 << self.bits), U64), np.zeros(1 << self.bits, np.int32)
+        self.long: dict[bytes, int] = {}
+        self.held = 0
+
+    def _slots(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (mix(a ^ b * U64(0x9E3779B97F4A7C15)) >> U64(64 - self.bits)).astype(np.int64)
+
+    def _find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out, open_, slot = np.full(len(a), -1, np.int64), np.arange(len(a)), self._slots(a, b)
+        while len(open_):
+            x, y = self.keys[0][slot], self.keys[1][slot]
+            hit = (x == a[open_]) & (y == b[open_])
+            out[open_[hit]] = self.number[slot[hit]]
+            go = ~hit & (x != 0)
+            open_, slot = open_[go], slot[go] + 1 & (1 << self.bits) - 1
+        return out
+
+    def _put(self, a: np.ndarray, b: np.ndarray, number: np.ndarray) -> None:
+        """Holds distinct keys that aren't held."""
+        open_, slot = np.arange(len(a)), self._slots(a, b)
+        while len(open_):
+            free = np.flatnonzero(self.keys[0][slot] == 0)
+            at, first = np.unique(slot[free], return_index=True)
+            won = open_[free[first]]
+            self.keys[0][at], self.keys[1][at], self.number[at] = a[won], b[won], number[won]
+            rest = np.ones(len(open_), bool)
+            rest[free[first]] = False
+            open_, slot = open_[rest], slot[rest]
+            slot = np.where(self.keys[0][slot] == 0, slot, slot + 1 & (1 << self.bits) - 1)
+
+    def numbers(self, texts: list[bytes | None], learn: Callable[[list[bytes]], None], forget: Callable[[], None]) -> tuple[np.ndarray, np.ndarray]:
+        """The number of each word, and the offset of each text. ``learn`` gets new words in the order of their numbers;
+        ``forget`` is called where the table starts anew. Texts of so many distinct words that the table can't hold must be cut."""
+        w = Words(texts)
+        a, b = w.lane(0), np.zeros(len(w.start), U64)
+        over = np.flatnonzero(w.size > 8)
+        b[over] = w.lane(1, over)
+        slow = w.size > 16
+        slow[np.searchsorted(w.start, w.zeros, "right") - 1] = True
+        out = np.full(len(w.start), -1, np.int64)
+        fast, rest = np.flatnonzero(~slow), np.flatnonzero(slow)
+        a, b = a[fast], b[fast]
+        found, words = self._find(a, b), w.take(rest)
+        new = np.flatnonzero(found < 0)
+        if self.held and self.held + len(new) + len(words) > self.limit:
+            self.clear()
+            forget()
+            found, new = np.full(len(a), -1, np.int64), np.arange(len(a))
+        if len(new):
+            order = new[np.lexsort((b[new], a[new]))]
+            once = np.ones(len(order), bool)
+            once[1:] = (a[order[1:]] != a[order[:-1]]) | (b[order[1:]] != b[order[:-1]])
+            order = order[once]
+            self._put(a[order], b[order], self.held + np.arange(len(order)))
+            self.held += len(order)
+            learn(w.take(fast[order]))
+            found[new] = self._find(a[new], b[new])
+        fresh = list(set(words).difference(self.long))
+        if fresh:
+            self.long.update(zip(fresh, range(self.held, self.held + len(fresh))))
+            self.held += len(fresh)
+            learn(fresh)
+        out[fast], out[rest] = found, [self.long[x] for x in words]
+        return out, w.ends
+
+
 def roll(h: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all runs of k words; the result is k - 1 shorter than h (empty if h is)."""
     n = max(0, len(h) - k + 1)

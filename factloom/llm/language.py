@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +17,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import U64, byte_slices, durable, mix, utf8
+from factloom.llm.common import U64, WordTable, byte_slices, durable, mix, utf8
 
 ORDER = 5
 #: Bounds of the training sample: rows per language, rows in all, and characters of a row that is drawn.
@@ -131,13 +130,15 @@ def fit(counts: Counter, alphabet: int) -> Model:
 class Identifier:
     """Models of several languages with a bounded memo of word scores."""
 
-    LIMIT = 250_000
+    #: Scores that the memo holds.
+    LIMIT = 20_000_000
 
     def __init__(self, models: dict[str, Model], scale: float = 1.0, most: dict[str, float] | None = None):
         self.languages, self.models, self.scale = sorted(models), models, scale
         self.most = most or {}
-        self._place: dict[bytes, int] = {}
-        self._rows = np.zeros((0, len(models) + 1), np.float32)
+        self._table = WordTable()
+        self._table.limit = max(20_000, min(self._table.limit, self.LIMIT // (len(models) + 1)))
+        self._forget()
 
     def __getstate__(self):
         return {"models": self.models, "scale": self.scale, "most": self.most}
@@ -145,15 +146,11 @@ class Identifier:
     def __setstate__(self, s):
         self.__init__(**s)
 
-    def _learn(self, tokens: set[bytes]) -> None:
-        """Log probabilities of each token's words by language, and characters counted; when the memo is full only these tokens stay."""
-        new = list(tokens.difference(self._place))
-        if len(self._place) + len(new) > self.LIMIT:
-            kept = [t for t in tokens if t in self._place]
-            self._rows = self._rows[[self._place[t] for t in kept]]
-            self._place = dict(zip(kept, range(len(kept))))
-        if not new:
-            return
+    def _forget(self) -> None:
+        self._rows, self._held = np.zeros((0, len(self.models) + 1), np.float32), 0
+
+    def _learn(self, new: list[bytes]) -> None:
+        """Keeps the log probabilities of each token's words by language, and characters counted."""
         found = [letters(t.decode("utf-8", "replace")) for t in new]
         distinct = list({w for ws in found for w in ws})
         rows = np.zeros((len(new), len(self.languages) + 1), np.float32)
@@ -164,23 +161,17 @@ class Identifier:
             of = np.array([number[w] for ws in found for w in ws], np.int64)
             for j in range(per.shape[1]):
                 rows[:, j] = np.bincount(owner, per[of, j], len(new))
-        first = len(self._place)
-        self._place.update(zip(new, range(first, first + len(new))))
-        if len(self._rows) < len(self._place):
-            room = np.zeros((max(len(self._place), min(2 * len(self._place), self.LIMIT)), rows.shape[1]), np.float32)
-            room[:first] = self._rows[:first]
-            self._rows = room
-        self._rows[first : first + len(new)] = rows
+        need = self._held + len(new)
+        if need > len(self._rows):
+            self._rows = np.concatenate([self._rows[: self._held], np.zeros((max(len(new), self._held), rows.shape[1]), np.float32)])
+        self._rows[self._held : need] = rows
+        self._held = need
 
     def entropies(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """Cross-entropy per character of each text and language (nan without letters), and characters counted."""
-        split = [(t or b"").split() for t in texts]
-        self._learn(set().union(*split))
-        size = np.array([len(ws) for ws in split], np.int64)
-        at = np.fromiter(map(self._place.__getitem__, chain.from_iterable(split)), np.int64, int(size.sum()))
-        owner = np.repeat(np.arange(len(split)), size)
-        rows = self._rows[at]
-        sums = np.stack([np.bincount(owner, rows[:, j], len(split)) for j in range(rows.shape[1])], axis=1)
+        at, ends = self._table.numbers(texts, self._learn, self._forget)
+        owner = np.repeat(np.arange(len(texts)), np.diff(ends))
+        sums = np.stack([np.bincount(owner, self._rows[at, j], len(texts)) for j in range(self._rows.shape[1])], axis=1)
         with np.errstate(invalid="ignore", divide="ignore"):
             return -sums[:, :-1] / sums[:, -1:], sums[:, -1]
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import U64, durable, hash_words, mix, roll, slices, small, utf8
+from factloom.llm.common import U64, durable, hash_texts, mix, roll, slices, small, utf8
 from factloom.llm.components import connected_components
 
 SAMPLES, BANDS, SKETCH_BITS, MOST_DIFFERENT = 128, 32, 512, 56
@@ -44,7 +44,7 @@ _SALT = _RNG.integers(0, 1 << 63, SAMPLES, np.int64).astype(U64)
 
 def shingle_sets(texts: list[bytes | None], k: int) -> list[np.ndarray]:
     """Sorted distinct 64-bit hashes of the k-word shingles of each text; a text of fewer words is one shingle."""
-    flat, ends = hash_words([(t or b"").lower().split() for t in texts])
+    flat, ends = hash_texts([(t or b"").lower() for t in texts])
     out = []
     for a, b in zip(ends[:-1], ends[1:]):
         n = b - a

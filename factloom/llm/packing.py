@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.bpe import WordMerges
-from factloom.llm.common import U64, byte_slices, durable, mix, small, utf8
+from factloom.llm.common import WordTable, byte_slices, durable, small, utf8
 
 #: Bytes of text of a group: what a task holds, one document at least.
 GROUP_BYTES = 8 << 20
@@ -107,112 +107,33 @@ def pack(lengths: list[int], room: int) -> list[list[tuple[int, int, int]]]:
 
 
 class Vocabulary:
-    """Ids of whole texts by a tokenizer that never joins across white space, from a table of words in flat arrays.
+    """Ids of whole texts by a tokenizer that never joins across white space: a table of words, each with its ids in a pool."""
 
-    Words of up to 16 bytes are two 64-bit keys in an open-addressing table, looked up all at once; each entry points to its
-    ids in a pool. Longer words, and those with a zero byte, are in a dictionary. New words are merged together, many at a
-    time. A table that is full starts anew: it only saves work."""
-
-    BITS, CHUNK = 21, 2 << 20
-    LIMIT = 1 << BITS - 1
+    CHUNK = 2 << 20
 
     def __init__(self, path: str, end: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.merges, self.end = WordMerges(path), end
+        self.merges, self.end, self.table = WordMerges(path), end, WordTable()
         self.forget()
 
     def forget(self) -> None:
-        self.keys = np.zeros((2, 1 << self.BITS), U64)
-        self.place = np.zeros(1 << self.BITS, np.int64)
-        self.size = np.zeros(1 << self.BITS, np.int64)
-        self.held, self.long = 0, {}
-        self.pool, self.used = np.array([self.end] * 1024, "<u4"), 1
-
-    def _slots(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return (mix(a ^ b * U64(0x9E3779B97F4A7C15)) >> U64(64 - self.BITS)).astype(np.int64)
-
-    def _find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """The slot of each key, -1 where it isn't held."""
-        out, open_, slot = np.full(len(a), -1, np.int64), np.arange(len(a)), self._slots(a, b)
-        while len(open_):
-            x, y = self.keys[0][slot], self.keys[1][slot]
-            hit = (x == a[open_]) & (y == b[open_])
-            out[open_[hit]] = slot[hit]
-            go = ~hit & (x != 0)
-            open_, slot = open_[go], slot[go] + 1 & (1 << self.BITS) - 1
-        return out
-
-    def _put(self, a: np.ndarray, b: np.ndarray, place: np.ndarray, size: np.ndarray) -> None:
-        """Holds distinct keys that aren't held."""
-        open_, slot = np.arange(len(a)), self._slots(a, b)
-        while len(open_):
-            free = np.flatnonzero(self.keys[0][slot] == 0)
-            at, first = np.unique(slot[free], return_index=True)
-            won = open_[free[first]]
-            self.keys[0][at], self.keys[1][at], self.place[at], self.size[at] = a[won], b[won], place[won], size[won]
-            rest = np.ones(len(open_), bool)
-            rest[free[first]] = False
-            open_, slot = open_[rest], slot[rest]
-            slot = np.where(self.keys[0][slot] == 0, slot, slot + 1 & (1 << self.BITS) - 1)
-        self.held += len(a)
-
-    def _learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Puts the ids of the words in the pool; their places and sizes."""
+        self.pool, self.ends = np.empty(0, "<u4"), np.zeros(1, np.int64)
+
+    def learn(self, words: list[bytes]) -> None:
+        """Puts the ids of new words in the pool."""
         ids = self.merges.encode(words)
-        size = np.array(list(map(len, ids)), np.int64) // 4
-        flat = np.frombuffer(b"".join(ids), "<u4")
-        if self.used + len(flat) > len(self.pool):
-            self.pool = np.concatenate([self.pool[: self.used], np.empty(max(len(flat), self.used), "<u4")])
-        place = self.used + np.cumsum(size) - size
-        self.pool[self.used : self.used + len(flat)] = flat
-        self.used += len(flat)
-        return place, size
+        self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(ids), "<u4")])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(list(map(len, ids))) // 4])
 
     def ids(self, segments: list[bytes]) -> list[np.ndarray]:
         """The ids of each segment, without an end."""
-        buf = b" ".join([*segments, b" " * 16])
-        raw = np.frombuffer(buf, np.uint8)
-        inside = ~((raw == 32) | (raw - np.uint8(9) <= 4))
-        edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
-        edge = np.concatenate([[0], edge]) if len(inside) and inside[0] else edge
-        start, stop = edge[::2], edge[1::2]
-        size = stop - start
-        eight = np.ndarray((len(raw) - 7,), "<u8", buf, 0, (1,))
-        ones = np.array([0] + [(1 << 8 * i) - 1 for i in range(1, 9)], U64)
-        a, b = eight[start] & ones[np.minimum(size, 8)], eight[start + np.minimum(size, 8)] & ones[np.clip(size - 8, 0, 8)]
-        slow = size > 16
-        if (raw == 0).any():
-            slow |= np.add.reduceat(raw == 0, start)[: len(start)] > 0 if len(start) else slow
-        if len(self.long) > self.LIMIT // 4:
-            self.forget()
-        place, count = np.empty(len(start), np.int64), np.empty(len(start), np.int64)
-        fast = np.flatnonzero(~slow)
-        a, b = a[fast], b[fast]
-        slot = self._find(a, b)
-        new = np.flatnonzero(slot < 0)
-        if self.held + len(new) > self.LIMIT and self.held:
-            self.forget()
-            slot, new = np.full(len(a), -1, np.int64), np.arange(len(a))
-        if len(new):
-            order = new[np.lexsort((b[new], a[new]))]
-            once = np.ones(len(order), bool)
-            once[1:] = (a[order[1:]] != a[order[:-1]]) | (b[order[1:]] != b[order[:-1]])
-            order = order[once]
-            words = [buf[i:j] for i, j in zip(start[fast[order]].tolist(), stop[fast[order]].tolist())]
-            self._put(a[order], b[order], *self._learn(words))
-            slot[new] = self._find(a[new], b[new])
-        place[fast], count[fast] = self.place[slot], self.size[slot]
-        at = np.flatnonzero(slow)
-        words = [buf[i:j] for i, j in zip(start[at].tolist(), stop[at].tolist())]
-        fresh = list(set(words).difference(self.long))
-        self.long.update(zip(fresh, zip(*(x.tolist() for x in self._learn(fresh)))) if fresh else ())
-        if words:
-            place[at], count[at] = np.array([self.long[w] for w in words], np.int64).T
-        ends = np.cumsum(count)
-        flat = self.pool[np.repeat(place - ends + count, count) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        bounds = np.cumsum([len(s) + 1 for s in segments])
-        cuts = np.concatenate([[0], ends])[np.searchsorted(start, bounds)].tolist()
-        return [flat[i:j] for i, j in zip([0, *cuts], cuts)]
+        number, of = self.table.numbers(segments, self.learn, self.forget)
+        place = self.ends[number]
+        count = self.ends[number + 1] - place
+        ends = np.concatenate([[0], np.cumsum(count)])
+        flat = self.pool[np.repeat(place - ends[:-1], count) + np.arange(ends[-1])]
+        cuts = ends[of].tolist()
+        return [flat[i:j] for i, j in zip(cuts, cuts[1:])]
 
     def tokenise(self, texts: list[bytes | None]) -> list[bytes]:
         """The ids of each text and the end, as little-endian unsigned 32-bit integers; texts are read in segments that end at white space."""

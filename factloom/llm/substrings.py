@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import U64, byte_slices, durable, hash_words, mix, roll, roll_at, small, utf8
+from factloom.llm.common import U64, byte_slices, durable, hash_texts, mix, roll, roll_at, small, utf8
 
 GRAM = 5
 #: Text that a kernel looks at together (one document at least).
@@ -36,7 +36,7 @@ SLICE_BYTES = 4 << 20
 
 def _anchors_of(texts: list[bytes | None], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all words, and of all phrases of the texts: index of the text, first word there and in all, anchor (48 bits)."""
-    flat, ends = hash_words([(t or b"").split() for t in texts])
+    flat, ends = hash_texts(texts)
     size = np.maximum(np.diff(ends) - width + 1, 0)
     text = np.repeat(np.arange(len(texts)), size)
     pos = np.arange(len(text)) - np.repeat(np.cumsum(size) - size, size)

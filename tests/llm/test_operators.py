@@ -515,8 +515,8 @@ def test_word_merges_are_the_tokenizers():
     assert merges.encode(tokens) == want and merges.encode([]) == []
     by = dict(zip(tokens, want))
     vocabulary = packing.Vocabulary(path, 1)
-    for limit, chunk in ((1 << 20, 4 << 20), (300, 90)):  # the table starts anew again and again, and texts come in segments
-        vocabulary.LIMIT, vocabulary.CHUNK = limit, chunk
+    for limit, chunk in ((1 << 19, 4 << 20), (300, 90)):  # the table starts anew again and again, and texts come in segments
+        vocabulary.table.limit, vocabulary.CHUNK = limit, chunk
         texts = [rng.choice((b" ", b"\n", b"")) + rng.choice((b" ", b"\t\r", b"\x0b\x0c")).join(rng.choices(tokens, k=rng.randrange(80))) for _ in range(60)]
         texts += [None, b"", b" ", b"a\0b a\0 \0 a", b"\0", b"x" * 16, b"x" * 17 + b" " + b"x" * 16, b" ".join(tokens[:40])]
         by |= {w: np.array(merges.whole.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes() for t in texts for w in (t or b"").split() if w not in by}
@@ -524,6 +524,25 @@ def test_word_merges_are_the_tokenizers():
     assert vocabulary.tokenise([]) == []
 
 
+def test_words_in_a_buffer():
+    """Bounds, numbers and hashes of words against bytes.split: equal words, and only they, have equal hashes and numbers."""
+    rng = random.Random(20)
+    pieces = [b"a", b"ab", b"\0", b"a\0", b"x" * 8, b"x" * 9, b"x" * 16, b"x" * 17, b"y" * 256, b"y" * 257, "é\u00a0\u2003".encode(), b"\x1c", b"\x85"] + [bytes(rng.choices(b"abc\xff", k=rng.randrange(1, 40))) for _ in range(300)]
+    texts = [None, b"", b"  ", *(rng.choice((b"", b" ")) + b"".join(rng.choice(pieces) + rng.choice((b" ", b"\n\t", b"\r\x0b\x0c")) for _ in range(rng.randrange(60))) for _ in range(80)), b"end"]
+    split = [(t or b"").split() for t in texts]
+    flat = [w for ws in split for w in ws]
+    h, ends = common.hash_texts(texts)
+    assert ends.tolist() == [0, *itertools.accumulate(map(len, split))] and len(h) == len(flat)
+    assert len(set(zip(h.tolist(), flat))) == len(set(flat)) == len(set(h.tolist()))
+    assert common.hash_texts([])[1].tolist() == [0] and common.hash_texts([None, b" "])[1].tolist() == [0, 0, 0]
+    table, known = common.WordTable(), []
+    for limit in (1 << 19, 90):
+        table.limit = limit
+        for at in range(0, len(texts), 7):
+            number, ends = table.numbers(texts[at : at + 7], known.extend, known.clear)
+            assert [known[n] for n in number] == [w for ws in split[at : at + 7] for w in ws] and len(set(known)) == len(known)
+
+
 def test_first_fit_decreasing():
     rng = random.Random(4)
     tree, plain = packing.Tournament(40, 50), [50] * 40
