@@ -6,6 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Tokens of one request: (warning, critical).
+REQUEST_LIMITS = (6000, 8000)
+#: ratio -> (warning, critical, whether high values are the bad ones)
+QUALITY_LIMITS = {"precision": (0.8, 0.7, False), "recall": (0.7, 0.6, False), "fpr": (0.2, 0.3, True)}
+
+
 def _by_word(scores: dict[float, str]) -> dict[str, float]:
     return {w: s for s, words in scores.items() for w in words.split()}
 
@@ -52,6 +58,16 @@ def alert(value: Column, warning: Column, critical: Column) -> Column:
     return F.when(value >= critical, "critical").when(value >= warning, "warning")
 
 
+def quality_alerts(**values: Column) -> Column:
+    """Array of (metric, level) for ratios named as in QUALITY_LIMITS; limits are inclusive, null ratios raise none."""
+    found = []
+    for k, v in values.items():
+        warning, critical, high = QUALITY_LIMITS[k]
+        level = alert(v, F.lit(warning), F.lit(critical)) if high else F.when(v <= critical, "critical").when(v <= warning, "warning")
+        found.append(F.when(level.isNotNull(), F.struct(F.lit(k).alias("metric"), level.alias("level"))))
+    return F.array_compact(F.array(*found))
+
+
 def sql_sensitivity(name: str, table: dict[str, float]) -> str:
     return "greatest(0.3, " + ", ".join(f"CASE WHEN contains(lower({name}), '{k}') THEN {v} ELSE 0.3 END" for k, v in table.items()) + ")"
 

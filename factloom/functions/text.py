@@ -1,11 +1,15 @@
-"""Text functions as expressions of built-in functions; none runs Python per row."""
+"""Text functions as expressions of built-in functions; none runs Python per row (entropy counts characters of whole Arrow batches)."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import arrow_udf
+from pyspark.sql.types import DoubleType
 
 SQL_WORDS = "alter create delete drop from insert join select set table union update values where".split()
 CHAINED_WORDS = "cat cd cp grep ls mkdir mv pwd rm rmdir".split()
@@ -43,10 +47,15 @@ def hits(text: Column, patterns: Sequence[str]) -> Column:
     return sum((text.rlike(p).cast("int") for p in patterns), F.lit(0))
 
 
+def distinct_words(text: Column, words: Sequence[str]) -> Column:
+    """How many of the words stand in the text, in any case: one pass for all of them."""
+    found = F.regexp_extract_all(text, F.lit(rf"(?i)\b({'|'.join(words)})\b"), F.lit(1))
+    return F.size(F.array_distinct(F.transform(found, F.lower)))
+
+
 def embedded_scores(text: Column, back_references: bool = True) -> dict[str, Column]:
     """Score of each language; 0 where nothing speaks for it. YAML is left to ``embedded_yaml`` in operators.code_text."""
-    word = lambda w: rf"(?i)\b{w}\b"
-    sql_n, shell_n = hits(text, [word(w) for w in SQL_WORDS]), hits(text, [word(w) for w in SHELL_WORDS])
+    sql_n, shell_n = distinct_words(text, SQL_WORDS), distinct_words(text, SHELL_WORDS)
     features = hits(text, REGEX_FEATURES)
     prose = F.lower(F.regexp_extract(text, r"(\S+)", 1)).isin(*PROSE_STARTS)
     html = PATTERNS["html"] + ([(HTML_PAIR, 0.95)] if back_references else [])
@@ -73,14 +82,21 @@ def embedded_language(scores: dict[str, Column], text: Column) -> tuple[Column,
     return F.when(found, name), F.when(found, top).otherwise(0.0)
 
 
+@arrow_udf(DoubleType())
+def _bits(column: pa.Array) -> pa.Array:
+    """Entropy of each text, by one count of (text, character) pairs."""
+    texts = column.fill_null("").to_pylist()
+    code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    size = np.array(list(map(len, texts)), np.int64)
+    pair, k = np.unique(np.repeat(np.arange(len(texts)), size) << 21 | code, return_counts=True)
+    of = pair >> 21
+    share = k / size[of]
+    return pa.array(np.bincount(of, -share * np.log2(share), len(texts)), pa.float64())
+
+
 def entropy(text: Column, most: int = 2000) -> Column:
-    """Shannon entropy in bits of the first characters."""
-    head = F.substring(text, 1, most)
-    chars = F.array_sort(F.split(head, ""))
-    n = F.length(head).cast("double")
-    counts = F.transform(F.array_distinct(chars), lambda c: n - F.length(F.replace(head, c, F.lit(""))))
-    bits = F.aggregate(counts, F.lit(0.0), lambda a, k: a - k / n * F.log2(k / n))
-    return F.when(n > 0, bits).otherwise(0.0)
+    """Shannon entropy in bits of the first characters; 0 for null and empty texts."""
+    return _bits(F.substring(text, 1, most))
 
 
 def obfuscation_reasons(text: Column) -> Column:

@@ -20,7 +20,7 @@ KEPT = frozenset(dir(builtins)) | set("_ None False True args cls kwargs self".s
 ANNOTATIONS = {w: w.upper() for w in "bool dict float int list set str tuple".split()}
 
 
-def _each(f: Callable[[str], str | None]) -> Callable[[Column], Column]:
+def per_text(f: Callable[[str], str | None]) -> Callable[[Column], Column]:
     """A string function of one argument over Arrow batches; null stays null."""
 
     @arrow_udf(StringType())
@@ -44,12 +44,13 @@ def without_comments(source: str) -> str:
 
 
 def without_docstrings(source: str) -> str | None:
+    """The source without docstrings, as Python writes it; null if it can't be parsed or nests too deep."""
     try:
         tree = ast.parse(source)
-    except (SyntaxError, ValueError):
+        drop_docstrings(tree)
+        return ast.unparse(tree)
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
         return None
-    drop_docstrings(tree)
-    return ast.unparse(tree)
 
 
 class Masker(ast.NodeTransformer):
@@ -118,13 +119,12 @@ class Masker(ast.NodeTransformer):
 
 
 def mask(source: str, sensitive: Iterable[str] = ()) -> tuple[str, dict[str, str]] | None:
-    """The masked source and masked -> original names; null if it can't be parsed."""
+    """The masked source and masked -> original names; null if it can't be parsed or nests too deep."""
+    m = Masker(sensitive)
     try:
-        tree = ast.parse(source)
-    except (SyntaxError, ValueError):
+        return ast.unparse(ast.fix_missing_locations(m.visit(ast.parse(source)))), {v: k for k, v in m.names.items()}
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
         return None
-    m = Masker(sensitive)
-    return ast.unparse(ast.fix_missing_locations(m.visit(tree))), {v: k for k, v in m.names.items()}
 
 
 def masked(files: DataFrame, sensitive: str | None = None) -> DataFrame:
@@ -140,7 +140,7 @@ def masked(files: DataFrame, sensitive: str | None = None) -> DataFrame:
     return files.select("file_path", "source", words.alias("sensitive")).mapInArrow(kernel, "file_path string, masked string, mapping map<string,string>")
 
 
-strip_comments, strip_docstrings = _each(without_comments), _each(without_docstrings)
+strip_comments, strip_docstrings = per_text(without_comments), per_text(without_docstrings)
 
 
 def _yaml_kind(text: str) -> str | None:
@@ -148,12 +148,12 @@ def _yaml_kind(text: str) -> str | None:
 
     try:
         found = yaml.safe_load(text)
-    except yaml.YAMLError:
+    except (yaml.YAMLError, ValueError, RecursionError):  # a date that is none, or brackets too deep
         return "broken"
     return "dict" if isinstance(found, dict) else "list" if isinstance(found, list) else "scalar"
 
 
-yaml_kind = _each(_yaml_kind)
+yaml_kind = per_text(_yaml_kind)
 
 
 def embedded_yaml(text: Column) -> Column:

@@ -2,21 +2,30 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MOST_CANDIDATES = 5
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share; a local session without one gets its own, a cluster must name one."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+        sc.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="factloom-"))
+    return sc.getCheckpointDir().rstrip("/")
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint where a shared folder is named, else the plan as it is."""
-    sc = df.sparkSession.sparkContext
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if sc.getCheckpointDir() is None and folder:
-        sc.setCheckpointDir(folder)
-    return df.checkpoint() if sc.getCheckpointDir() else df
+    """Cuts the lineage with a reliable checkpoint in the shared folder."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
 
 
 def call_edges(calls: DataFrame, methods: DataFrame, key: str = "file_path") -> DataFrame:
@@ -52,7 +61,7 @@ def reach(start: DataFrame, edges: DataFrame, key: list[str], rounds: int = 100,
         last = durable(found.join(known, [*key, "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if last.isEmpty():
             return known
-        known = durable(known.unionByName(last))
+        known = known.unionByName(last)  # a union of checkpoints: nothing is written twice
     raise RuntimeError(f"a path is longer than {rounds} steps")
 
 
@@ -83,7 +92,7 @@ def summaries(calls: DataFrame, facts: DataFrame, rounds: int = 100) -> DataFram
         last = durable(found.join(known, ["node", "effect"], "left_anti"))
         if last.isEmpty():
             return known.groupBy("node").agg(F.array_sort(F.collect_set("effect")).alias("effects"))
-        known = durable(known.unionByName(last))
+        known = known.unionByName(last)
     raise RuntimeError(f"a chain of calls is longer than {rounds} steps")
 
 

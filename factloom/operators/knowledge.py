@@ -65,13 +65,16 @@ def satisfies(version: Column, specifiers: Column) -> Column:
 
 
 def requirement(line: Column) -> dict[str, Column]:
-    """name, extras and specifier of a line of a requirements file; null name for comments and options."""
+    """name, extras and specifier of a line of a requirements file; null name for comments, options and git addresses without an egg."""
     bare = F.trim(F.regexp_replace(line, r"\s+#.*\z|\A#.*\z", ""))
-    name = F.regexp_extract(bare, r"\A([A-Za-z0-9][A-Za-z0-9._\-]*)", 1)
+    git = F.startswith(bare, F.lit("git+"))
+    egg = F.regexp_extract(bare, r"[#&]egg=([A-Za-z0-9_.\-]+)", 1)
+    name = F.when(git, egg).otherwise(F.regexp_extract(bare, r"\A([A-Za-z0-9][A-Za-z0-9._\-]*)", 1))
+    plain = lambda c: F.when(git, "").otherwise(c)
     return {
         "name": F.when(name != "", F.lower(name)),
-        "extras": F.regexp_extract(bare, r"\[([^\]]*)\]", 1),
-        "specifier": F.regexp_replace(F.regexp_extract(bare, r"((?:==|!=|<=|>=|~=|<|>)[^;#]*)", 1), r"\s+", ""),
+        "extras": plain(F.regexp_extract(bare, r"\[([^\]]*)\]", 1)),
+        "specifier": plain(F.regexp_replace(F.regexp_extract(bare, r"((?:==|!=|<=|>=|~=|<|>)[^;#]*)", 1), r"\s+", "")),
     }
 
 

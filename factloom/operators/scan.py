@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from factloom.functions import text as T
 
 #: check_id, severity, CWE, how it matches, and the pattern of the resolved call or of the assigned name.
-#: call: any call; open: with a first argument that isn't a literal; built: with one that is built from parts, there or in an
+#: call: any call; keyword:x: with a keyword of name x; open: with a first argument that isn't a literal; built: with one that is built from parts, there or in an
 #: assignment before; assign: a name that is given a string; debug: with a keyword of that name; setup: in install scripts.
 RULES = [
     ("python.command-injection", "ERROR", "CWE-78", "call", r"^(os\.system|os\.popen|subprocess\.(call|run|Popen|check_output))$"),
@@ -23,13 +23,16 @@ RULES = [
     ("python.supply-chain-code-execution", "ERROR", "CWE-94", "setup", r"^(eval|exec|os\.system|os\.popen|subprocess\.\w+)$"),
     ("python.supply-chain-network-access", "ERROR", "CWE-200", "setup", r"^(requests|urllib|socket|http)\."),
 ]
+#: Names that a typosquat is compared with, one by one.
+MOST_POPULAR = 20_000
 WEAK_KEYS = ("secret", "changeme", "password", "django-insecure", "default")
 
 
 def secrets(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """A row per line and secret type with the matched values; one pass over the lines, patterns as expressions."""
     lines = docs.select(key, F.posexplode(F.split(text, "\n")).alias("i", "line_text"))
-    found = F.array_compact(F.array(*[F.when(F.size(F.regexp_extract_all("line_text", F.lit(p), F.lit(1))) > 0, F.struct(F.lit(n).alias("type"), F.regexp_extract_all("line_text", F.lit(p), F.lit(1)).alias("matches"))) for n, p in T.SECRETS]))
+    each = F.array(*[F.struct(F.lit(n).alias("type"), F.regexp_extract_all("line_text", F.lit(p), F.lit(1)).alias("matches")) for n, p in T.SECRETS])
+    found = F.filter(each, lambda x: F.size(x["matches"]) > 0)
     return lines.select(key, (F.col("i") + 1).alias("line"), F.inline(found))
 
 
@@ -43,8 +46,8 @@ def high_entropy_tokens(docs: DataFrame, key: str, text: str = "text", least: in
     return found.filter((F.col("entropy") > bits) & ~known & F.col("token").rlike("[0-9]") & F.col("token").rlike("[A-Za-z]"))
 
 
-def rule_findings(nodes: DataFrame) -> DataFrame:
-    """Findings of the rule pack over syntax nodes: resolved calls, their first arguments and assignments, by equi joins within a file."""
+def rule_findings(nodes: DataFrame, rules: list[tuple[str, str, str, str, str]] = RULES) -> DataFrame:
+    """Findings of a rule pack (of RULES' form, see ``project.pack_rules``) over syntax nodes: resolved calls, their first arguments and assignments, by equi joins within a file."""
     attrs = F.parse_json("attrs")
     at = lambda path: F.try_variant_get(attrs, path, "string")
     value = nodes.select("file_path", F.col("id").alias("_id"), F.col("kind").alias("_kind"), F.col("name").alias("_name"), F.col("scope_id").alias("_scope"), at("$.value_type").alias("_type"), (at("$.op").isin("Add", "Mod") & (F.col("kind") == "BinOp") | F.contains("attrs", F.lit('"unsupported": true'))).alias("_built"), F.col("seq").alias("_seq"))
@@ -59,9 +62,11 @@ def rule_findings(nodes: DataFrame) -> DataFrame:
         "debug": F.contains("attrs", F.lit('"debug"')),
         "setup": installer,
     }
+    when |= {how: F.contains("attrs", F.lit(f'"{how.removeprefix("keyword:")}"')) for _, _, _, how, _ in rules if how.startswith("keyword:")}
     hit = lambda c, s, w: F.struct(F.lit(c).alias("check_id"), F.lit(s).alias("severity"), F.lit(w).alias("cwe"))
-    found = F.array_compact(F.array(*[F.when(F.col("resolved").rlike(p) & when[how], hit(c, s, w)) for c, s, w, how, p in RULES if how != "assign"]))
-    names = F.array_compact(F.array(*[F.when(F.col("target").rlike(p) & (F.col("_type") == "str"), hit(c, s, w)) for c, s, w, how, p in RULES if how == "assign"]))
+    none = F.lit(None).cast("struct<check_id:string,severity:string,cwe:string>")
+    found = F.array_distinct(F.array_compact(F.array(none, *[F.when(F.col("resolved").rlike(p) & when[how], hit(c, s, w)) for c, s, w, how, p in rules if how != "assign"])))
+    names = F.array_distinct(F.array_compact(F.array(none, *[F.when(F.col("target").rlike(p) & (F.col("_type") == "str"), hit(c, s, w)) for c, s, w, how, p in rules if how == "assign"])))
     place = [F.col("start_line").alias("line"), F.col("start_col").alias("column")]
     out = calls.select("file_path", F.inline(found), *place).unionByName(assigned.select("file_path", F.inline(names), *place))
     return out.select("file_path", "check_id", "severity", "cwe", "line", "column")
@@ -83,7 +88,9 @@ def against_baseline(findings: DataFrame, baseline: DataFrame, key: str = "finge
 
 
 def typosquats(names: DataFrame, popular: DataFrame, name: str = "name", target: str = "popular") -> DataFrame:
-    """Names within two edits of a popular one that they aren't. The popular list is a constant table; lengths are compared first."""
+    """Names within two edits of a popular one that they aren't. The popular list (MOST_POPULAR names at most, more are an error) is sent to all tasks; lengths are compared first."""
+    if popular.limit(MOST_POPULAR + 1).count() > MOST_POPULAR:
+        raise ValueError(f"more than {MOST_POPULAR} popular names")
     far = F.levenshtein(F.lower(name), F.lower(target), 2)
     near = (F.abs(F.length(name) - F.length(target)) <= 2) & far.between(1, 2)
     return names.join(F.broadcast(popular), near).join(F.broadcast(popular.select(F.lower(target).alias("_known"))), F.lower(name) == F.col("_known"), "left_anti").select(name, target, far.alias("distance"))

@@ -48,6 +48,28 @@ def openapi_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
 OPENAPI_SQL = """SELECT n_nationkey AS key, '/' || lower(n_name) || '/{id}' AS path, 'GET' AS method, NULL::VARCHAR AS request, '{"type":"string"}' AS response FROM nation WHERE n_nationkey % 5 <> 4
 UNION ALL SELECT n_nationkey, '/' || lower(n_name) || '/{id}', 'POST', '{"type":"object"}', NULL FROM nation WHERE n_nationkey % 5 <> 4 AND n_nationkey % 2 = 0"""
 
+_YAML = "concat('openapi: 3.0.0', chr(10), 'paths:', chr(10), '  /', lower(r_name), ':', chr(10), '    post:', chr(10), '      requestBody: {content: {application/json: {schema: {$ref: \"#/components/schemas/A\"}}}}', chr(10), 'components: {schemas: {A: {type: array, items: {$ref: \"#/components/schemas/B\"}}, B: {type: string}}}', chr(10))"
+
+
+def openapi_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operations of YAML documents whose schemas are references to references; text that is neither JSON nor YAML gives none."""
+    r = _read(spark, sf_dir, "region").select(F.col("r_regionkey").alias("key"), F.expr(f"CASE WHEN r_regionkey = 3 THEN '{{[' WHEN r_regionkey = 4 THEN 'date: 2020-99-99' ELSE {_YAML} END").alias("content"))
+    return project.openapi(r)
+
+
+REFERENCES_SQL = """SELECT r_regionkey AS key, '/' || lower(r_name) AS path, 'POST' AS method, '{"items":{"type":"string"},"type":"array"}' AS request, NULL::VARCHAR AS response FROM region WHERE r_regionkey < 3"""
+
+
+def git_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requirements of git addresses, with and without a name, beside those of a development file."""
+    lines = "concat('git+https://h/x', s_suppkey, '.git@v1#egg=Pack', s_suppkey, chr(10), 'git+https://h/anonymous.git', chr(10), 'black==23.', s_nationkey, chr(10))"
+    s = _read(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("project"), F.lit("requirements-dev.txt").alias("name"), F.expr(lines).alias("content"))
+    return project.dependencies(s).select("project", "name", "version", "specifier", "origin")
+
+
+GIT_SQL = """SELECT s_suppkey::VARCHAR AS project, 'pack' || s_suppkey AS name, '' AS version, '' AS specifier, 'requirements-dev.txt' AS origin FROM supplier
+UNION ALL SELECT s_suppkey::VARCHAR, 'black', '23.' || s_nationkey, '==23.' || s_nationkey, 'requirements-dev.txt' FROM supplier"""
+
 _ENV = "concat('# env', chr(10), 'export DEBUG=true', chr(10), 'KEY=\"', c_mktsegment, '\"', chr(10), chr(10), 'N = ', c_nationkey, chr(10), 'F(x)=1')"
 
 
@@ -157,8 +179,26 @@ def stubs_and_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 STUB_SQL = """SELECT p_brand, sha256('# ' || p_brand || chr(10) || 'class Run: ...' || chr(10) || 'def run(*args, **kwargs): ...') AS stub, sha256('{"model": "' || p_brand || '", "prompt": "a\\"b"}') AS cache_key, CASE WHEN count(*) % 2 = 0 THEN 'SHELL' END AS kind FROM part GROUP BY p_brand"""
 
 _LONG = (5, 8, 7, 9)  # templates of more than eight lines, the last part of a split counted
-QUERIES = {f.__name__: f for f in (dependency_resolution, openapi_operations, project_settings, labelled_calls, vulnerability_types, snapshot_changes, snapshots_kept, training_corpus, report_rows, graph_reports, staged_pipeline, model_calls, stubs_and_keys)}
+PACK = """
+rules:
+- {id: pack.os, severity: ERROR, message: m, metadata: {cwe: [CWE-78]}, pattern-either: [{pattern: os.system(...)}, {pattern: "subprocess.call(..., shell=True)"}]}
+- {id: pack.eval, severity: WARNING, message: m, metadata: {cwe: CWE-94}, patterns: [{pattern: eval(...)}, {pattern-not: eval("1")}]}
+- {id: pack.open, severity: ERROR, message: m, pattern: open($X)}
+- {id: pack.debug, severity: INFO, message: m, pattern: "$APP.run(..., debug=True)"}
+- {id: pack.class, severity: INFO, message: m, pattern: "class $C: ..."}
+"""
+
+
+def pack_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of a YAML rule pack over the corpus; a pattern that isn't of a call is left out and named by ``pack_rules``."""
+    f = scan.rule_findings(code.table(shared(spark, sf_dir, "nodes"), "nodes"), project.pack_rules(PACK)[0])
+    return f.withColumn("template", template_of()).groupBy("template", "check_id", "severity", "cwe", "line").agg(F.count("*").alias("files"))
+
+
+PACKED = [(0, "pack.eval", "WARNING", "CWE-94", 3), (1, "pack.os", "ERROR", "CWE-78", 4), (3, "pack.open", "ERROR", None, 4), (7, "pack.os", "ERROR", "CWE-78", 4), (7, "pack.eval", "WARNING", "CWE-94", 6), (8, "pack.open", "ERROR", None, 8), (9, "pack.debug", "INFO", None, 11)]
+QUERIES = {f.__name__: f for f in (openapi_references, git_requirements, pack_findings, dependency_resolution, openapi_operations, project_settings, labelled_calls, vulnerability_types, snapshot_changes, snapshots_kept, training_corpus, report_rows, graph_reports, staged_pipeline, model_calls, stubs_and_keys)}
 ORACLE_SQL = {
+    "openapi_references": REFERENCES_SQL, "git_requirements": GIT_SQL, "pack_findings": per_template("template, check_id, severity, cwe, line", PACKED),
     "dependency_resolution": DEPENDENCY_SQL, "openapi_operations": OPENAPI_SQL, "project_settings": SETTINGS_SQL, "labelled_calls": per_template("template, resolved, label", LABELLED), "vulnerability_types": TYPES_SQL, "snapshot_changes": SNAPSHOT_SQL, "snapshots_kept": KEPT_SQL,
     "training_corpus": TRAINING_SQL, "report_rows": per_template("template, rule, level, line", REPORT), "graph_reports": per_template("template, seq, nodes, edges", GRAPHS),
     "staged_pipeline": per_template("template, stopped, seen", [(t, t in _LONG, None if t in _LONG else 2) for t in range(K)]), "model_calls": CALLS_SQL, "stubs_and_keys": STUB_SQL,

@@ -165,10 +165,19 @@ def eval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.groupBy("lang").agg(*[c.alias(k) for k, c in knowledge.confusion(F.col("n") > 900, F.col("quality") == 1).items()])
 
 
+def quality_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts of the ratios by language: precision and recall too low, false positives too many."""
+    m = eval_metrics(spark, sf_dir)
+    return m.select("lang", F.inline(risk.quality_alerts(precision=F.col("precision"), recall=F.col("recall"), fpr=F.col("fpr"))))
+
+
 _R = lambda a, b: f"round(coalesce(({a})::DOUBLE / nullif({b}, 0), 0), 4)"
 EVAL_SQL = f"""WITH c AS (SELECT lang, count(*) FILTER (p AND a) AS tp, count(*) FILTER (p AND NOT a) AS fp, count(*) FILTER (NOT p AND a) AS fn, count(*) FILTER (NOT p AND NOT a) AS tn FROM (SELECT lang, length(text) > 900 AS p, quality = 1 AS a FROM labels JOIN documents USING (doc_id)) GROUP BY 1)
 SELECT lang, {_R("tp", "tp + fp")} AS precision, {_R("tp", "tp + fn")} AS recall, {_R("2 * tp", "2 * tp + fp + fn")} AS f1, {_R("fp", "fp + tn")} AS fpr, {_R("fn", "fn + tp")} AS fnr, {_R("tp + tn", "tp + fp + fn + tn")} AS accuracy FROM c"""
 
+QUALITY_SQL = f"""WITH m AS ({EVAL_SQL}), a AS (SELECT lang, 'precision' AS metric, CASE WHEN precision <= 0.7 THEN 'critical' WHEN precision <= 0.8 THEN 'warning' END AS level FROM m
+UNION ALL SELECT lang, 'recall', CASE WHEN recall <= 0.6 THEN 'critical' WHEN recall <= 0.7 THEN 'warning' END FROM m UNION ALL SELECT lang, 'fpr', CASE WHEN fpr >= 0.3 THEN 'critical' WHEN fpr >= 0.2 THEN 'warning' END FROM m) SELECT * FROM a WHERE level IS NOT NULL"""
+
 # state
 
 
@@ -184,6 +193,18 @@ UNION ALL SELECT e.user_id, e.ts, e.event_id, e.tokens, e.i, b.spent + e.tokens
 SELECT user_id, ts, event_id, tokens, admitted, spent_before FROM b"""
 
 
+def budget_corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Budgets with a price cap, corrected by what admitted requests spent in the end (null: as estimated)."""
+    e = _read(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.round(F.col("value") * 10).cast("long").alias("tokens"), F.expr("CASE WHEN event_id % 3 > 0 THEN event_id % 250 END").alias("actual"))
+    return machines.budget_admission(e, "user_id", ["ts", "event_id"], "tokens", 3000, "actual", 0.5, 1.0)
+
+
+CORRECTED_SQL = """WITH RECURSIVE e AS (SELECT user_id, ts, event_id, round(value * 10)::BIGINT AS tokens, CASE WHEN event_id % 3 > 0 THEN event_id % 250 END AS actual, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+b AS (SELECT user_id, ts, event_id, tokens, actual, i, tokens <= 2000 AS admitted, 0::BIGINT AS spent_before, CASE WHEN tokens <= 2000 THEN coalesce(actual, tokens) ELSE 0 END AS spent FROM e WHERE i = 1
+UNION ALL SELECT e.user_id, e.ts, e.event_id, e.tokens, e.actual, e.i, b.spent + e.tokens <= 2000, b.spent, CASE WHEN b.spent + e.tokens <= 2000 THEN b.spent + coalesce(e.actual, e.tokens) ELSE b.spent END FROM b JOIN e ON e.user_id = b.user_id AND e.i = b.i + 1)
+SELECT user_id, ts, event_id, tokens, actual, admitted, spent_before FROM b"""
+
+
 def rate_limit_cooldown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests within an hour after a user's last refund (as a rate-limit answer)."""
     e = _read(spark, sf_dir, "events").select("user_id", "event_id", "ts", "event_type")
@@ -455,6 +476,7 @@ TOPK_SQL = """WITH m AS (SELECT *, row_number() OVER (PARTITION BY method ORDER
 SELECT DISTINCT caller, coalesce('S' || s || '.' || method, '?.' || name) AS callee, CASE WHEN s IS NULL THEN 'direct' ELSE 'speculative' END AS type FROM c LEFT JOIN m ON method = name AND n <= 5"""
 
 _NAMED = {
+    budget_corrected: CORRECTED_SQL, quality_alerts: QUALITY_SQL,
     risk_scores: RISK_SQL, feedback_override: FEEDBACK_SQL, baseline_counts: BASELINE_SQL, baseline_new: BASELINE_NEW_SQL, typosquat_candidates: TYPO_SQL, config_issues: CONFIG_SQL, framework_detect: FRAMEWORK_SQL, latency_summary: LATENCY_SQL, threshold_alerts: ALERT_SQL,
     token_usage: TOKEN_SQL, eval_metrics: EVAL_SQL, budget_admission: BUDGET_SQL, rate_limit_cooldown: COOLDOWN_SQL, circuit_breaker: BREAKER_SQL, ttl_cache: TTL_SQL, stream_event_windows: STREAM_SQL, upsert_last_wins: UPSERT_SQL, latest_decisions: LATEST_SQL,
     decision_cache_lookup: DECISION_SQL, profile_match: PROFILE_SQL, latest_version: LATEST_VERSION_SQL, specifier_match: SPECIFIER_SQL, graph_merge_dedupe: MERGE_SQL, manifest_freshness: MANIFEST_SQL, split_by_file: SPLIT_SQL, few_shot_latest: FEW_SHOT_SQL,

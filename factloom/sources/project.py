@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import subprocess
 import tomllib
 from collections.abc import Iterable, Iterator
@@ -12,9 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.operators import knowledge
+from factloom.operators.code_text import per_text
 
 #: Lock files beat requirement files, which beat project files.
-PRECEDENCE = {"poetry.lock": 0, "Pipfile.lock": 1, "requirements.txt": 2, "pyproject.toml": 3}
+PRECEDENCE = {"poetry.lock": 0, "pdm.lock": 1, "Pipfile.lock": 2, "requirements.txt": 3, "requirements-dev.txt": 4, "pyproject.toml": 5}
 DEPENDENCY = "origin string, name string, version string, specifier string, extras string"
 
 
@@ -23,17 +25,19 @@ def _from_toml(origin: str, text: str) -> Iterator[dict]:
         data = tomllib.loads(text)
     except tomllib.TOMLDecodeError:
         return
-    if origin == "poetry.lock":
-        for p in data.get("package", []):
-            yield {"name": p.get("name"), "version": p.get("version")}
+    at = lambda x, *path: at(x.get(path[0]), *path[1:]) if path and isinstance(x, dict) else None if path else x
+    texts = lambda x: [y for y in x if isinstance(y, str)] if isinstance(x, list) else []
+    if origin.endswith(".lock"):
+        packages = data.get("package", [])
+        for p in packages if isinstance(packages, list) else []:
+            if isinstance(at(p, "name"), str):
+                yield {"name": p["name"], "version": p["version"] if isinstance(p.get("version"), str) else None}
         return
-    for line in data.get("project", {}).get("dependencies", []):
-        yield {"line": line}
-    poetry = data.get("tool", {}).get("poetry", {})
-    for name, spec in poetry.get("dependencies", {}).items():
+    yield from ({"line": line} for line in texts(at(data, "project", "dependencies")))
+    for name, spec in (at(data, "tool", "poetry", "dependencies") or {}).items() if isinstance(at(data, "tool", "poetry", "dependencies"), dict) else ():
         if name.lower() != "python":
-            text = spec if isinstance(spec, str) else spec.get("version", "") if isinstance(spec, dict) else ""
-            yield {"name": name, "specifier": text, "extras": ",".join(spec.get("extras", [])) if isinstance(spec, dict) else ""}
+            text = spec if isinstance(spec, str) else at(spec, "version") or ""
+            yield {"name": name, "specifier": text if isinstance(text, str) else "", "extras": ",".join(texts(at(spec, "extras")))}
 
 
 def caret(spec: Column) -> Column:
@@ -59,8 +63,8 @@ def dependencies(files: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     f = files.select("project", F.col("name").alias("origin"), F.col("content").alias("text"))
-    toml = f.filter("origin IN ('poetry.lock', 'pyproject.toml')").mapInArrow(kernel, "project string, origin string, line string, name string, version string, specifier string, extras string")
-    lines = f.filter("origin = 'requirements.txt'").select("project", "origin", F.explode(F.split("text", "\n")).alias("line")).unionByName(toml.filter("line IS NOT NULL").select("project", "origin", "line"))
+    toml = f.filter("origin IN ('poetry.lock', 'pdm.lock', 'pyproject.toml')").mapInArrow(kernel, "project string, origin string, line string, name string, version string, specifier string, extras string")
+    lines = f.filter("origin IN ('requirements.txt', 'requirements-dev.txt')").select("project", "origin", F.explode(F.split("text", "\n")).alias("line")).unionByName(toml.filter("line IS NOT NULL").select("project", "origin", "line"))
     r = knowledge.requirement(F.col("line"))
     plain = lines.select("project", "origin", r["name"].alias("name"), F.regexp_extract(r["specifier"], r"\A==([\w.]+)\z", 1).alias("version"), r["specifier"].alias("specifier"), r["extras"].alias("extras")).filter("name IS NOT NULL")
     named = toml.filter("line IS NULL").select("project", "origin", F.lower("name").alias("name"), F.coalesce("version", F.lit("")).alias("version"), caret(F.coalesce("specifier", F.lit(""))).alias("specifier"), F.coalesce("extras", F.lit("")).alias("extras"))
@@ -71,21 +75,27 @@ def dependencies(files: DataFrame) -> DataFrame:
 
 
 def settings(files: DataFrame) -> DataFrame:
-    """project, key, value, origin of .env lines and of literal assignments in settings.py; comments and blank lines are skipped."""
+    """project, key, value, origin of .env lines, of literal assignments in settings.py, and of ENV and ARG in a Dockerfile.
+
+    Comments and blank lines are skipped."""
+    docker = F.col("name") == "Dockerfile"
+    files = files.withColumn("content", F.when(docker, F.array_join(F.regexp_extract_all("content", F.lit(r"(?im)^\s*(?:ENV|ARG)\s+([A-Za-z_]\w*[= ].*)$"), F.lit(1)), "\n")).otherwise(F.col("content")))
+    files = files.withColumn("content", F.when(docker, F.regexp_replace("content", r"(?m)^(\w+) ", "$1=")).otherwise(F.col("content")))
     lines = files.select("project", F.col("name").alias("origin"), F.explode(F.split("content", "\n")).alias("line")).filter(~F.col("line").rlike(r"^\s*(#|$)") & F.contains("line", F.lit("=")))
     parts = F.split(F.regexp_replace("line", r"^\s*export\s+", ""), "=", 2)
     value = F.regexp_replace(F.trim(parts[1]), r"""^(['"])(.*)\1$""", "$2")
     found = lines.select("project", F.trim(parts[0]).alias("key"), value.alias("value"), "origin")
     literal = F.col("value").rlike(r"""^(True|False|None|-?\d+(\.\d+)?|\[.*\]|\(.*\)|\{.*\}|[^()]*)$""")
-    return found.filter(F.col("key").rlike(r"^[A-Za-z_]\w*$") & (F.col("origin").startswith(".env") | literal))
+    return found.filter(F.col("key").rlike(r"^[A-Za-z_]\w*$") & (F.col("origin").startswith(".env") | (F.col("origin") == "Dockerfile") | literal))
 
 
 def openapi(specs: DataFrame) -> DataFrame:
     """key, path, method, request and response (JSON schemas of the JSON content) of documents that say what they are.
 
-    specs: key, content (JSON). Documents without ``openapi`` or ``swagger`` give none."""
-    v = specs.select("key", F.try_parse_json("content").alias("v")).filter(F.try_variant_get("v", "$.openapi", "string").isNotNull() | F.try_variant_get("v", "$.swagger", "string").isNotNull())
-    paths = v.select("key", F.explode(F.variant_get("v", "$.paths", "map<string,variant>")).alias("path", "ops"))
+    specs: key, content (JSON, else YAML). References within a schema are put in place. Documents that can't be read, or
+    without ``openapi`` or ``swagger``, give none."""
+    v = specs.select("key", F.try_parse_json(resolved_spec(F.col("content"))).alias("v")).filter(F.try_variant_get("v", "$.openapi", "string").isNotNull() | F.try_variant_get("v", "$.swagger", "string").isNotNull())
+    paths = v.select("key", F.explode(F.try_variant_get("v", "$.paths", "map<string,variant>")).alias("path", "ops"))
     ops = paths.select("key", "path", F.explode(F.expr("try_variant_get(ops, '$', 'map<string,variant>')")).alias("method", "op")).filter(F.col("method").isin("get", "put", "post", "delete", "options", "head", "patch"))
     schema = lambda at: F.to_json(F.try_variant_get("op", at, "variant"))
     return ops.select("key", "path", F.upper("method").alias("method"), schema("$.requestBody.content['application/json'].schema").alias("request"), schema("$.responses['200'].content['application/json'].schema").alias("response"))
@@ -106,6 +116,31 @@ def references(spec: dict, schema: dict, seen: tuple[str, ...] = ()) -> dict:
     return {k: references(spec, v, seen) for k, v in schema.items()}
 
 
+def _spec(text: str) -> str | None:
+    """A document as JSON, its requests and responses without references."""
+    import yaml
+
+    try:
+        spec = json.loads(text)
+    except (ValueError, RecursionError):
+        try:
+            spec = yaml.safe_load(text)
+        except (yaml.YAMLError, ValueError, RecursionError):
+            return None
+    if not isinstance(spec, dict) or not isinstance(spec.get("paths"), dict):
+        return None
+    try:
+        for ops in spec["paths"].values():
+            for op in ops.values() if isinstance(ops, dict) else ():
+                for part in ("requestBody", "responses") if isinstance(op, dict) else ():
+                    if part in op:
+                        op[part] = references(spec, op[part])
+        return json.dumps(spec, default=str)
+    except (ValueError, TypeError, RecursionError):
+        return None
+
+
+resolved_spec = per_text(_spec)
 PROFILE = "name string, version string, functions array<struct<name:string,label:string,parameters:array<struct<name:string,label:string>>>>"
 STANDARD = {
     "os": [("system", "sink"), ("popen", "sink"), ("getenv", "source"), ("remove", "sink"), ("listdir", "none")],
@@ -182,6 +217,60 @@ def read_rules(text: str) -> list[dict]:
     return out
 
 
+_CALL = re.compile(r"(\$[A-Z_]+\.)?([A-Za-z_][\w.]*)\((.*)\)")
+_BUILT = re.compile(r"""(f["'].*["']|["'].*["']\s*[%+]\s*\$[A-Z_]+|["'].*["']\.format\(.*\))(\s*,.*)?""")
+
+
+def _patterns(node) -> Iterator[str]:
+    """Every pattern of a rule that counts for it; negated ones don't."""
+    for item in node if isinstance(node, list) else [node]:
+        for k, v in item.items() if isinstance(item, dict) else ():
+            if k == "pattern" and isinstance(v, str):
+                yield v.strip()
+            elif k in ("patterns", "pattern-either"):
+                yield from _patterns(v)
+
+
+def pack_rules(text: str) -> tuple[list[tuple[str, str, str | None, str, str]], list[tuple[str, str]]]:
+    """Rules of a YAML pack in the form that ``scan.rule_findings`` runs, and (rule, pattern) of what it can't express.
+
+    Call patterns are understood: ``a.b(...)``, ``$X.b(...)``, a keyword (``..., shell=True``: the name counts), one metavariable
+    as the argument (no literal), and an argument that is built from text there or in an assignment before."""
+    import yaml
+
+    out, left = [], []
+    for r, plain in zip((yaml.safe_load(text) or {}).get("rules", []), read_rules(text)):
+        for pattern in _patterns(r):
+            lines = [x.strip() for x in pattern.split("\n") if x.strip() not in ("", "...")]
+            call = _CALL.fullmatch(lines[-1]) if lines else None
+            first = lines[0].split("=", 1) if len(lines) == 2 and re.match(r"\$[A-Z_]+\s*=[^=]", lines[0]) else None
+            args = call[3].strip() if call else ""
+            keyword = re.fullmatch(r"(?:\.\.\.\s*,\s*)?([A-Za-z_]\w*)\s*=\s*\S+(?:\s*,\s*\.\.\.)?", args)
+            if len(lines) == 1 and args in ("", "..."):
+                how = "call"
+            elif len(lines) == 1 and keyword:
+                how = f"keyword:{keyword[1]}"
+            elif len(lines) == 1 and _BUILT.fullmatch(args) or first and _BUILT.fullmatch(first[1].strip()) and args.split(",")[0].strip() == first[0].strip():
+                how = "built"
+            elif len(lines) == 1 and re.fullmatch(r"\$[A-Z_]+(\s*,\s*\.\.\.)?", args):
+                how = "open"
+            else:
+                how = None
+            if how is None or call is None:
+                left.append((plain["check_id"], pattern))
+                continue
+            name = re.escape(call[2])
+            out.append((plain["check_id"], plain["severity"], plain["cwe"], how, rf"\.{name}$" if call[1] else rf"^{name}$"))
+    return out, left
+
+
+def python_paths(found: DataFrame) -> DataFrame:
+    """project and path of each entry of PYTHONPATH in settings (project, key, value), split at colons or semicolons, in order of i."""
+    value = F.regexp_replace("value", r"[\[\]'\"]", "")
+    parts = F.split(value, F.when(F.contains(value, F.lit(";")), ";").when(F.contains(value, F.lit(",")), ",").otherwise(r":(?!\\)"))
+    return found.filter("key = 'PYTHONPATH'").select("project", F.posexplode(F.transform(parts, lambda x: F.trim(x))).alias("i", "path")).filter("path != ''")
+
+
 def training_corpus(rows: DataFrame, groups: list[tuple[str, str]], text: str = "text", low: int = 100, high: int = 4096) -> DataFrame:
     """Rows of a bounded length with the first group whose pattern fits; others go."""
     kind: Column | None = None

@@ -7,12 +7,15 @@ on a stream the state is kept between batches. Both use the plain step functions
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from factloom.operators.graphs import shared_dir
+
 
 def _micros(at: Column) -> Column:
     """Microseconds of a timestamp with or without a zone (the session's is UTC)."""
@@ -20,34 +23,41 @@ def _micros(at: Column) -> Column:
 
 
 def fold(rows: DataFrame, key: str, order: list[str], start: Callable[[], object], step: Callable, added: str) -> DataFrame:
-    """All rows with the columns that ``step(state, row) -> (state, values)`` gives, each key from its own start, in order.
+    """All rows with the columns that ``step(state, row) -> (state, values)`` gives, each key from its own start, in order; null is a key.
 
     ``added`` names and types these columns. A hot key takes one task, as its machine is sequential, but bounded memory."""
     names = [c.split()[0] for c in added.split(", ")]
-    at = rows.columns.index(key)
+    mark = "_key_of_fold"  # a text: pandas would make a null number unequal to itself
+    text = F.when(F.col(key).isNull(), "null").otherwise(F.concat(F.lit("="), F.col(key).cast("string")))
 
     def kernel(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state, last = None, object()
         for pdf in batches:
             out = []
             for row in pdf.itertuples(index=False):
-                if state is None or row[at] != last:
-                    state, last = start(), row[at]
+                if state is None or row[-1] != last:
+                    state, last = start(), row[-1]
                 state, values = step(state, row)
                 out.append(values)
-            yield pdf.assign(**{n: [v[i] for v in out] for i, n in enumerate(names)})
+            yield pdf.drop(columns=mark).assign(**{n: [v[i] for v in out] for i, n in enumerate(names)})
 
     schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes) + ", " + added
-    return rows.repartition(key).sortWithinPartitions(key, *order).mapInPandas(kernel, schema)
+    return rows.withColumn(mark, text).repartition(mark).sortWithinPartitions(mark, *order).mapInPandas(kernel, schema)
+
 
+def budget_admission(requests: DataFrame, key: str, order: list[str], cost: str, most: int, actual: str | None = None, price: float = 0.0, most_price: float | None = None) -> DataFrame:
+    """Adds admitted and spent_before: a request is admitted if it fits in what is left; a rejected one spends nothing.
 
-def budget_admission(requests: DataFrame, key: str, order: list[str], cost: str, most: int) -> DataFrame:
-    """Adds admitted and spent_before: a request is admitted if it fits in what is left; a rejected one spends nothing."""
-    at = requests.columns.index(cost)
+    ``cost`` is an estimate (null: 0). Where the column ``actual`` isn't null, an admitted request has spent that in the end.
+    With ``most_price``, what 1000 units cost at ``price`` must fit in it too."""
+    at, used = requests.columns.index(cost), None if actual is None else requests.columns.index(actual)
+    whole = lambda x: 0 if pd.isna(x) else int(x)
 
     def step(spent: int, row: tuple) -> tuple[int, tuple[bool, int]]:
-        ok = spent + row[at] <= most
-        return (spent + row[at] if ok else spent), (ok, spent)
+        wanted = spent + whole(row[at])
+        ok = wanted <= most and (most_price is None or wanted / 1000 * price <= most_price)
+        after = wanted if used is None or pd.isna(row[used]) else spent + whole(row[used])
+        return (max(0, after) if ok else spent), (ok, spent)
 
     return fold(requests, key, order, int, step, "admitted boolean, spent_before long")
 
@@ -115,8 +125,18 @@ def operation_windows(events: DataFrame, minutes: int = 60, late: str = "2 hours
 
 
 def stream_to_table(spark: SparkSession, folder: str, glob: str, schema, transform, name: str) -> DataFrame:
-    """Runs a transform over a file stream to its end, and returns what it appended or completed."""
-    source = spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(folder)
-    query = transform(source).writeStream.format("memory").queryName(name).outputMode("complete" if transform is operation_windows else "append").trigger(availableNow=True).start()
+    """Runs a transform over a file stream to its end, and returns what it appended or completed, as a table in the shared folder.
+
+    Each batch is a folder of its own that a retry writes anew; of a complete result the last one counts."""
+    root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    made = transform(spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(folder))
+    complete, done = transform is operation_windows, []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/out/batch={number}")
+        done.append(number)
+
+    query = made.writeStream.foreachBatch(write).option("checkpointLocation", f"{root}/state").outputMode("complete" if complete else "append").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    paths = [f"{root}/out/batch={n}" for n in ([max(done)] if complete and done else sorted(set(done)))]
+    return spark.read.schema(made.schema).parquet(*paths) if paths else spark.createDataFrame([], made.schema)
