@@ -47,6 +47,12 @@ def shared_dir(spark: SparkSession) -> str:
     return named if "://" in named or named.startswith("file:") else "file://" + os.path.abspath(named)
 
 
+def over_cores(df: DataFrame, key: str) -> DataFrame:
+    """A table of fewer splits than there are cores (one small file, say) spread by its key; any other as it lies."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores, key)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

@@ -7,17 +7,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import language, media, mixing, neardup, packing, quality, sharding, substrings, urls, warc
-from factloom.llm.common import durable, words
+from factloom.llm.common import durable, over_cores, words
 
 SHARDS, ROOM = 24, 2048
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns)
+    return over_cores(spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns), "doc_id")
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    return over_cores(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"), "page_id")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
