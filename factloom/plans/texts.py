@@ -9,8 +9,14 @@ from factloom.functions import text as T
 from factloom.operators import code_text, scan
 
 
+#: Keys of the tables of texts, whose rows cost more than their bytes.
+_KEYS = {"documents": "doc_id", "pages": "page_id"}
+
+
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one of texts in fewer splits than there are cores is spread by its key."""
+    df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return df if name not in _KEYS or df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores, _KEYS[name])
 
 
 def _q(s: str) -> str:
