@@ -163,7 +163,16 @@ def mix_sources(docs: DataFrame, members: Column, size: Column, order: list[Colu
     kept = [c for c in docs.columns if c not in ADDED]
     df = docs.select(F.struct(F.lit(1).alias("_"), *[F.col(f"`{c}`") for c in kept]).alias("_row"), F.to_json(m).alias("_pattern"), own.alias("_home"), F.coalesce(size.cast("long"), F.lit(0)).alias("_size"), *[o.alias(k) for k, o in zip(keys, order)])
     cell = ["_pattern", "_home"]
-    sums = df.groupBy(*cell).agg(F.sum("_size").alias("size"), F.count("*").alias("rows")).limit(MAX_PATTERNS + 1).collect()
+    df = df.withColumn("_key", F.xxhash64(F.lit(seed), *keys))
+    hot = durable(df.groupBy(*cell, "_key").agg(F.count("*").alias("_n")).filter(F.col("_n") > BUCKET_ROWS).select(*cell, "_key", F.lit(True).alias("_hot")))
+    df = df.withColumn("_bucket", part(max(1, -(-docs.count() // BUCKET_ROWS)), [F.lit(seed + 1), F.col("_key")]))
+    salt = F.lit(0)
+    if not hot.isEmpty():
+        df, salt = df.join(small(hot), [*cell, "_key"], "left"), F.when(F.col("_hot"), F.spark_partition_id()).otherwise(0)
+    df = df.withColumn("_salt", salt)
+    # the only pass over the sizes before the last one: those of cells are sums of these
+    before = durable(df.groupBy(*cell, "_bucket", "_salt").agg(F.sum("_size").alias("_sum")))
+    sums = before.groupBy(*cell).agg(F.sum("_sum").alias("size")).limit(MAX_PATTERNS + 1).collect()
     if len(sums) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
     sets = {(r["_pattern"], r["_home"]): json.loads(r["_home"] or r["_pattern"]) for r in sums}
@@ -176,14 +185,6 @@ def mix_sources(docs: DataFrame, members: Column, size: Column, order: list[Colu
     target = dict(zip(sources, fill(sum(capacity.values()), [held[x] for x in sources], [weights[i % len(weights)] for i in range(len(sources))], repeats)))
     flows = route(capacity, sets, {x: round(target[x]) for x in sources}, repeats)
 
-    buckets = max(1, -(-sum(r["rows"] for r in sums) // BUCKET_ROWS))
-    df = df.withColumn("_key", F.xxhash64(F.lit(seed), *keys)).withColumn("_bucket", part(buckets, [F.lit(seed + 1), F.col("_key")]))
-    hot = durable(df.groupBy(*cell, "_key").agg(F.count("*").alias("_n")).filter(F.col("_n") > BUCKET_ROWS).select(*cell, "_key", F.lit(True).alias("_hot")))
-    salt = F.lit(0)
-    if not hot.isEmpty():
-        df, salt = df.join(small(hot), [*cell, "_key"], "left"), F.when(F.col("_hot"), F.spark_partition_id()).otherwise(0)
-    df = df.withColumn("_salt", salt)
-    before = df.groupBy(*cell, "_bucket", "_salt").agg(F.sum("_size").alias("_sum"))
     before = before.select(*cell, "_bucket", "_salt", (F.sum("_sum").over(Window.partitionBy(*cell).orderBy("_bucket", "_salt")) - F.col("_sum")).alias("_before"))
     line = spark.createDataFrame(
         [(*p, capacity[p], sum(f for _, f in flows[p]), [{"source": x, "words": f} for x, f in flows[p]], [{"source": x, "size": held[x], "target": target[x]} for x in sets[p]]) for p in capacity],

@@ -586,6 +586,21 @@ def test_mixing(spark, docs, corpus, empty):
     assert mix(empty).isEmpty()
 
 
+def test_mixing_reads_each_size_twice(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def size(n):
+        calls.add(1)
+        return n
+
+    spark.range(300).selectExpr("id AS doc_id", "concat('s', id % 4) AS source", "id % 7 AS n").write.parquet(str(tmp_path / "docs"))
+    out = mixing.mix_sources(spark.read.parquet(str(tmp_path / "docs")), F.array("source"), size("n"), [F.col("doc_id")]).collect()
+    assert len(out) == 300 and all(r["_size"] == r["n"] for r in out)
+    # once for the sums, once for the rows; a third pass was most of the time over large tables
+    assert 300 < calls.value <= 600
+
+
 def test_mixing_overlap(spark):
     rows = [(i, ["a", "b"] if i < 10 else ["a"] if i < 20 else ["c", None] if i < 25 else None if i < 28 else []) for i in range(30)]
     df = spark.createDataFrame(rows, "doc_id long, members array<string>").withColumn("n", F.lit(100))
