@@ -47,18 +47,44 @@ def high_entropy_tokens(docs: DataFrame, key: str, text: str = "text", least: in
 
 
 def rule_findings(nodes: DataFrame, rules: list[tuple[str, str, str, str, str]] = RULES) -> DataFrame:
-    """Findings of a rule pack (of RULES' form, see ``project.pack_rules``) over syntax nodes: resolved calls, their first arguments and assignments, by equi joins within a file."""
-    attrs = F.parse_json("attrs")
-    at = lambda path: F.try_variant_get(attrs, path, "string")
-    value = nodes.select("file_path", F.col("id").alias("_id"), F.col("kind").alias("_kind"), F.col("name").alias("_name"), F.col("scope_id").alias("_scope"), at("$.value_type").alias("_type"), (at("$.op").isin("Add", "Mod") & (F.col("kind") == "BinOp") | F.contains("attrs", F.lit('"unsupported": true'))).alias("_built"), F.col("seq").alias("_seq"))
-    assigned = nodes.filter("kind = 'Assign'").select("file_path", "scope_id", "start_line", "start_col", "seq", at("$.targets[0]").alias("target"), at("$.value_id").alias("_id")).join(value.drop("_name"), ["file_path", "_id"])
-    earlier = assigned.filter("_built").select("file_path", F.col("scope_id").alias("_scope"), F.col("target").alias("_name"), F.col("seq").alias("_before")).groupBy("file_path", "_scope", "_name").agg(F.min("_before").alias("_before"))
-    calls = nodes.filter("kind = 'Call'").withColumn("_id", at("$.args[0]")).join(value, ["file_path", "_id"], "left").join(earlier, ["file_path", "_scope", "_name"], "left")
+    """Findings of a rule pack (of RULES' form, see ``project.pack_rules``) over syntax nodes, which are gathered by file; where the parse is at hand, ``file_findings`` needs no shuffle."""
+    row = F.struct("seq", "id", "kind", "name", "scope_id", "start_line", "start_col", "resolved", "attrs")
+    return file_findings(nodes.groupBy("file_path").agg(F.array_sort(F.collect_list(row)).alias("nodes")), rules)
+
+
+def file_findings(files: DataFrame, rules: list[tuple[str, str, str, str, str]] = RULES, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Findings of a rule pack over parsed files (file_path and nodes): resolved calls, their first arguments and assignments. Other columns to keep are named.
+
+    All lookups are within a file, in its own array, so nothing is joined, shuffled or broadcast, however many files there are."""
+    attr = lambda n, path: F.try_variant_get(F.parse_json(n["attrs"]), path, "string")
+    marked = lambda n: F.contains(n["attrs"], F.lit('"unsupported": true'))
+
+    def at(ref: Column) -> Column:
+        """The node of an id, which ends with its place; the scan is for ids of other parsers."""
+        node = F.get("nodes", F.substring_index(ref, ":", -1).try_cast("int"))
+        return F.when(node["id"] == ref, node).when(ref.isNotNull(), F.get(F.filter("nodes", lambda m: m["id"] == ref), F.lit(0)))
+
+    def sites(chosen: Column, ref: str, target: bool) -> Column:
+        """The chosen nodes with the node that they refer to and the name that they assign."""
+        pairs = F.transform(chosen, lambda n: F.struct(n.alias("n"), attr(n, ref).alias("ref"), (attr(n, "$.targets[0]") if target else F.lit(None).cast("string")).alias("target")))
+        pairs = F.transform(pairs, lambda x: F.struct(x["n"].alias("n"), x["target"].alias("target"), at(x["ref"]).alias("v")))
+        return F.transform(pairs, lambda x: F.struct(
+            x["n"]["kind"].alias("kind"), x["n"]["scope_id"].alias("scope_id"), x["n"]["seq"].alias("seq"), x["n"]["start_line"].alias("line"), x["n"]["start_col"].alias("column"), x["n"]["resolved"].alias("resolved"), x["n"]["attrs"].alias("attrs"), x["target"].alias("target"),
+            x["v"]["kind"].alias("_kind"), x["v"]["name"].alias("_name"), x["v"]["scope_id"].alias("_scope"), attr(x["v"], "$.value_type").alias("_type"), ((attr(x["v"], "$.op").isin("Add", "Mod") & (x["v"]["kind"] == "BinOp")) | marked(x["v"])).alias("_built"),
+        ))
+
+    called = "|".join(f"(?:{p})" for _, _, _, how, p in rules if how != "assign")
+    calls = sites(F.filter("nodes", lambda n: (n["kind"] == "Call") & (n["resolved"].rlike(called) if called else F.lit(False))), "$.args[0]", False)
+    assigned = F.filter(sites(F.filter("nodes", lambda n: n["kind"] == "Assign"), "$.value_id", True), lambda x: x["_kind"].isNotNull())
+    made = files.select("file_path", *keep, calls.alias("_calls"), assigned.alias("_assigned"))
+    built = F.transform(F.filter("_assigned", lambda x: x["_built"]), lambda x: F.struct(x["scope_id"], x["target"], x["seq"]))
+    rows = made.select("file_path", *keep, built.alias("_earlier"), F.inline(F.concat("_calls", "_assigned")))
+    earlier = F.exists("_earlier", lambda x: (x["scope_id"] == F.col("_scope")) & (x["target"] == F.col("_name")) & (x["seq"] < F.col("seq")))
     installer = F.element_at(F.split("file_path", "/"), -1).isin("install.py", "setup.py")
     when = {
         "call": F.lit(True),
         "open": F.col("_kind").isNotNull() & ((F.col("_kind") != "Literal") | F.coalesce("_built", F.lit(False))),
-        "built": F.coalesce("_built", F.lit(False)) | F.coalesce((F.col("_kind") == "Name") & (F.col("_before") < F.col("seq")), F.lit(False)),
+        "built": F.coalesce("_built", F.lit(False)) | F.coalesce((F.col("_kind") == "Name") & earlier, F.lit(False)),
         "debug": F.contains("attrs", F.lit('"debug"')),
         "setup": installer,
     }
@@ -67,9 +93,7 @@ def rule_findings(nodes: DataFrame, rules: list[tuple[str, str, str, str, str]]
     none = F.lit(None).cast("struct<check_id:string,severity:string,cwe:string>")
     found = F.array_distinct(F.array_compact(F.array(none, *[F.when(F.col("resolved").rlike(p) & when[how], hit(c, s, w)) for c, s, w, how, p in rules if how != "assign"])))
     names = F.array_distinct(F.array_compact(F.array(none, *[F.when(F.col("target").rlike(p) & (F.col("_type") == "str"), hit(c, s, w)) for c, s, w, how, p in rules if how == "assign"])))
-    place = [F.col("start_line").alias("line"), F.col("start_col").alias("column")]
-    out = calls.select("file_path", F.inline(found), *place).unionByName(assigned.select("file_path", F.inline(names), *place))
-    return out.select("file_path", "check_id", "severity", "cwe", "line", "column")
+    return rows.select("file_path", *keep, F.inline(F.when(F.col("kind") == "Call", found).otherwise(names)), "line", "column").select("file_path", "check_id", "severity", "cwe", "line", "column", *keep)
 
 
 def fingerprint(rule: Column, path: Column, line: Column, column: Column, sink: Column, source: Column, code_hash: Column) -> Column:
