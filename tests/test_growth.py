@@ -12,3 +12,30 @@ def test_facts_are_never_broadcast(spark, name):
     """Spark takes the tables of a parse for as small as the keys of the files, so that it would send all nodes to the driver."""
     plan = catalogue.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and "NestedLoop" not in plan
+
+
+def test_copies_are_parsed_once(monkeypatch):
+    """Copies of a text cost one parse, and have their own path in every id."""
+    import pyarrow as pa
+
+    from factloom.operators import pyfacts
+    from factloom.sources import code
+
+    seen, real = [], pyfacts.facts
+    monkeypatch.setattr(pyfacts, "facts", lambda path, *a, **k: seen.append(path) or real(path, *a, **k))
+    row = pa.struct([("id", pa.string()), ("parent_id", pa.string()), ("kind", pa.string()), ("tags", pa.list_(pa.string())), ("attrs", pa.string())])
+    schema = pa.schema([("file_path", pa.string()), ("error", pa.string()), ("nodes", pa.list_(row))])
+    text, paths = "a = b\neval(a)\n", ["a.py", 'q"u\\o.py', "é/b.py", None]
+    got = code._parsed([*paths, "c.py", "d.py"], [text] * 4 + ["def (", None], False, ("nodes",), schema).to_pylist()
+    assert len(seen) == 3
+    for g, (path, source) in zip(got, [*((p, text) for p in paths), ("c.py", "def ("), ("d.py", None)]):
+        want = real(path or "", source, tables=("nodes",))
+        assert g == want | {"nodes": [{k: n[k] for k in ("id", "parent_id", "kind", "tags", "attrs")} for n in want["nodes"]]}
+
+
+def test_files_of_a_batch_are_bounded():
+    from factloom.sources import code
+
+    big = "x" * (code.MOST_CHARS + 1)
+    cut = [len(p) for p, _ in code._slices(list(range(3003)), [big, "", None, *["y"] * 2999, big])]
+    assert sum(cut) == 3003 and max(cut) <= code.MOST_FILES and cut[0] == 1 and cut[-1] == 1
