@@ -25,7 +25,7 @@ def shared(spark: SparkSession, sf_dir: str, *tables: str) -> DataFrame:
 
 
 def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan.rule_findings(code.table(shared(spark, sf_dir, "nodes"), "nodes"))
+    return scan.file_findings(code.parse(corpus(spark, sf_dir), tables=("nodes",)))
 
 
 def _files(df: DataFrame, *columns: str) -> DataFrame:
