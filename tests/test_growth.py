@@ -7,7 +7,7 @@ from factloom.plans import catalogue
 DATA = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["report_rows", "findings_rollup", "findings_to_blocks", "pack_findings"])
+@pytest.mark.parametrize("name", ["report_rows", "findings_rollup", "findings_to_blocks", "pack_findings", "rule_findings"])
 def test_facts_are_never_broadcast(spark, name):
     """Spark takes the tables of a parse for as small as the keys of the files, so that it would send all nodes to the driver."""
     plan = catalogue.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
