@@ -53,13 +53,23 @@ def distinct_words(text: Column, words: Sequence[str]) -> Column:
     return F.size(F.array_distinct(F.transform(found, F.lower)))
 
 
+def is_json(text: Column) -> Column:
+    """Whether the whole text is one JSON value. Spark's own parsers stop after the first value, and ignore what follows it.
+
+    Strings are blanked first, by a pattern that holds them strictly, so that a mark behind the value can't be one of its own."""
+    blank = F.regexp_replace(text, r'"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+"', '""')
+    strict = ~F.contains(F.replace(blank, F.lit('""'), F.lit("")), F.lit('"')) & ~F.contains(blank, F.lit("'"))
+    whole = F.get_json_object(F.concat(F.lit("["), blank, F.lit(',"."]')), "$[1]") == "."
+    return F.coalesce(F.when(text.rlike(r'\A[\t\n\r ]*+["\[{\-0-9tfn]'), strict & whole), F.lit(False))
+
+
 def embedded_scores(text: Column, back_references: bool = True) -> dict[str, Column]:
     """Score of each language; 0 where nothing speaks for it. YAML is left to ``embedded_yaml`` in operators.code_text."""
     sql_n, shell_n = distinct_words(text, SQL_WORDS), distinct_words(text, SHELL_WORDS)
     features = hits(text, REGEX_FEATURES)
     prose = F.lower(F.regexp_extract(text, r"(\S+)", 1)).isin(*PROSE_STARTS)
     html = PATTERNS["html"] + ([(HTML_PAIR, 0.95)] if back_references else [])
-    parsed = F.try_parse_json(text).isNotNull()
+    parsed = is_json(text)
     return {
         "sql": F.when(prose, 0.0).otherwise(F.greatest(best(text, PATTERNS["sql"]), F.when(sql_n >= 3, 0.8).when(sql_n >= 2, 0.65).otherwise(0.0))),
         "shell": F.greatest(best(text, PATTERNS["shell"]), F.when(shell_n >= 2, 0.75).otherwise(0.0)),

@@ -39,3 +39,13 @@ def test_files_of_a_batch_are_bounded():
     big = "x" * (code.MOST_CHARS + 1)
     cut = [len(p) for p, _ in code._slices(list(range(3003)), [big, "", None, *["y"] * 2999, big])]
     assert sum(cut) == 3003 and max(cut) <= code.MOST_FILES and cut[0] == 1 and cut[-1] == 1
+
+
+def test_json_is_the_whole_text(spark):
+    """A value with something behind it isn't JSON (the number at the head of a prose text), keys may repeat, and long strings don't overflow."""
+    from factloom.functions import text as T
+
+    good = ["1", " [1, \"a\"]\n", '{"a": 1, "a": {"b": []}}', '"a\\n\\u00e9"', "null", "-0.5e3", '["x", "."]', '"' + "a\\n" * 100_000 + '"']
+    bad = ["8294846167456848 Inly onhe.", "1 2", '[1]]', '{"a":1} x', "1],[2", '1,"."', '1],["."', "{'a':1}", '"a\tb"', '"a\tb":"c"', '"a\\x"', "01", "", " ", "the", "tru", '"', None]
+    df = spark.createDataFrame(list(enumerate(good + bad)), "i int, t string")
+    assert [r["ok"] for r in df.select("i", T.is_json(df["t"]).alias("ok")).orderBy("i").collect()] == [True] * len(good) + [False] * len(bad)
