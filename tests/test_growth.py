@@ -49,3 +49,20 @@ def test_json_is_the_whole_text(spark):
     bad = ["8294846167456848 Inly onhe.", "1 2", '[1]]', '{"a":1} x', "1],[2", '1,"."', '1],["."', "{'a':1}", '"a\tb"', '"a\tb":"c"', '"a\\x"', "01", "", " ", "the", "tru", '"', None]
     df = spark.createDataFrame(list(enumerate(good + bad)), "i int, t string")
     assert [r["ok"] for r in df.select("i", T.is_json(df["t"]).alias("ok")).orderBy("i").collect()] == [True] * len(good) + [False] * len(bad)
+
+
+def test_yaml_loaders_agree(monkeypatch):
+    """Plain prose goes to the fast loader; random texts have the same kind as by the loader in Python."""
+    import random
+
+    import yaml
+
+    from factloom.operators import code_text
+
+    assert code_text._yaml_loader("Some prose: and more.\n- a list\n") is yaml.CSafeLoader
+    assert {code_text._yaml_loader(t) for t in ("a:\tb", "%YAML 1.1", "[a ? b]", "[" * 5000, "- " * 5000, "a\x85b", "a\0")} == {yaml.SafeLoader}
+    rng, bits = random.Random(7), ["a", ": ", "- ", "\n", " ", "  ", "{", "}", "[", "]", ",", "'", '"', "#", "&a ", "*a", "!t ", "|\n", "? ", "%", "\t", "é", "\0", "\r", "---", "2020-99-99", "1"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 12))) for _ in range(3000)]
+    fast = [code_text._yaml_kind(t) for t in texts]
+    monkeypatch.setattr(code_text, "_yaml_loader", lambda text: yaml.SafeLoader)
+    assert fast == [code_text._yaml_kind(t) for t in texts]
